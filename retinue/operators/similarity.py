@@ -123,13 +123,7 @@ class _Search:
             F.col(key).alias("match"), F.col(vector).alias("vector")
         )
         if k is not None:
-            # Of images with the same vector only the k first names can appear
-            # in a result. The limit is applied before the shuffle as well, so
-            # a huge group of copies costs k rows per task.
-            order = Window.partitionBy("vector").orderBy("match")
-            self.gallery = (
-                named.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
-            )
+            self.gallery = named
         else:
             self.gallery = named.groupBy("vector").agg(
                 F.min("match").alias("match"), F.count("*").alias("copies")
@@ -185,7 +179,15 @@ class _Search:
     # -- pivot-partitioned join -------------------------------------------
 
     def _tile_join(self, tile_rows: int) -> DataFrame:
-        gallery = materialise(self.gallery, "gallery")
+        gallery = self.gallery
+        if self.k is not None:
+            # Of images with the same vector only the k first names can appear
+            # in a result. The limit is applied before the shuffle as well, so
+            # a huge group of copies costs k rows per task.
+            order = Window.partitionBy("vector").orderBy("match")
+            nth = gallery.withColumn("nth", F.row_number().over(order))
+            gallery = nth.where(F.col("nth") <= self.k).drop("nth")
+        gallery = materialise(gallery, "gallery")
         queries = materialise(self.queries, "queries")
         n_gallery = gallery.count()
         n_pivots = min(MAX_PIVOTS, max(1, math.isqrt(n_gallery)))
