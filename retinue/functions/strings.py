@@ -30,7 +30,7 @@ def file_name(path: Column) -> Column:
 
 def parse_doubles(line: Column, separator: str = ",") -> Column:
     """Delimited numbers -> array<double>; tokens are trimmed and empty ones dropped."""
-    tokens = F.transform(F.split(line, re.escape(separator)), F.trim)
+    tokens = F.transform(F.split(line, re.escape(separator)), lambda t: F.trim(t))
     return F.filter(tokens, lambda t: t != "").cast("array<double>")
 
 

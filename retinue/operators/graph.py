@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retinue.session import materialise, shared_root
+from retinue.session import bucketed, materialise, shared_root
 
 #: Neighbours in one adjacency row, about.
 ADJACENCY_ROW = 10_000
@@ -92,7 +92,6 @@ def pagerank(
     tol: float = 0.001,
     reset: float = 0.15,
     max_iter: int = 200,
-    checkpoint_every: int = 5,
 ) -> DataFrame:
     """``<id, rank>``, un-normalised: ``reset + (1 - reset) * sum(rank / outdegree)``.
 
@@ -102,31 +101,33 @@ def pagerank(
     edges count separately; the rank of a vertex without out-edges goes nowhere.
     """
     shared_root(graph.edges.sparkSession)  # a checkpoint folder is set from here on
+    # The edges are laid out once; a round then shuffles only vertex-sized rows:
+    # what the senders pass on, and that summed per receiver before it moves.
     weighted, degrees = _out_edges(graph.edges)
     start = graph.vertices.select("id").join(degrees.withColumnRenamed("src", "id"), "id", "left")
     ranks = start.select(
         "id", "degree", "salts", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("gain")
     ).checkpoint()
-    for i in range(1, max_iter + 1):
+    for _ in range(max_iter):
         sending = ranks.where((F.col("gain") > tol) & F.col("degree").isNotNull())
         share = F.col("gain") * (1.0 - reset) / F.col("degree")
-        senders = sending.select(
-            F.col("id").alias("src"), share.alias("share"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+        copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+        senders = sending.select(F.col("id").alias("src"), share.alias("share"), copies.alias("salt"))
+        received = (
+            weighted.join(senders, ["src", "salt"])
+            .select(F.inline("neighbours"), "share")
+            .groupBy(F.col("dst").alias("id"))
+            .agg(F.sum(F.col("weight") * F.col("share")).alias("gain"))
         )
-        sent = weighted.join(senders, ["src", "salt"]).select(
-            F.inline("neighbours"), "share"
-        ).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("share")).alias("gain"))
-        ranks = ranks.drop("gain").join(sent, "id", "left").select(
-            "id",
-            "degree",
-            "salts",
-            (F.col("rank") + F.coalesce("gain", F.lit(0.0))).alias("rank"),
-            F.coalesce("gain", F.lit(0.0)).alias("gain"),
+        gain = F.coalesce("gain", F.lit(0.0))
+        # A round reads the ranks twice, so each one is cut off from the last.
+        ranks = (
+            ranks.drop("gain").join(received, "id", "left")
+            .select("id", "degree", "salts", (F.col("rank") + gain).alias("rank"), gain.alias("gain"))
+            .checkpoint()
         )
-        if i % checkpoint_every == 0:
-            ranks = ranks.checkpoint()
-            if ranks.where(F.col("gain") > tol).isEmpty():
-                break
+        if ranks.where(F.col("gain") > tol).isEmpty():
+            break
     return ranks.select("id", "rank")
 
 
@@ -144,7 +145,7 @@ def _out_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     degrees = materialise(degrees, "degrees")
     salted = counted.join(degrees, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
     rows = salted.groupBy("src", "salt").agg(F.collect_list(F.struct("dst", "weight")).alias("neighbours"))
-    return materialise(rows, "adjacency"), degrees
+    return bucketed(rows, "adjacency", "src", "salt"), degrees
 
 
 def top_ranked(ranks: DataFrame, n: int = 5, by: str = "rank") -> DataFrame:

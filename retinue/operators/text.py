@@ -152,10 +152,13 @@ def annotate(
     once = name or f"{factory.__module__}.{factory.__qualname__}"
     kind = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
 
+    nested = isinstance(kind, T.StructType)
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _model_once(once, factory)
         for batch in batches:
-            yield pd.Series(list(model(batch)))
+            found = list(model(batch))
+            yield pd.DataFrame(found, columns=kind.names) if nested else pd.Series(found)
 
     return df.withColumn(out, run(F.col(col)))
