@@ -101,36 +101,34 @@ def pagerank(
     edges count separately; the rank of a vertex without out-edges goes nowhere.
     """
     shared_root(graph.edges.sparkSession)  # a checkpoint folder is set from here on
-    # The edges are laid out once; a round then shuffles only vertex-sized rows:
-    # what the senders pass on, and that summed per receiver before it moves.
-    weighted, degrees = _out_edges(graph.edges)
+    rows, degrees = _out_edges(graph.edges)
     start = graph.vertices.select("id").join(degrees.withColumnRenamed("src", "id"), "id", "left")
     ranks = start.select(
         "id", "degree", "salts", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("gain")
     ).checkpoint()
-    for _ in range(max_iter):
-        sending = ranks.where((F.col("gain") > tol) & F.col("degree").isNotNull())
-        share = F.col("gain") * (1.0 - reset) / F.col("degree")
-        copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-        senders = sending.select(F.col("id").alias("src"), share.alias("share"), copies.alias("salt"))
-        received = (
-            weighted.join(senders, ["src", "salt"])
-            .select(F.inline("neighbours"), "share")
-            .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum(F.col("weight") * F.col("share")).alias("gain"))
-        )
-        gain = F.coalesce("gain", F.lit(0.0))
-        # A round reads the ranks twice, so each one is cut off from the last.
-        ranks = (
-            ranks.drop("gain").join(received, "id", "left")
-            .select("id", "degree", "salts", (F.col("rank") + gain).alias("rank"), gain.alias("gain"))
-            .checkpoint()
-        )
-        if ranks.where(F.col("gain") > tol).isEmpty():
-            break
+    # The edges are laid out once; a round then shuffles only vertex-sized rows:
+    # what the senders pass on, and that summed per receiver before it moves.
+    with bucketed(rows, "adjacency", "src", "salt") as weighted:
+        for _ in range(max_iter):
+            # A round reads the ranks twice, so each one is cut off from the last.
+            ranks = _rank_round(ranks, weighted, tol, reset).checkpoint()
+            if ranks.where(F.col("gain") > tol).isEmpty():
+                break
     return ranks.select("id", "rank")
 
 
+def _rank_round(ranks: DataFrame, weighted: DataFrame, tol: float, reset: float) -> DataFrame:
+    sending = ranks.where((F.col("gain") > tol) & F.col("degree").isNotNull())
+    share = F.col("gain") * (1.0 - reset) / F.col("degree")
+    copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    senders = sending.select(F.col("id").alias("src"), share.alias("share"), copies.alias("salt"))
+    sent = weighted.join(senders, ["src", "salt"]).select(F.inline("neighbours"), "share")
+    received = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("share")).alias("gain"))
+    gain = F.coalesce("gain", F.lit(0.0))
+    joined = ranks.drop("gain").join(received, "id", "left")
+    return joined.select("id", "degree", "salts", (F.col("rank") + gain).alias("rank"), gain.alias("gain"))
+
+
 def _out_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``<src, salt, neighbours array<struct<dst, weight>>>`` and ``<src, degree, salts>``.
 
@@ -145,7 +143,7 @@ def _out_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     degrees = materialise(degrees, "degrees")
     salted = counted.join(degrees, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
     rows = salted.groupBy("src", "salt").agg(F.collect_list(F.struct("dst", "weight")).alias("neighbours"))
-    return bucketed(rows, "adjacency", "src", "salt"), degrees
+    return rows, degrees
 
 
 def top_ranked(ranks: DataFrame, n: int = 5, by: str = "rank") -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,12 +81,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
-    """Like :func:`materialise`, laid out by ``keys``: joins on them do not shuffle this side again."""
+@contextmanager
+def bucketed(df: DataFrame, label: str, *keys: str):
+    """Like :func:`materialise`, laid out by ``keys``: joins on them do not shuffle this side again.
+
+    The catalog entry lives as long as the ``with`` block.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
     writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
     writer.option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
