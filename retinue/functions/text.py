@@ -26,3 +26,10 @@ def ssplit(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
     trimmed = F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(trimmed, lambda s: s != "")
+
+
+def first_sentence(text: Column) -> Column:
+    """The first of :func:`ssplit`, without looking at the rest; null if there is none."""
+    # A match is blank only if the whole text is, so the first one decides.
+    found = F.regexp_replace(F.regexp_extract(text, f"({SENTENCE})", 1), r"^\s+|\s+$", "")
+    return F.when(found != "", found)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -54,8 +56,13 @@ def cluster_table(
 def _best_fit(vectors: DataFrame, k: int, max_iter: int, runs: int, seed: int) -> KMeansModel:
     cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = (KMeans(k=k, maxIter=max_iter, seed=seed + run).fit(cached) for run in range(runs))
-        return min(fits, key=lambda model: model.summary.trainingCost)
+        # The runs share the cached rows; one fills the cores that another
+        # leaves idle between its iterations.
+        with ThreadPoolExecutor(max_workers=runs) as pool:
+            fit = inheritable_thread_target(vectors.sparkSession)(
+                lambda run: KMeans(k=k, maxIter=max_iter, seed=seed + run).fit(cached)
+            )
+            return min(pool.map(fit, range(runs)), key=lambda model: model.summary.trainingCost)
     finally:
         cached.unpersist()
 

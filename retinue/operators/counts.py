@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retinue.functions.logs import log_fields
@@ -16,6 +16,9 @@ ACTIVITY_TAGS = {
     "search": "正在搜索新闻：",
 }
 
+#: Tasks over which the items of one large user are spread.
+USER_SALTS = 64
+
 CLICK_SCHEMA = "uid string, event_time string, os_type string, click_count bigint"
 
 
@@ -107,23 +110,24 @@ def user_activity(lines: DataFrame, col: str = "value", pos: str = "pos", part_r
     """``<user, part, activity>``: JSON of the distinct items per kind, comma-joined in first-seen order.
 
     Almost every user has the one part 0. A user with more than ``part_rows``
-    distinct items of a kind is split into parts by position, each holding what
-    was first seen in one stretch of ``part_rows`` positions; the parts in
-    order give the whole list.
+    distinct items is split into parts by position, each holding what was first
+    seen in one stretch of ``part_rows`` positions; the parts in order give the
+    whole list, and no task gathers more than one part.
     """
-    stretch = F.floor(F.col("pos") / F.lit(part_rows))
-    pieces = (
-        first_seen(activity_events(lines, col, pos))
-        .groupBy("user", stretch.alias("stretch"), "kind")
-        .agg(F.collect_list(F.struct("pos", "item")).alias("items"), F.count("*").alias("n"))
+    items = first_seen(activity_events(lines, col, pos))
+    large = items.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > part_rows).select("user")
+    # The large users are few; their rows are spread over the salts for the
+    # lookup, and over the parts from then on.
+    large = large.select("user", F.explode(F.sequence(F.lit(0), F.lit(USER_SALTS - 1))).alias("salt"), F.lit(True).alias("split"))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("kind", "item"), F.lit(USER_SALTS)).cast("int"))
+    stretch = F.floor(F.col("pos") / F.lit(part_rows)).cast("long")
+    parted = salted.join(large, ["user", "salt"], "left").withColumn(
+        "part", F.when(F.col("split"), stretch).otherwise(F.lit(0).cast("long"))
     )
-    # Rows here are one per (user, kind, stretch), not one per item.
-    total = F.sum("n").over(Window.partitionBy("user"))
-    pieces = pieces.withColumn("part", F.when(total <= part_rows, F.lit(0)).otherwise(F.col("stretch")).cast("long"))
 
     def joined(kind: str) -> Column:
-        mine = F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("items"))))
+        mine = F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "item")))
         return F.when(F.size(mine) > 0, F.array_join(F.array_sort(mine)["item"], ",")).alias(kind)
 
-    lists = pieces.groupBy("user", "part").agg(*[joined(kind) for kind in ACTIVITY_TAGS])
+    lists = parted.groupBy("user", "part").agg(*[joined(kind) for kind in ACTIVITY_TAGS])
     return lists.select("user", "part", F.to_json(F.struct(*ACTIVITY_TAGS)).alias("activity"))

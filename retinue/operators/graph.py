@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retinue.session import bucketed, materialise, shared_root
+from retinue.session import bucket_count, bucketed, materialise, shared_root
 
 #: Neighbours in one adjacency row, about.
 ADJACENCY_ROW = 10_000
@@ -142,6 +142,9 @@ def _out_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     degrees = materialise(degrees, "degrees")
     salted = counted.join(degrees, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
+    # Without the explicit step the rows would stay where the join by src put
+    # them, and a hub would be gathered in one task after all.
+    salted = salted.repartition(bucket_count(edges.sparkSession), "src", "salt")
     rows = salted.groupBy("src", "salt").agg(F.collect_list(F.struct("dst", "weight")).alias("neighbours"))
     return rows, degrees
 

@@ -30,10 +30,12 @@ from retinue.session import materialise
 BROADCAST_QUERIES = 4096
 #: ... if their vectors hold no more values than this (32 MB as float64).
 BROADCAST_VALUES = 4_000_000
-#: Rows of one side of a tile.
+#: Gallery rows of a tile. Its queries are more by the factor, since every
+#: further part of the queries repeats the gallery rows of the cell.
 TILE_ROWS = 16_384
+QUERY_FACTOR = 2
 #: Upper bound of the pivots kept on the driver and in every task.
-MAX_PIVOTS = 256
+MAX_PIVOTS = 512
 #: Rows per Arrow batch that the router emits.
 EMIT_ROWS = 8192
 #: Relative slack of the float bounds, far above their rounding error.
@@ -192,10 +194,11 @@ class _Search:
         n_gallery = gallery.count()
         n_pivots = min(MAX_PIVOTS, max(1, math.isqrt(n_gallery)))
         # A fixed pseudo-random choice; it steers the cost, never the result.
-        chosen = gallery.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(n_pivots).toArrow()
-        pivots = to_matrix(chosen.column("vector"))
-        if not len(pivots):
+        copies = self.k or 1
+        chosen = gallery.select("vector").orderBy(F.xxhash64("vector")).limit(n_pivots * copies).toArrow()
+        if not chosen.num_rows:
             return self.spark.createDataFrame([], self.schema)
+        pivots = np.unique(to_matrix(chosen.column("vector")), axis=0)[:n_pivots]
         celled = gallery.mapInArrow(
             _cell_of(self.spark.sparkContext.broadcast(pivots)),
             T.StructType(
@@ -223,7 +226,7 @@ class _Search:
         asked = dict(zip(asked["cell"], asked["count"]))
         layout = self.spark.createDataFrame(
             [
-                (int(c), math.ceil(n / tile_rows), math.ceil(asked[c] / tile_rows))
+                (int(c), math.ceil(n / tile_rows), math.ceil(asked[c] / (QUERY_FACTOR * tile_rows)))
                 for c, n in zip(cells["cell"], cells["n"])
                 if c in asked
             ],

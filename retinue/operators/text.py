@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retinue.functions.text import clean_xml, ssplit, tokenize
+from retinue.functions.text import clean_xml, first_sentence, ssplit, tokenize
 
 #: A lexicon of at most this many words is sent to the tasks.
 BROADCAST_WORDS = 1_000_000
@@ -112,15 +112,15 @@ def sentiment(
     the class is 2 plus the mean score, rounded half up. Without any scored
     word the class is 2.
     """
-    first = F.get(ssplit(F.col(text)), F.lit(0))
-    words = F.transform(F.coalesce(tokenize(first), F.array().cast("array<string>")), F.lower)
+    words = F.transform(tokenize(first_sentence(F.col(text))), lambda t: F.lower(t))
+    words = F.coalesce(words, F.array().cast("array<string>"))
     scores = lexicon.select("word", F.col("value").cast("string").alias("value"))
     found = lookup_tokens(df.withColumn("_words", words), scores, "_words", "_scores", "", **options)
     known = F.filter(F.transform("_scores", lambda s: s.try_cast("int")), lambda s: s.isNotNull())
-    total = F.aggregate(known, F.lit(0), lambda a, s: a + s)
-    # floor(2 + total / n + 1/2) in whole numbers
-    score = F.floor((2 * total + 5 * F.size(known)) / (2 * F.size(known)))
     found = found.withColumn("_known", known)
+    total = F.aggregate("_known", F.lit(0), lambda a, s: a + s)
+    # floor(2 + total / n + 1/2) in whole numbers
+    score = F.floor((2 * total + 5 * F.size("_known")) / (2 * F.size("_known")))
     value = F.when(F.size("_known") > 0, F.least(F.greatest(score, F.lit(0)), F.lit(4))).otherwise(F.lit(2))
     return found.withColumn(out, value.cast("int")).drop("_words", "_scores", "_known")
 

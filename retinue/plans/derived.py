@@ -28,7 +28,10 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``<image_name, features>``: the descriptors of each image as one array."""
-    rows = descriptors(spark, sf_dir)
+    # The one shuffle of this plan, with a task for every core at least: the
+    # work per image that follows is far heavier than its bytes suggest.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = descriptors(spark, sf_dir).repartition(tasks, "image_name")
     grouped = rows.groupBy("image_name").agg(F.array_sort(F.collect_list(F.struct("vec_id", "descriptor"))).alias("d"))
     return grouped.select("image_name", F.col("d.descriptor").alias("features"))
 

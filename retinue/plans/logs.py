@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from retinue.operators import counts
 from retinue.plans.registry import query, table
+from retinue.session import spread
 
 WORDS_SQL = """
 words AS (
@@ -21,7 +22,7 @@ def text_lines(documents):
 
 @query("word_count", f"WITH {WORDS_SQL} SELECT word, count(*) AS cnt FROM words GROUP BY word")
 def word_count(spark, sf_dir):
-    return counts.word_count(text_lines(table(spark, sf_dir, "documents")))
+    return counts.word_count(text_lines(spread(table(spark, sf_dir, "documents").select("text"))))
 
 
 @query("sort_by_key", "SELECT user_id, event_id, event_type FROM events ORDER BY user_id, event_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from retinue.functions import text as X
 from retinue.operators import text as O
 from retinue.plans.registry import query, table
+from retinue.session import spread
 
 SPACE = r"'^\s+|\s+$'"
 TOKENS = r"regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}\s]', 0)"
@@ -18,23 +19,31 @@ CLEAN = r"trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\s+', '
 BREAK = "\x1f"
 
 
+def documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def pages(spark, sf_dir):
+    return spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
+
+
 def joined(array, name):
     return F.array_join(array, BREAK).alias(name)
 
 
 @query("clean_xml", f"SELECT page_id, {CLEAN.format('html')} AS text FROM pages")
 def clean_xml(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.clean_xml(F.col("html")).alias("text"))
+    return pages(spark, sf_dir).select("page_id", X.clean_xml(F.col("text")).alias("text"))
 
 
 @query("tokenize", f"SELECT doc_id, array_to_string({TOKENS.format('text')}, chr(31)) AS tokens FROM documents")
 def tokenize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", joined(X.tokenize(F.col("text")), "tokens"))
+    return documents(spark, sf_dir).select("doc_id", joined(X.tokenize(F.col("text")), "tokens"))
 
 
 @query("ssplit", f"SELECT doc_id, array_to_string({SENTENCES.format('text')}, chr(31)) AS sentences FROM documents")
 def ssplit(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", joined(X.ssplit(F.col("text")), "sentences"))
+    return documents(spark, sf_dir).select("doc_id", joined(X.ssplit(F.col("text")), "sentences"))
 
 
 @query(
@@ -43,12 +52,11 @@ def ssplit(spark, sf_dir):
         FROM (SELECT page_id, {SENTENCES.format(CLEAN.format('html'))} AS s FROM pages)""",
 )
 def explode_sentences(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
-    return O.explode_sentences(pages)
+    return O.explode_sentences(pages(spark, sf_dir))
 
 
 def tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", X.tokenize(F.col("text")).alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", "text", X.tokenize(F.col("text")).alias("tokens"))
 
 
 def benchmark_words(spark, sf_dir):
@@ -131,7 +139,7 @@ def sentiment(spark, sf_dir):
     """Scores by word length, for want of a given sentiment lexicon."""
     words = benchmark_words(spark, sf_dir).where(F.length("word") > 2)
     lexicon = words.select(F.lower("word").alias("word"), (F.length("word") % 5 - 2).alias("value"))
-    return O.sentiment(table(spark, sf_dir, "documents"), lexicon).select("doc_id", "sentiment")
+    return O.sentiment(documents(spark, sf_dir), lexicon).select("doc_id", "sentiment")
 
 
 def length_annotator():
@@ -145,5 +153,5 @@ def length_annotator():
 
 @query("annotate", "SELECT doc_id, length(text) AS n_chars, left(text, 1) AS first FROM documents")
 def annotate(spark, sf_dir):
-    found = O.annotate(table(spark, sf_dir, "documents"), "text", length_annotator, "struct<n_chars: long, first: string>")
+    found = O.annotate(documents(spark, sf_dir), "text", length_annotator, "struct<n_chars: long, first: string>")
     return found.select("doc_id", "annotation.n_chars", "annotation.first")

@@ -81,19 +81,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a plain file scan before CPU-heavy row work.
+
+    Only a scan of fewer splits than cores (few or unsplittable files) is
+    redistributed; a large one already has more and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 @contextmanager
 def bucketed(df: DataFrame, label: str, *keys: str):
-    """Like :func:`materialise`, laid out by ``keys``: joins on them do not shuffle this side again.
+    """Write ``df``, already partitioned by ``keys``, as a table with that layout.
 
-    The catalog entry lives as long as the ``with`` block.
+    Joins on the keys do not shuffle this side again. The catalog entry lives
+    as long as the ``with`` block.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer = df.write.bucketBy(bucket_count(spark), *keys).sortBy(*keys)
     writer.option("path", path).format("parquet").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

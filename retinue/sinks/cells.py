@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Updates up to this size (as JSON text) are sent to the base table.
+BROADCAST_BYTES = 16 * 1024 * 1024
+
 
 def latest_cells(updates: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
     """One row per key with the last non-null value of every cell by ``order``.
@@ -40,14 +43,25 @@ def upsert_cells(
     new = updates.where(some)
     new = latest_cells(new, key, order, cols) if order else new
     new = new.select(key, *[F.col(c).alias(f"new_{c}") for c in cols])
-    joined = base.join(new, key, "full_outer")
     kept = [
         F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
         for c in base.columns
         if c != key
     ]
     added = [F.col(f"new_{c}").alias(c) for c in cols if c not in base.columns]
-    return joined.select(key, *kept, *added)
+    size = new.agg(F.sum(F.length(F.to_json(F.struct(*new.columns))))).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return base.join(new, key, "full_outer").select(key, *kept, *added)
+    # Few updates travel to the base, which is not shuffled. A second, key-only
+    # look at the base finds the rows that are new.
+    small = F.broadcast(new)
+    known = base.select(key).join(F.broadcast(new.select(key)), key, "left_semi")
+    fresh = new.join(known, key, "left_anti")
+    absent = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns if c != key]
+    return (
+        base.join(small, key, "left").select(key, *kept, *added)
+        .unionByName(fresh.select("*", *absent).select(key, *kept, *added))
+    )
 
 
 class CellTable:

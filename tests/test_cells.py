@@ -1,13 +1,20 @@
 import pytest
 from pyspark.sql import functions as F
 
+from retinue.sinks import cells as cell_sink
 from retinue.sinks.cells import CellTable, upsert_cells
 from retinue.sources import tables as T
 
 GROUPS = {"content": "path string, content binary", "histogram": "histogram array<int>"}
 
 
-def test_upsert_overwrites_supplied_cells_only(spark):
+@pytest.fixture(params=[cell_sink.BROADCAST_BYTES, 0], ids=["few", "many"])
+def updates(request, monkeypatch):
+    """Both physical forms of the upsert."""
+    monkeypatch.setattr(cell_sink, "BROADCAST_BYTES", request.param)
+
+
+def test_upsert_overwrites_supplied_cells_only(spark, updates):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "k string, n int, s string")
     news = spark.createDataFrame([("a", None, "y"), ("c", 5, None), ("d", None, None)], "k string, n int, s string")
     once = upsert_cells(base, news, "k")
@@ -16,7 +23,7 @@ def test_upsert_overwrites_supplied_cells_only(spark):
     assert sorted(map(tuple, upsert_cells(once, news, "k").collect())) == want
 
 
-def test_upsert_of_several_updates_takes_the_last_of_each_cell(spark):
+def test_upsert_of_several_updates_takes_the_last_of_each_cell(spark, updates):
     base = spark.createDataFrame([("a", 1, "x")], "k string, n int, s string")
     news = spark.createDataFrame(
         [("a", 1, 7, None), ("a", 3, None, "z"), ("a", 2, 8, "y")], "k string, at int, n int, s string"
@@ -24,7 +31,7 @@ def test_upsert_of_several_updates_takes_the_last_of_each_cell(spark):
     assert [tuple(r) for r in upsert_cells(base, news, "k", order="at").collect()] == [("a", 8, "z")]
 
 
-def test_upsert_adds_a_new_column(spark):
+def test_upsert_adds_a_new_column(spark, updates):
     base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     news = spark.createDataFrame([("b", 9.0)], "k string, score double")
     assert sorted(map(tuple, upsert_cells(base, news, "k").collect())) == [("a", 1, None), ("b", 2, 9.0)]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from retinue.functions.text import clean_xml, ssplit, tokenize
+from retinue.functions.text import clean_xml, first_sentence, ssplit, tokenize
 from retinue.operators import text as X
 
 DOC = "<xml>Stanford University is located in California. It is a great university.</xml>"
@@ -65,3 +65,10 @@ def test_annotate_with_nested_results(spark):
     schema = "array<struct<head: string, mentions: array<struct<sent: int, start: int, mention: string>>>>"
     rows = X.annotate(df, "t", chains, schema, out="coref").collect()
     assert rows[1].coref[0].head == "c" and rows[1].coref[0].mentions[0].mention == "cd"
+
+
+def test_first_sentence_is_the_first_of_the_split(spark):
+    texts = ["  A b. C", " ", "", "...x", " . y", "\n\n Q?! R", "no end", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(first_sentence(F.col("t")).alias("f"), F.get(ssplit(F.col("t")), F.lit(0)).alias("s")).collect()
+    assert [r.f for r in both] == [r.s for r in both]
