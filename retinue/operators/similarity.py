@@ -4,10 +4,12 @@ Two physical forms give the same rows:
 
 * few queries (their number is checked): the queries travel to the gallery,
   every task keeps only its own best rows per query;
-* many queries: a pivot-partitioned join. Gallery vectors are grouped around a
-  bounded set of pivots, the triangle inequality tells which groups can hold a
-  result for a query, and every group is cut into tiles of bounded size on both
-  sides, so that no task depends on how large a group is.
+* many queries: a pivot-partitioned join. Gallery vectors are grouped into cells
+  around a bounded set of pivots. A query first searches the cell of its own
+  nearest pivot; the distance of the ``k``-th row found there bounds the result,
+  and the triangle inequality tells which other cells can still hold a nearer
+  row. Every cell is cut into tiles of bounded size on both sides, so that no
+  task depends on how large a cell is.
 
 Neither form materialises the pairs.
 """
@@ -115,7 +117,6 @@ class _Search:
 
     def __init__(self, queries, gallery, key, vector, k=None, max_distance=None):
         self.k = k
-        self.radius = None if max_distance is None else math.sqrt(max_distance)
         self.max_distance = max_distance
         self.spark = gallery.sparkSession
         self.queries = queries.where(F.col(vector).isNotNull()).select(
@@ -153,7 +154,8 @@ class _Search:
             return None
         width = self.queries.select(F.size("vector")).first()
         most = min(most, BROADCAST_VALUES // max(1, width[0])) if width else most
-        head = self.queries.limit(most + 1).toArrow()
+        bound = math.inf if self.max_distance is None else float(self.max_distance)
+        head = self.queries.withColumn("bound", F.lit(bound)).limit(most + 1).toArrow()
         return head if head.num_rows <= most else None
 
     # -- queries travel to the gallery ------------------------------------
@@ -205,22 +207,31 @@ class _Search:
                 gallery.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]
             ),
         )
-        # At most one row per pivot, or k per pivot, reaches the driver.
+        # At most one row per pivot reaches the driver.
         cells = celled.groupBy("cell").agg(
             F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
         ).toArrow().to_pydict()
-        closest = []
-        if self.k is not None:
-            order = Window.partitionBy("cell").orderBy("reach")
-            closest = (
-                celled.select("cell", "reach").withColumn("nth", F.row_number().over(order))
-                .where(F.col("nth") <= self.k).select("cell", "reach").toArrow().to_pydict()
-            )
-        plan = self.spark.sparkContext.broadcast((pivots, cells, closest))
-        route = _router(plan, self.k, self.radius)
-        routed = queries.mapInArrow(
-            route, T.StructType(queries.schema.fields + [T.StructField("cell", T.IntegerType())])
+        plan = self.spark.sparkContext.broadcast((pivots, cells))
+        bounded = T.StructType(queries.schema.fields + [T.StructField("bound", T.DoubleType())])
+        routed = T.StructType(bounded.fields + [T.StructField("cell", T.IntegerType())])
+        if self.k is None:
+            asking = queries.withColumn("bound", F.lit(float(self.max_distance)))
+            return self._search_tiles(asking.mapInArrow(_other_cells(plan, False), routed), celled, cells, tile_rows)
+        asking = queries.withColumn("bound", F.lit(float("inf")))
+        home = self._search_tiles(asking.mapInArrow(_home_cell(plan), routed), celled, cells, tile_rows)
+        order = Window.partitionBy("query").orderBy("distance", "match")
+        nth = home.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= self.k)
+        home = materialise(nth, "home")
+        kth = home.where(F.col("nth") == self.k).select("query", F.col("distance").cast("double").alias("kth"))
+        asking = queries.join(kth, "query", "left").select(
+            *queries.columns, F.coalesce("kth", F.lit(float("inf"))).alias("bound")
         )
+        asking = materialise(asking, "bounded")
+        rest = self._search_tiles(asking.mapInArrow(_other_cells(plan, True), routed), celled, cells, tile_rows)
+        return home.drop("nth").unionByName(rest)
+
+    def _search_tiles(self, routed: DataFrame, celled: DataFrame, cells: dict, tile_rows: int) -> DataFrame:
+        """Results of ``routed<query, vector, bound, cell>`` within their cells."""
         # Both sides of a cell are cut into parts by the counted number of rows.
         asked = routed.groupBy("cell").count().toArrow().to_pydict()
         asked = dict(zip(asked["cell"], asked["count"]))
@@ -242,13 +253,13 @@ class _Search:
             routed.join(layout, "cell")
             .withColumn("query_part", F.pmod(F.xxhash64("query"), "query_parts").cast("int"))
             .withColumn("gallery_part", every("gallery_parts"))
-            .select(*tile, "query", "vector")
+            .select(*tile, "query", "vector", "bound")
         )
         right = (
             celled.join(layout, "cell")
             .withColumn("gallery_part", F.pmod(F.xxhash64("match"), "gallery_parts").cast("int"))
             .withColumn("query_part", every("query_parts"))
-            .select(*tile, *gallery.columns)
+            .select(*tile, *self.gallery.columns)
         )
         match_block, schema = self._matcher(), self.schema
 
@@ -260,17 +271,29 @@ class _Search:
         return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(match_tile, schema)
 
     def _matcher(self):
-        k, max_distance, schema = self.k, self.max_distance, self.schema
+        k, schema = self.k, self.schema
 
         def match_block(asking: pa.Table, stored: pa.Table) -> pa.Table:
             """Results of one block of queries within one block of the gallery."""
             stored = stored.sort_by("match")
             vectors = to_matrix(stored.column("vector"))
-            unique, where = np.unique(to_matrix(asking.column("vector")), axis=0, return_inverse=True)
+            unique, first, where = np.unique(
+                to_matrix(asking.column("vector")), axis=0, return_index=True, return_inverse=True
+            )
+            # The bound follows from the vector, so equal queries share it.
+            bound = asking.column("bound").to_numpy()[first]
+            if k is not None:
+                bound = bound * (1 + SLACK)
             rows, cols, dists = [], [], []
             for block in row_blocks(len(unique), len(vectors)):
                 d = squared_distances(unique[block], vectors)
-                r, c = smallest_per_row(d, k) if k is not None else np.nonzero(d <= max_distance)
+                near = d <= bound[block, None]
+                if k is not None:
+                    r, c = smallest_per_row(d, k)
+                    keep = near[r, c]
+                    r, c = r[keep], c[keep]
+                else:
+                    r, c = np.nonzero(near)
                 rows.append(r + block.start)
                 cols.append(c)
                 dists.append(d[r, c])
@@ -327,24 +350,32 @@ def _cell_of(pivots):
     return add_cell
 
 
-def _router(plan, k, radius):
-    """Repeat each query once per cell that can hold a result for it."""
+def _home_cell(plan):
+    """The cell of each query's nearest pivot."""
+
+    def home(batches):
+        pivots, _ = plan.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            vectors = to_matrix(batch.column("vector"))
+            cell = np.empty(len(vectors), np.int32)
+            for block in row_blocks(len(vectors), len(pivots)):
+                cell[block] = squared_distances(vectors[block], pivots).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return home
+
+
+def _other_cells(plan, skip_home: bool):
+    """Repeat each query once per cell that can hold a row within its bound."""
 
-    def cells_for(vectors, pivots, cells, closest):
+    def cells_for(vectors, bound, pivots, cells):
         ids = np.asarray(cells["cell"])
         low, high = np.asarray(cells["low"]), np.asarray(cells["high"])
         to_pivot = np.sqrt(squared_distances(vectors, pivots).astype(np.float64))
-        if radius is not None:
-            bound = np.full(len(vectors), radius)
-        else:
-            # d(q, g) <= d(q, p) + d(p, g): the k-th smallest such sum bounds
-            # the distance of the k-th nearest row.
-            sums = to_pivot[:, closest["cell"]] + np.asarray(closest["reach"])
-            bound = (
-                np.partition(sums, k - 1, axis=1)[:, k - 1] if sums.shape[1] >= k else np.full(len(vectors), np.inf)
-            )
-        slack = SLACK * (1.0 + to_pivot.max(axis=1) + high.max())
-        bound = (bound + slack)[:, None]
+        bound = np.sqrt(bound)
+        bound = (bound + SLACK * (1.0 + to_pivot.max(axis=1) + high.max()))[:, None]
         d = to_pivot[:, ids]
         keep = (d - bound <= high) & (d + bound >= low)
         # A row of cell c is nearer to pivot c than to the pivot nearest to the
@@ -355,18 +386,20 @@ def _router(plan, k, radius):
         with np.errstate(divide="ignore", invalid="ignore"):
             margin = np.where(between > 0, gap / (2 * between), 0.0)
         keep &= margin <= bound
+        if skip_home:
+            keep &= ids[None, :] != home[:, None]
         rows, cols = np.nonzero(keep)
         return rows, ids[cols]
 
     def route(batches):
-        pivots, cells, closest = plan.value
-        width = len(pivots) + (len(closest["reach"]) if closest else 0)
+        pivots, cells = plan.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             vectors = to_matrix(batch.column("vector"))
-            for block in row_blocks(len(vectors), width):
-                rows, cell = cells_for(vectors[block], pivots, cells, closest)
+            bound = batch.column("bound").to_numpy()
+            for block in row_blocks(len(vectors), len(pivots)):
+                rows, cell = cells_for(vectors[block], bound[block], pivots, cells)
                 for start in range(0, len(rows), EMIT_ROWS):
                     part = slice(start, start + EMIT_ROWS)
                     taken = batch.take(pa.array(rows[part] + block.start))

@@ -125,19 +125,47 @@ def pagerank(spark, sf_dir):
     return ranks.select("id", F.round("rank", 5).alias("rank"))
 
 
-@query("pagerank_to_tolerance")
+def gains_sql(edges: str) -> str:
+    """Rounds in which a vertex passes on its last gain while that exceeds the tolerance."""
+    return f"""
+weights AS MATERIALIZED (
+  SELECT src, dst, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY src) AS w FROM {edges} GROUP BY src, dst),
+gains AS (
+  SELECT 0 AS round, id, CAST(0.15 AS DOUBLE) AS gain FROM ids
+  UNION ALL
+  SELECT round + 1, dst, 0.85 * sum(gain * w) FROM gains JOIN weights ON src = id
+  WHERE gain > 0.001 GROUP BY round, dst),
+ranks AS (SELECT id, sum(gain) AS rank FROM gains GROUP BY id)"""
+
+
+SUPPLY_SQL = RANK_SQL.split("weights AS")[0]
+
+
+@query(
+    "pagerank_to_tolerance", f"WITH RECURSIVE {SUPPLY_SQL} {gains_sql('edges')} SELECT id, round(rank, 5) AS rank FROM ranks"
+)
 def pagerank_to_tolerance(spark, sf_dir):
-    return G.pagerank(supply_graph(spark, sf_dir), tol=0.001)
+    return G.pagerank(supply_graph(spark, sf_dir), tol=0.001).select("id", F.round("rank", 5).alias("rank"))
 
 
-@query("top_pagerank")
+@query(
+    "top_pagerank",
+    f"""WITH RECURSIVE {SUPPLY_SQL.replace('ids AS', 'every AS')}
+    attrs AS (SELECT p_partkey * 2 AS id, p_name AS first FROM part
+              UNION ALL SELECT s_suppkey * 2 + 1, s_name FROM supplier WHERE s_acctbal >= 0),
+    ids AS (SELECT id FROM every SEMI JOIN attrs USING (id)),
+    kept AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)),
+    {gains_sql('kept')}
+    SELECT id, first, round(rank, 5) AS rank FROM ranks JOIN attrs USING (id) ORDER BY ranks.rank DESC, id LIMIT 5""",
+)
 def top_pagerank(spark, sf_dir):
-    """Rank among parts that have a brand and suppliers that owe nothing; five best."""
+    """Rank among the parts and the suppliers that owe nothing (others have no attributes); five best."""
     parts = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("id"), F.array("p_name", "p_brand").alias("attrs"))
     suppliers = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(
         (F.col("s_suppkey") * 2 + 1).alias("id"), F.array("s_name", F.col("s_nationkey").cast("string")).alias("attrs")
     )
-    return G.top_pagerank(supply_graph(spark, sf_dir), parts.union(suppliers), F.size("attrs") == 2, 5)
+    top = G.top_pagerank(supply_graph(spark, sf_dir), parts.union(suppliers), F.size("attrs") == 2, 5)
+    return top.select("id", F.col("attrs")[0].alias("first"), F.round("rank", 5).alias("rank"))
 
 
 @query(
