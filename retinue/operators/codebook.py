@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +82,24 @@ def load_codebook(path: str) -> KMeansModel:
     return KMeansModel.load(path)
 
 
-def center_pieces(centers: DataFrame, max_bytes: int = MAX_CENTER_BYTES) -> list[np.ndarray]:
-    """Codebook as matrices of at most ``max_bytes``, in ``center_id`` order.
+@dataclass(frozen=True)
+class SharedCodebook:
+    """A codebook that the tasks hold, as broadcast matrices in ``center_id`` order."""
+
+    pieces: tuple
+    starts: tuple[int, ...]
+    n_centers: int
+
+
+def share_codebook(centers: DataFrame | SharedCodebook, max_bytes: int = MAX_CENTER_BYTES) -> SharedCodebook:
+    """Send a centres table to the tasks, in pieces of at most ``max_bytes``.
 
     Ids are dense from 0, so every piece is read with its own range filter and
-    no more than one piece is in flight on its way to the driver.
+    no more than one piece is in flight on its way through the driver. Done
+    once for a stream, it serves all batches.
     """
+    if isinstance(centers, SharedCodebook):
+        return centers
     size = centers.agg(F.count("*"), F.max(F.size("center")), F.max("center_id")).first()
     n, dim, last = size[0], size[1], size[2]
     if not n:
@@ -94,13 +107,12 @@ def center_pieces(centers: DataFrame, max_bytes: int = MAX_CENTER_BYTES) -> list
     if last != n - 1:
         raise ValueError("center_id must be dense from 0")
     step = max(1, max_bytes // (8 * dim))
-    pieces = []
-    for start in range(0, n, step):
+    pieces, starts = [], tuple(range(0, n, step))
+    for start in starts:
         part = centers.where(F.col("center_id").between(start, start + step - 1))
-        table = part.select("center_id", F.col("center").cast("array<double>")).toArrow()
-        table = table.sort_by("center_id")
-        pieces.append(to_matrix(table.column("center")))
-    return pieces
+        rows = part.select("center_id", F.col("center").cast("array<double>")).toArrow().sort_by("center_id")
+        pieces.append(centers.sparkSession.sparkContext.broadcast(to_matrix(rows.column("center"))))
+    return SharedCodebook(tuple(pieces), starts, n)
 
 
 def _nearest_struct(piece, first_id: int):
@@ -116,7 +128,7 @@ def _nearest_struct(piece, first_id: int):
 
 def assign(
     df: DataFrame,
-    centers: DataFrame,
+    centers: DataFrame | SharedCodebook,
     col: str = "descriptor",
     out: str = "cluster",
     max_bytes: int = MAX_CENTER_BYTES,
@@ -127,14 +139,10 @@ def assign(
     is applied in several pieces within the same pass and the least
     (distance, id) wins.
     """
-    context = df.sparkSession.sparkContext
-    rows = df.where(F.col(col).isNotNull())
-    best, first_id = [], 0
-    for piece in center_pieces(centers, max_bytes):
-        best.append(_nearest_struct(context.broadcast(piece), first_id)(F.col(col)))
-        first_id += len(piece)
+    shared = share_codebook(centers, max_bytes)
+    best = [_nearest_struct(piece, start)(F.col(col)) for piece, start in zip(shared.pieces, shared.starts)]
     winner = best[0] if len(best) == 1 else F.least(*best)
-    return rows.withColumn(out, winner["center_id"])
+    return df.where(F.col(col).isNotNull()).withColumn(out, winner["center_id"])
 
 
 def histogram(
@@ -161,7 +169,7 @@ def histogram(
 
 def quantise(
     images: DataFrame,
-    centers: DataFrame,
+    centers: DataFrame | SharedCodebook,
     feature: str,
     out: str = "histogram",
     empty: str = "drop",
@@ -170,16 +178,12 @@ def quantise(
     """Histogram of each image from its own descriptor array, without a shuffle.
 
     ``empty="drop"`` leaves out images that have no descriptor, ``"zero"``
-    gives them an all-zero histogram. A codebook too large for one piece goes
-    through :func:`assign` and :func:`histogram` instead.
+    gives them an all-zero histogram.
     """
     if empty not in ("drop", "zero"):
         raise ValueError("empty must be 'drop' or 'zero'")
-    pieces = center_pieces(centers, max_bytes)
-    sizes = [len(piece) for piece in pieces]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    shared = [images.sparkSession.sparkContext.broadcast(piece) for piece in pieces]
-    n_centers = int(starts[-1])
+    shared = share_codebook(centers, max_bytes)
+    pieces, n_centers, starts = shared.pieces, shared.n_centers, np.array(shared.starts)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def count_words(descriptors: pa.Array) -> pa.Array:
@@ -187,7 +191,7 @@ def quantise(
         points = to_matrix(descriptors.flatten())
         out = np.zeros(len(descriptors) * n_centers, dtype=np.int32)
         if len(points):
-            found = [nearest_row(points, piece.value) for piece in shared]
+            found = [nearest_row(points, piece.value) for piece in pieces]
             distances = np.stack([d for _, d in found])
             which = distances.argmin(axis=0)
             ids = np.stack([i for i, _ in found])[which, np.arange(len(points))] + starts[which]
@@ -202,7 +206,7 @@ def quantise(
 
 
 def histogram_job(
-    images: DataFrame, feature: str, centers: DataFrame, key: str = "image_name"
+    images: DataFrame, feature: str, centers: DataFrame | SharedCodebook, key: str = "image_name"
 ) -> DataFrame:
     """Projected scan -> quantise: ``<key, histogram>`` ready to be stored as new cells."""
     return quantise(images.select(key, feature), centers, feature).select(key, "histogram")

@@ -96,11 +96,22 @@ def ingest_images(
     kind: str = "sift",
     extractor: Extractor | None = None,
     min_partitions: int | None = None,
+    spark_decoder: bool = False,
 ) -> DataFrame:
-    """``<image_name, path, content, kind>`` of all files; an image is kept without features too."""
+    """``<image_name, path, content, kind>`` of all files; an image is kept without features too.
+
+    The bytes are decoded where they are read. ``spark_decoder`` takes the
+    descriptors from Spark's image reader instead, which knows JPEG without any
+    further package, at the price of a second read and a join by path.
+    """
     files = read_binary_files(spark, path, min_partitions=min_partitions)
     rows = files.select(F.col("name").alias("image_name"), "path", "content")
-    return extract_features(rows, kind, extractor)
+    if not spark_decoder:
+        return extract_features(rows, kind, extractor)
+    # The two readers write the scheme of a path with one slash or with three.
+    plain = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/")
+    found = decoded_features(spark, path, kind, extractor).select(plain.alias("_path"), kind)
+    return rows.withColumn("_path", plain).join(found, "_path", "left").select(*rows.columns, kind)
 
 
 def decoded_features(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from retinue.operators.codebook import quantise
+from retinue.operators.codebook import SharedCodebook, quantise, share_codebook
 from retinue.operators.features import Extractor, extract_features
 from retinue.operators.similarity import matches_wide, top_k_similar
 from retinue.sinks.cells import CellTable
@@ -28,7 +28,7 @@ def received_images(messages: DataFrame, kind: str = "harris", extractor: Extrac
 def match_image_stream(
     messages: DataFrame,
     gallery: DataFrame,
-    centers: DataFrame,
+    centers: DataFrame | SharedCodebook,
     out: str,
     checkpoint: str,
     k: int = 10,
@@ -46,14 +46,15 @@ def match_image_stream(
     ``wide/batch=<id>`` (cells ``name#distance``) and ``log/batch=<id>`` (text).
     An image without features is matched with an all-zero histogram unless
     ``empty="drop"``. With ``store`` the received images are kept as well.
-    The gallery is read once and kept by the executors.
+    The gallery and the codebook are read once and kept by the executors.
     """
+    shared = share_codebook(centers)
     kept = gallery.where(F.col("histogram").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
 
     def match(batch: DataFrame, batch_id: int) -> None:
         # An image sent twice within a batch is one query.
         once = prepare(batch).dropDuplicates(["image_name"])
-        images = quantise(once, centers, FEATURE, empty=empty).persist(StorageLevel.MEMORY_AND_DISK)
+        images = quantise(once, shared, FEATURE, empty=empty).persist(StorageLevel.MEMORY_AND_DISK)
         # The three outputs come from one written result.
         path = f"{out}/matches/batch={batch_id}"
         top_k_similar(images, kept, k).write.mode("overwrite").parquet(path)

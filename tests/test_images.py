@@ -109,3 +109,13 @@ def test_files_as_messages(spark, pictures, folder):
     rows = spark.read.parquet(folder + "/topic").collect()
     assert {r.key for r in rows} == {"colour.png", "grey.png", "flat.png", "tiny.png", "broken.png"}
     assert all(decode(bytes(r.value)) is not None for r in rows if r.key != "broken.png")
+
+
+def test_jpeg_through_the_spark_decoder(spark, pictures):
+    jvm = spark._jvm
+    source = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(pictures + "/colour.png"))
+    assert jvm.javax.imageio.ImageIO.write(source, "jpg", jvm.java.io.File(pictures + "/photo.JPEG"))
+    for kind in ("sift", "harris"):
+        rows = {r.image_name: r for r in X.ingest_images(spark, pictures, kind, spark_decoder=True).collect()}
+        assert len(rows) == 6 and len(rows["photo.JPEG"][kind]) > 20 and bytes(rows["photo.JPEG"].content)[:2] == b"\xff\xd8"
+        assert rows["grey.png"][kind] is not None and rows["broken.png"][kind] is None
