@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retinue.functions.text import clean_xml, first_sentence, ssplit, tokenize
 
-#: A lexicon of at most this many words is sent to the tasks.
+#: A lexicon of at most this many words and bytes is sent to the tasks.
 BROADCAST_WORDS = 1_000_000
+BROADCAST_BYTES = 128 * 1024 * 1024
 #: Copies of a larger lexicon, so that a frequent word is spread over as many tasks.
 WORD_SALTS = 32
 
@@ -43,7 +46,7 @@ def lookup_tokens(
     """
     words = _unique_words(lexicon)
     head = words.limit(broadcast_words + 1).toArrow() if broadcast_words > 0 else None
-    if head is not None and head.num_rows <= broadcast_words:
+    if head is not None and head.num_rows <= broadcast_words and head.nbytes <= BROADCAST_BYTES:
         return _lookup_in_row(df, head, tokens, out, default)
     if row_key is None:
         raise ValueError("a lexicon over the broadcast bound needs row_key")
@@ -147,9 +150,11 @@ def annotate(
 
     ``factory`` runs once per worker process and returns a function from a
     batch (Series) to a Series or list of as many results; nested results are
-    lists of dicts or tuples matching ``schema``. The model is never shipped.
+    lists of dicts or tuples matching ``schema``. The factory is shipped, the
+    model never.
     """
-    once = name or f"{factory.__module__}.{factory.__qualname__}"
+    # Two factories share a model only if they are the same code and closure.
+    once = name or hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
     kind = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
 
     nested = isinstance(kind, T.StructType)

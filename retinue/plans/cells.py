@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from retinue.functions.strings import bytes_to_text, decode_base64, encode_base64, file_name
+from retinue.functions.strings import bytes_to_text, decode_base64, encode_base64, epoch_millis, file_name
 from retinue.functions.text import tokenize
 from retinue.operators.features import backfill_feature
 from retinue.plans.registry import query, table
 from retinue.sinks.cells import CellTable, upsert_cells
-from retinue.sources import tables as T
 from retinue.session import shared_dir
+from retinue.sources import tables as T
+from retinue.sources.files import read_lines
 
 WIDE_SQL = """wide AS (
   SELECT d.doc_id, d.text, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"""
@@ -163,6 +164,19 @@ def bytes_as_text(spark, sf_dir):
     return rows.select("conv_id", "turn", bytes_to_text(F.col("content")).alias("text"))
 
 
+@query("epoch_millis", "SELECT event_id, epoch_us(ts) // 1000 AS millis FROM events")
+def millis(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", epoch_millis(F.col("ts").cast("timestamp")).alias("millis"))
+
+
+@query("read_lines", "SELECT url AS value FROM pages")
+def lines(spark, sf_dir):
+    """Page addresses written as text and read back line by line."""
+    path = shared_dir(spark, "lines")
+    table(spark, sf_dir, "pages").select("url").write.text(path)
+    return read_lines(spark, path)
+
+
 @query("file_name", "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages")
 def names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", file_name(F.col("url")).alias("name"))

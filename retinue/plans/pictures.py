@@ -42,6 +42,19 @@ def decoded(spark, sf_dir):
     )
 
 
+@query(
+    "channel_gate",
+    """SELECT 'img' || CAST(vec_id // 10 AS VARCHAR) AS image_name, CAST(min(label) % 4 + 1 AS INTEGER) AS channels
+       FROM embeddings GROUP BY vec_id // 10 HAVING min(label) % 4 + 1 IN (1, 3)""",
+)
+def gate(spark, sf_dir):
+    """Image records of one to four channels, of which only those of 1 or 3 pass."""
+    rows = derived.descriptors(spark, sf_dir).groupBy("image_name").agg(F.min("label").alias("label"))
+    channels = (F.col("label") % 4 + 1).cast("int").alias("nChannels")
+    passed = channel_gate(rows.select("image_name", F.struct(channels).alias("image")))
+    return passed.select("image_name", F.col("image.nChannels").alias("channels"))
+
+
 @query("publish_files", "SELECT DISTINCT 'img' || CAST(vec_id // 10 AS VARCHAR) || '.png' AS key, true AS whole FROM embeddings")
 def publish_files(spark, sf_dir):
     """Every picture file as a message, compared with the bytes it was drawn with."""

@@ -60,6 +60,19 @@ def chains():
     return run
 
 
+def prefixer(mark):
+    def factory():
+        return lambda batch: [mark + t for t in batch]
+
+    return factory
+
+
+def test_factories_of_one_name_do_not_share_a_model(spark):
+    df = spark.createDataFrame([("ab",)], "t string")
+    for mark in ("x", "y"):
+        assert X.annotate(df, "t", prefixer(mark), "string").first().annotation == mark + "ab"
+
+
 def test_annotate_with_nested_results(spark):
     df = spark.createDataFrame([("ab",), ("cd",)], "t string")
     schema = "array<struct<head: string, mentions: array<struct<sent: int, start: int, mention: string>>>>"
