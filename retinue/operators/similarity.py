@@ -17,6 +17,7 @@ Neither form materialises the pairs.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ SLACK = 1e-9
 
 def top_k_similar(
     queries: DataFrame,
-    gallery: DataFrame,
+    gallery: DataFrame | Gallery,
     k: int = 10,
     key: str = "image_name",
     vector: str = "histogram",
@@ -58,6 +59,10 @@ def top_k_similar(
     Exact; ties go to the smaller name; a gallery below ``k`` rows gives fewer
     rows. Keys are unique on both sides; rows without a vector take no part.
     """
+    if not isinstance(gallery, Gallery):
+        gallery = Gallery(gallery, k, key, vector)
+    elif gallery.k is None or gallery.k < k:
+        raise ValueError("the gallery was prepared for fewer results")
     search = _Search(queries, gallery, key, vector, k=k)
     near = search.candidates(broadcast_queries, tile_rows)
     order = Window.partitionBy("query").orderBy("distance", "match")
@@ -85,7 +90,7 @@ def all_matches(
     them and counted in ``copies``; :func:`copies_of` lists its members. So the
     result is whole, yet a large group of copies does not multiply out.
     """
-    search = _Search(queries, gallery, key, vector, max_distance=max_distance)
+    search = _Search(queries, Gallery(gallery, None, key, vector), key, vector, max_distance=max_distance)
     near = search.candidates(broadcast_queries, tile_rows)
     return near.select("query", "distance", "match", "copies")
 
@@ -112,31 +117,67 @@ def pairwise_distance(
     return joined.select("query", "match", distance.alias("distance"))
 
 
+class Gallery:
+    """The gallery side of a search for up to ``k`` nearest rows (or, with ``k=None``, for a radius).
+
+    What the pivot-partitioned join needs of it is made at the first search
+    that takes this form, written to the shared folder, and serves all later
+    searches, such as the batches of a stream.
+    """
+
+    def __init__(self, images: DataFrame, k: int | None = 10, key: str = "image_name", vector: str = "histogram"):
+        self.k = k
+        rows = images.where(F.col(vector).isNotNull()).select(F.col(key).alias("match"), F.col(vector).alias("vector"))
+        if k is None:
+            heads = rows.groupBy("vector").agg(F.min("match").alias("match"), F.count("*").alias("copies"))
+            rows = heads.select("match", "vector", "copies")
+        self.rows = rows
+
+    @cached_property
+    def cells(self) -> tuple[DataFrame, dict, np.ndarray] | None:
+        """Rows with their ``cell`` and ``reach`` (distance to its pivot), the cells' sizes and ranges, the pivots."""
+        rows, spark = self.rows, self.rows.sparkSession
+        if self.k is not None:
+            # Of images with the same vector only the k first names can appear
+            # in a result. The limit is applied before the shuffle as well, so
+            # a huge group of copies costs k rows per task.
+            order = Window.partitionBy("vector").orderBy("match")
+            rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= self.k).drop("nth")
+        rows = materialise(rows, "gallery")
+        n_pivots = min(MAX_PIVOTS, max(1, math.isqrt(rows.count())))
+        # A fixed pseudo-random choice; it steers the cost, never the result.
+        copies = self.k or 1
+        chosen = rows.select("vector").orderBy(F.xxhash64("vector")).limit(n_pivots * copies).toArrow()
+        if not chosen.num_rows:
+            return None
+        pivots = np.unique(to_matrix(chosen.column("vector")), axis=0)[:n_pivots]
+        added = [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]
+        cell_of = _cell_of(spark.sparkContext.broadcast(pivots))
+        celled = materialise(rows.mapInArrow(cell_of, T.StructType(rows.schema.fields + added)), "cells")
+        # At most one row per pivot reaches the driver.
+        sizes = celled.groupBy("cell").agg(
+            F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
+        )
+        return celled, sizes.toArrow().to_pydict(), pivots
+
+
 class _Search:
     """One search: what is asked (``k`` nearest or a radius) and over which rows."""
 
     def __init__(self, queries, gallery, key, vector, k=None, max_distance=None):
         self.k = k
         self.max_distance = max_distance
-        self.spark = gallery.sparkSession
+        self.gallery = gallery
+        self.spark = queries.sparkSession
         self.queries = queries.where(F.col(vector).isNotNull()).select(
             F.col(key).alias("query"), F.col(vector).alias("vector")
         )
-        named = gallery.where(F.col(vector).isNotNull()).select(
-            F.col(key).alias("match"), F.col(vector).alias("vector")
-        )
-        if k is not None:
-            self.gallery = named
-        else:
-            self.gallery = named.groupBy("vector").agg(
-                F.min("match").alias("match"), F.count("*").alias("copies")
-            ).select("match", "vector", "copies")
-        element = gallery.schema[vector].dataType.elementType
+        element = gallery.rows.schema["vector"].dataType.elementType
         whole = isinstance(element, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
         self.schema = T.StructType(
             [
                 T.StructField("query", self.queries.schema["query"].dataType),
-                T.StructField("match", self.gallery.schema["match"].dataType),
+                T.StructField("match", gallery.rows.schema["match"].dataType),
                 T.StructField("distance", T.LongType() if whole else T.DoubleType()),
             ]
             + ([] if k is not None else [T.StructField("copies", T.LongType())])
@@ -178,39 +219,15 @@ class _Search:
             if best is not None:
                 yield from best.to_batches()
 
-        return self.gallery.mapInArrow(scan, self.schema)
+        return self.gallery.rows.mapInArrow(scan, self.schema)
 
     # -- pivot-partitioned join -------------------------------------------
 
     def _tile_join(self, tile_rows: int) -> DataFrame:
-        gallery = self.gallery
-        if self.k is not None:
-            # Of images with the same vector only the k first names can appear
-            # in a result. The limit is applied before the shuffle as well, so
-            # a huge group of copies costs k rows per task.
-            order = Window.partitionBy("vector").orderBy("match")
-            nth = gallery.withColumn("nth", F.row_number().over(order))
-            gallery = nth.where(F.col("nth") <= self.k).drop("nth")
-        gallery = materialise(gallery, "gallery")
-        queries = materialise(self.queries, "queries")
-        n_gallery = gallery.count()
-        n_pivots = min(MAX_PIVOTS, max(1, math.isqrt(n_gallery)))
-        # A fixed pseudo-random choice; it steers the cost, never the result.
-        copies = self.k or 1
-        chosen = gallery.select("vector").orderBy(F.xxhash64("vector")).limit(n_pivots * copies).toArrow()
-        if not chosen.num_rows:
+        if self.gallery.cells is None:
             return self.spark.createDataFrame([], self.schema)
-        pivots = np.unique(to_matrix(chosen.column("vector")), axis=0)[:n_pivots]
-        celled = gallery.mapInArrow(
-            _cell_of(self.spark.sparkContext.broadcast(pivots)),
-            T.StructType(
-                gallery.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]
-            ),
-        )
-        # At most one row per pivot reaches the driver.
-        cells = celled.groupBy("cell").agg(
-            F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
-        ).toArrow().to_pydict()
+        celled, cells, pivots = self.gallery.cells
+        queries = materialise(self.queries, "queries")
         plan = self.spark.sparkContext.broadcast((pivots, cells))
         bounded = T.StructType(queries.schema.fields + [T.StructField("bound", T.DoubleType())])
         routed = T.StructType(bounded.fields + [T.StructField("cell", T.IntegerType())])
@@ -259,7 +276,7 @@ class _Search:
             celled.join(layout, "cell")
             .withColumn("gallery_part", F.pmod(F.xxhash64("match"), "gallery_parts").cast("int"))
             .withColumn("query_part", every("query_parts"))
-            .select(*tile, *self.gallery.columns)
+            .select(*tile, *self.gallery.rows.columns)
         )
         match_block, schema = self._matcher(), self.schema
 

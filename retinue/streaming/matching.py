@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from retinue.operators.codebook import SharedCodebook, quantise, share_codebook
 from retinue.operators.features import Extractor, extract_features
-from retinue.operators.similarity import matches_wide, top_k_similar
+from retinue.operators.similarity import Gallery, matches_wide, top_k_similar
 from retinue.sinks.cells import CellTable
 from retinue.sinks.messages import match_log
 from retinue.streaming.batches import run_per_batch
@@ -49,7 +49,8 @@ def match_image_stream(
     The gallery and the codebook are read once and kept by the executors.
     """
     shared = share_codebook(centers)
-    kept = gallery.where(F.col("histogram").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    stored = gallery.where(F.col("histogram").isNotNull()).select("image_name", "histogram")
+    kept = Gallery(stored.persist(StorageLevel.MEMORY_AND_DISK), k)
 
     def match(batch: DataFrame, batch_id: int) -> None:
         # An image sent twice within a batch is one query.

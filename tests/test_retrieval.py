@@ -73,6 +73,35 @@ def test_empty_sides(spark, options):
     assert S.top_k_similar(none, some, 3, **options).count() == 0
 
 
+def test_a_prepared_gallery_serves_several_searches(spark):
+    rng = np.random.default_rng(6)
+    gallery, queries = rng.poisson(2, (120, 4)), rng.poisson(2, (30, 4))
+    prepared = S.Gallery(vectors(spark, gallery, "g"), 5)
+    for options in FORMS:
+        for k in (5, 2):
+            found = S.top_k_similar(vectors(spark, queries, "q"), prepared, k, **options)
+            assert {tuple(r) for r in found.collect()} == brute_force(queries, gallery, k)
+    with pytest.raises(ValueError):
+        S.top_k_similar(vectors(spark, queries, "q"), prepared, 6)
+
+
+def test_float_vectors(spark):
+    rng = np.random.default_rng(7)
+    gallery, queries = rng.normal(size=(80, 3)), rng.normal(size=(20, 3))
+
+    def frame(rows, prefix):
+        data = [(f"{prefix}{i}", row.tolist()) for i, row in enumerate(rows)]
+        return spark.createDataFrame(data, "image_name string, histogram array<double>")
+
+    d = ((queries[:, None] - gallery[None]) ** 2).sum(axis=2)
+    want = {f"q{i}": [f"g{j}" for j in np.argsort(row)[:4]] for i, row in enumerate(d)}
+    for options in FORMS:
+        got = {}
+        for r in S.top_k_similar(frame(queries, "q"), frame(gallery, "g"), 4, **options).orderBy("rank").collect():
+            got.setdefault(r.query, []).append(r.match)
+        assert got == want
+
+
 def test_pairwise_distance(spark):
     rows = vectors(spark, np.array([[1, 2], [4, 6]]), "g")
     pairs = spark.createDataFrame([("g0", "g1"), ("g1", "g0"), ("g0", "g0")], "query string, match string")
