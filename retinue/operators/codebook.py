@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retinue.functions.vectors import list_array, nearest_row, to_matrix
+from retinue.operators.similarity import nearest
 
 #: Most codebook bytes sent to a task in one piece; a larger codebook is
 #: applied piece by piece.
 MAX_CENTER_BYTES = 64 * 1024 * 1024
+#: Most codebook bytes that a task holds in all its pieces.
+MAX_SHARED_BYTES = 1024 * 1024 * 1024
 
 
 def explode_descriptors(
@@ -91,6 +94,10 @@ class SharedCodebook:
     n_centers: int
 
 
+class CodebookTooLarge(ValueError):
+    """The codebook is over ``MAX_SHARED_BYTES``."""
+
+
 def share_codebook(centers: DataFrame | SharedCodebook, max_bytes: int = MAX_CENTER_BYTES) -> SharedCodebook:
     """Send a centres table to the tasks, in pieces of at most ``max_bytes``.
 
@@ -106,6 +113,8 @@ def share_codebook(centers: DataFrame | SharedCodebook, max_bytes: int = MAX_CEN
         raise ValueError("the codebook is empty")
     if last != n - 1:
         raise ValueError("center_id must be dense from 0")
+    if n * dim * 8 > MAX_SHARED_BYTES:
+        raise CodebookTooLarge("use assign with row_key, then histogram")
     step = max(1, max_bytes // (8 * dim))
     pieces, starts = [], tuple(range(0, n, step))
     for start in starts:
@@ -117,13 +126,13 @@ def share_codebook(centers: DataFrame | SharedCodebook, max_bytes: int = MAX_CEN
 
 def _nearest_struct(piece, first_id: int):
     @F.arrow_udf("struct<distance: double, center_id: int>")
-    def nearest(descriptors: pa.Array) -> pa.Array:
+    def find(descriptors: pa.Array) -> pa.Array:
         index, distance = nearest_row(to_matrix(descriptors), piece.value)
         return pa.StructArray.from_arrays(
             [pa.array(distance), pa.array((index + first_id).astype(np.int32))], ["distance", "center_id"]
         )
 
-    return nearest
+    return find
 
 
 def assign(
@@ -132,19 +141,34 @@ def assign(
     col: str = "descriptor",
     out: str = "cluster",
     max_bytes: int = MAX_CENTER_BYTES,
+    row_key: list[str] | None = None,
 ) -> DataFrame:
     """Nearest centre of every descriptor by squared distance, lowest id on ties.
 
     No shuffle: the codebook travels to the rows. A codebook over ``max_bytes``
     is applied in several pieces within the same pass and the least
-    (distance, id) wins.
+    (distance, id) wins. One over ``MAX_SHARED_BYTES`` is joined instead, as the
+    gallery of a nearest-row search; ``row_key`` must then identify the rows.
     """
-    shared = share_codebook(centers, max_bytes)
+    try:
+        shared = share_codebook(centers, max_bytes)
+    except CodebookTooLarge:
+        if not row_key:
+            raise
+        return _assign_by_search(df, centers, col, out, row_key)
     best = [_nearest_struct(piece, start)(F.col(col)) for piece, start in zip(shared.pieces, shared.starts)]
     winner = best[0] if len(best) == 1 else F.least(*best)
     return df.where(F.col(col).isNotNull()).withColumn(out, winner["center_id"])
 
 
+def _assign_by_search(df, centers, col, out, row_key):
+    rows = df.where(F.col(col).isNotNull()).withColumn("_row", F.to_json(F.struct(*row_key)))
+    asked = rows.select("_row", F.col(col).cast("array<double>").alias("vector"))
+    stored = centers.select(F.col("center_id").alias("_row"), F.col("center").alias("vector"))
+    found = nearest(asked, stored, key="_row", vector="vector", broadcast_queries=0)
+    return rows.join(found.select(F.col("query").alias("_row"), F.col("match").alias(out)), "_row").drop("_row")
+
+
 def histogram(
     assigned: DataFrame, n_centers: int, key: str = "image_name", cluster: str = "cluster"
 ) -> DataFrame:
@@ -178,7 +202,8 @@ def quantise(
     """Histogram of each image from its own descriptor array, without a shuffle.
 
     ``empty="drop"`` leaves out images that have no descriptor, ``"zero"``
-    gives them an all-zero histogram.
+    gives them an all-zero histogram. A codebook over ``MAX_SHARED_BYTES`` goes
+    through :func:`explode_descriptors`, :func:`assign` and :func:`histogram`.
     """
     if empty not in ("drop", "zero"):
         raise ValueError("empty must be 'drop' or 'zero'")

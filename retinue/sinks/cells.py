@@ -91,7 +91,8 @@ class CellTable:
     def put(self, updates: DataFrame, order: str | None = None, put_id: int | None = None) -> int:
         """Write the non-null cells of ``updates``.
 
-        A repeated write of the same rows changes nothing, with the same
+        Keys within one write are unique, unless ``order`` names the column that
+        decides between several values of a cell. A repeated write of the same rows changes nothing, with the same
         ``put_id`` (its folder is replaced) or with a new one.
         """
         put_id = time.time_ns() if put_id is None else put_id

@@ -209,6 +209,18 @@ def test_histograms_by_row_and_by_group(spark, max_bytes):
     assert {r.image_name: list(r.histogram) for r in by_group} == filled
 
 
+def test_a_codebook_too_large_to_share_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_SHARED_BYTES", 8)
+    df, centers, want = images_and_centers(spark)
+    rows = C.explode_descriptors(df, "f")
+    by_group = C.histogram(C.assign(rows, centers, row_key=["image_name", "pos"]), 9).collect()
+    assert {r.image_name: list(r.histogram) for r in by_group} == {n: h for n, h in want.items() if sum(h)}
+    with pytest.raises(ValueError):
+        C.assign(rows, centers)
+    with pytest.raises(ValueError):
+        C.quantise(df, centers, "f")
+
+
 def test_histogram_sums_to_descriptors(spark):
     df, centers, _ = images_and_centers(spark)
     for row in C.quantise(df, centers, "f").collect():
