@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retinue.llm import exact_dedup, near_dedup
+from retinue.llm import deleted_interpolation, exact_dedup, near_dedup, packing, pii, quality
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -76,3 +78,27 @@ GROUP BY d.doc_id
 @query("op8_minhash_near_dedup", NEAR_SQL)
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_trees")
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_candidate_boosting")
+def op2_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train(docs)).drop("redacted")
+
+
+@query("op7_order_packing")
+def op7_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), ranks)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op4_deleted_interpolation")
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.scores(table(spark, sf_dir, "documents"))

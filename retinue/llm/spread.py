@@ -57,3 +57,12 @@ def slot_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """
     slots = wanted.select(slot_of(F.col(key)).alias("_slot")).distinct()
     return rows.withColumn("_slot", slot_of(F.col(key))).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone``; only rows in a slot of ``gone`` are moved. A null key stays."""
+    slots = F.broadcast(gone.select(slot_of(F.col(key)).alias("_slot")).distinct())
+    placed = rows.withColumn("_slot", slot_of(F.col(key)))
+    clear = placed.join(slots, "_slot", "left_anti")
+    checked = placed.join(slots, "_slot", "left_semi").join(gone.select(key), key, "left_anti")
+    return clear.select(*rows.columns).union(checked.select(*rows.columns))
