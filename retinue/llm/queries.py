@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retinue.llm import deleted_interpolation, exact_dedup, near_dedup, packing, pii, quality
+from retinue.llm import deleted_interpolation, exact_dedup, near_dedup, packing, pieces, pii, quality
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +102,15 @@ def op7_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_deleted_interpolation")
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op6_piece_backtracking")
+def op6_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
