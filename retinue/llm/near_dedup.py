@@ -26,9 +26,11 @@ BANDS = 56
 ROWS = 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-#: Similarity below which a sketch rules a pair out: six and a half standard
-#: deviations of the estimate below the threshold.
+#: A pair whose sketches tell less similarity than this is not linked: six and a
+#: half standard deviations of the estimate below the threshold.
 RULED_OUT = 0.5
+#: A pair whose sketches tell less than this is under half similar, by as wide a margin.
+FAR = 0.3
 #: Sets linked when PERCENT_OF_UNION * union <= 100 * intersection.
 PERCENT_OF_UNION = 75
 #: Shingles handled at once, so that the sample matrix stays in the cache.
@@ -117,20 +119,87 @@ def _differing(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, words)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct ``pairs`` ``<a, b>`` whose sets are similar enough: first by sketch, then by full sets."""
+def _attach(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """``column`` of both ends of the pairs ``<a, b>``."""
+    for side in ("a", "b"):
+        own = found.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}"))
+        pairs = spread_join(pairs, own, side, ["a", "b"])
+    return pairs
 
-    def attach(rows: DataFrame, side: str, found: DataFrame, column: str) -> DataFrame:
-        return spread_join(rows, found.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side, ["a", "b"])
 
-    pairs = materialise(pairs, "near-pairs")
-    sifted = attach(attach(pairs, "a", sketches, "sketch"), "b", sketches, "sketch")
-    sifted = sifted.filter(_differing("sketch_a", "sketch_b") <= most_different_bits(RULED_OUT)).select("a", "b")
-    sifted = materialise(sifted, "near-sifted")
-    both = attach(attach(sifted, "a", sets, "shingles"), "b", sets, "shingles")
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    both = both.select("a", "b", common.alias("common"), (F.size("shingles_a") + F.size("shingles_b")).alias("sizes"))
-    return both.filter(100 * F.col("common") >= PERCENT_OF_UNION * (F.col("sizes") - F.col("common"))).select("a", "b")
+def _close(pairs: DataFrame, least: float):
+    """Whether the sketches of a pair tell at least this similarity."""
+    return _differing("sketch_a", "sketch_b") <= most_different_bits(least)
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``<a, b, size_a, size_b, common, added>`` of pairs, from their full sets; ``added`` is what only ``a`` has."""
+    common = F.size(F.array_intersect("shingles_a", "shingles_b")).alias("common")
+    sizes = [F.size(f"shingles_{side}").alias(f"size_{side}") for side in ("a", "b")]
+    return _attach(pairs, sets, "shingles").select("a", "b", *sizes, common, F.array_except("shingles_a", "shingles_b").alias("added"))
+
+
+def _linked(common, sizes):
+    """Whether sets with ``common`` elements and together ``sizes`` are similar enough."""
+    return 100 * common >= PERCENT_OF_UNION * (sizes - common)
+
+
+def _least_common(sizes):
+    """Elements that linked sets of together ``sizes`` have in common at least."""
+    return F.ceil(PERCENT_OF_UNION * sizes / F.lit(100 + PERCENT_OF_UNION))
+
+
+def _across(stars: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``<a, b>`` of a star in different components that may still be linked.
+
+    ``stars`` is ``<centre, node, label, centre_label, size, common, near, added>``;
+    ``common`` is null for nodes far from the centre. What two nodes have in
+    common lies in the centre's set, where it is at most what the lesser of the
+    two shares with the centre, or among the shingles that each adds to it. So
+    two nodes are candidates only if the former is enough for a link, or if the
+    shingles that both add can make up for what is missing. A node far from the
+    centre is under half similar to it, so it is not linked with one that is
+    linked to the centre; with the others its sketch decides.
+    """
+    other = F.col("label") != F.col("centre_label")
+    bounds = stars.groupBy("centre").agg(
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.min("size").alias("least"),
+        F.max(F.when(other, F.col("common"))).alias("most"),
+    )
+    bounds = bounds.filter("low <> high").select("centre", "least", "most")
+    mixed = materialise(spread_join(stars, bounds, "centre", ["node"]).withColumn("other", other), "near-mixed")
+
+    def twice(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+        """Rows in another component than the centre, with the rows of other components at the same keys."""
+        left = rows.filter("other").select(*keys, *(F.col(c).alias(f"{c}_a") for c in columns))
+        right = rows.select(*keys, *(F.col(c).alias(f"{c}_b") for c in columns))
+        return left.join(right, keys).filter("label_a <> label_b")
+
+    drawn = spread_join(mixed.filter("NOT near").drop("added"), sketches, "node", ["centre"])
+    far = twice(drawn.withColumn("other", F.lit(True)), ["centre"], ["node", "label", "common", "sketch"])
+    far = far.filter((F.col("common_a").isNull() | F.col("common_b").isNull()) & _close(far, RULED_OUT))
+
+    # Without a shared added shingle: both share enough with the centre.
+    known = mixed.filter("common IS NOT NULL")
+    enough = known.filter(F.col("common") >= _least_common(F.col("size") + F.col("least")))
+    inside = twice(enough.drop("added"), ["centre"], ["node", "label", "size", "common"])
+    inside = inside.filter(_linked(F.least("common_a", "common_b"), F.col("size_a") + F.col("size_b")))
+
+    # With shared added shingles: enough of them are added by others too.
+    share = F.when(F.col("other"), F.col("common")).otherwise(F.least("common", "most"))
+    missing = F.greatest(F.lit(1), _least_common(F.col("size") + F.col("least")) - share).alias("missing")
+    added = known.filter("most IS NOT NULL").select("centre", "node", "label", "other", missing, F.explode("added").alias("shingle"))
+    repeated = added.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("other").alias("wanted"))
+    added = added.join(repeated.filter("n > 1 AND wanted").select("centre", "shingle"), ["centre", "shingle"])
+    able = added.groupBy("centre", "node").agg(F.count(F.lit(1)).alias("n"), F.max("missing").alias("least"))
+    able = able.filter("n >= least").select("centre", "node")
+    added = materialise(added.join(able, ["centre", "node"]), "near-added")
+    outside = twice(added, ["centre", "shingle"], ["node", "label"])
+
+    pairs = [found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")) for found in (far, inside, outside)]
+    return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -142,9 +211,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with equal sets form a class, and classes are what is linked. In each
     band bucket all classes are first compared with one of them, the class that
-    shares most buckets; classes of a bucket that are then still in different
-    components are compared across these. So a large group costs about one
-    comparison per member and no link between components is left out.
+    shares most buckets; classes of such a star that are then still in different
+    components are compared if what they share with the centre, and add to it,
+    allows a link. So a large group costs about one comparison per member and no
+    link between components is left out.
 
     * Null text, empty text and text without words have an empty set and are linked with nothing.
     * A null ``doc_id`` is linked with nothing, has a null ``component_id`` and is kept.
@@ -175,25 +245,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = slot_filter(texts, "node", degrees).mapInArrow(_shingle_rows, "node long, shingles array<long>")
     sets = materialise(sets.join(degrees.select("node"), "node", "left_semi"), "near-sets")
 
-    # Each bucket against its class of highest degree.
+    # Each bucket against its class of highest degree, the centre of a star.
     centre = F.max(F.struct("degree", F.bitwise_not("node").alias("other"))).alias("top")
     centres = members.groupBy("key").agg(centre).select("key", F.bitwise_not("top.other").alias("b"))
-    stars = spread_join(members, centres, "key", ["node"], sizes=shared).filter("node <> b")
-    stars = stars.select(F.col("node").alias("a"), "b").distinct()
-    links = materialise(confirm(stars, sketches, sets), "near-links")
-
-    # What a bucket still holds in different components is compared across them.
+    pairs = spread_join(members, centres, "key", ["node"], sizes=shared).filter("node <> b")
+    pairs = materialise(pairs.select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
+    sifted = _attach(pairs, sketches, "sketch")
+    sifted = materialise(sifted.select("a", "b", _close(sifted, FAR).alias("close")), "near-sifted")
+    measured = materialise(_measured(sifted.filter("close").select("a", "b"), sets), "near-measured")
+    measured = measured.withColumn("near", _linked(F.col("common"), F.col("size_a") + F.col("size_b")))
+    links = measured.filter("near").select("a", "b")
+
+    # What a star still holds in different components is compared across them.
     labels = components(links)
-    held = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "_n")
-    held = materialise(held, "near-held")
-    mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    held = materialise(spread_join(held, mixed, "key", ["node"], "left_semi", sizes=shared), "near-mixed")
-    held = materialise(held.join(sketches, "node"), "near-mixed")
-    other = held.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
-    across = held.withColumnsRenamed({"node": "a", "sketch": "sketch_a"}).join(other, "key")
-    across = across.filter((F.col("label") < F.col("label_b")) & (_differing("sketch_a", "sketch_b") <= most_different_bits(RULED_OUT)))
-    more = confirm(across.select("a", "b").distinct(), sketches, sets)
-    labels = components(materialise(links.union(more), "near-links"))
+    names = ["b", "a", "size_a", "common", "near", "added"]
+    known = measured.select(*names)
+    none = F.array().cast("array<long>")
+    distant = sifted.filter("NOT close").select("b", "a", F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(False), none)
+    hubs = measured.select("b", F.col("b").alias("a"), F.col("size_b"), F.col("size_b").alias("common"), F.lit(True), none).distinct()
+    stars = known.union(distant).union(hubs).toDF("centre", "node", "size", "common", "near", "added")
+    for end, label in (("node", "label"), ("centre", "centre_label")):
+        stars = spread_join(stars, labels.select(F.col("node").alias(end), F.col("label").alias(label)), end, ["node", "centre"], "left")
+        stars = stars.withColumn(label, F.coalesce(label, end))
+    stars = materialise(stars, "near-stars")
+    across = materialise(_across(stars, sketches), "near-pairs")
+    across = _measured(across, sets).filter(_linked(F.col("common"), F.col("size_a") + F.col("size_b"))).select("a", "b")
+    across = materialise(across, "near-links")
+    if not across.isEmpty():
+        labels = components(links.union(across))
 
     found = classed.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("node"))
     found = spread_join(found, labels, "node", ["doc_id"], "left", total=n)
