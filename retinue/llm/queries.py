@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retinue.llm import deleted_interpolation, exact_dedup, near_dedup, packing, pieces, pii, quality
+from retinue.llm import (
+    deleted_interpolation,
+    exact_dedup,
+    line_spread,
+    near_dedup,
+    packing,
+    pieces,
+    pii,
+    preferences,
+    quality,
+    url_lists,
+)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +125,127 @@ def op6_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+PREFERENCE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS pair_id, 'c' AS side, turn, role, text FROM conversations
+  UNION ALL
+  SELECT conv_id, 'r', turn, role,
+         CASE WHEN turn > conv_id % 3 AND role = 'assistant' THEN 'Sorry. ' || text ELSE text END
+  FROM conversations WHERE NOT (conv_id % 4 = 0 AND turn >= 6)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS p,
+         '<|' || coalesce(role, '') || '|>' || chr(10) AS header,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered
+  FROM turns),
+prefixes AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id,
+         min(CASE WHEN c.p IS NULL OR r.p IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text
+                  THEN coalesce(c.p, r.p) END) AS differs, count(*) AS n
+  FROM (FROM placed WHERE side = 'c') c FULL JOIN (FROM placed WHERE side = 'r') r ON c.pair_id = r.pair_id AND c.p = r.p
+  GROUP BY 1),
+split AS (
+  SELECT placed.*, coalesce(differs - 1, n) AS n_prompt_turns,
+         sum(CASE WHEN p > coalesce(differs - 1, n) THEN length(rendered) ELSE 0 END)
+           OVER (PARTITION BY pair_id, side ORDER BY p) AS stop
+  FROM placed JOIN prefixes USING (pair_id))
+SELECT pair_id, CAST(any_value(n_prompt_turns) AS INTEGER) AS n_prompt_turns,
+       coalesce(string_agg(rendered, '' ORDER BY p) FILTER (WHERE side = 'c' AND p <= n_prompt_turns), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY p) FILTER (WHERE side = 'c' AND p > n_prompt_turns), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY p) FILTER (WHERE side = 'r' AND p > n_prompt_turns), '') AS rejected,
+       coalesce(string_agg((stop - length(rendered) + length(header)) || ':' || (stop - 1), ',' ORDER BY p)
+         FILTER (WHERE side = 'c' AND p > n_prompt_turns AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((stop - length(rendered) + length(header)) || ':' || (stop - 1), ',' ORDER BY p)
+         FILTER (WHERE side = 'r' AND p > n_prompt_turns AND role = 'assistant'), '') AS rejected_mask
+FROM split GROUP BY pair_id
+"""
+
+
+@query("op1_preference_pairs", PREFERENCE_SQL)
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the chosen one; the rejected one goes on differently after the first turns or ends earlier."""
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
+    worse = (F.col("turn") > F.col("pair_id") % 3) & (F.col("role") == "assistant")
+    rejected = turns.filter("NOT (pair_id % 4 = 0 AND turn >= 6)")
+    rejected = rejected.withColumn("text", F.when(worse, F.concat(F.lit("Sorry. "), "text")).otherwise(F.col("text")))
+    pairs = preferences.format_preferences(turns, rejected)
+    for mask in ("chosen_mask", "rejected_mask"):
+        pairs = pairs.withColumn(mask, F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
+    return pairs
+
+
+#: Begin and length in seconds of the year in which the derived list and captures lie.
+YEAR, SECONDS = 1_704_067_200, 31_536_000
+URL_SQL = rf"""
+WITH captures AS (
+  SELECT page_id, url, {YEAR} + page_id * 475140 % {SECONDS} AS fetched,
+         lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
+         regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
+  FROM pages),
+named AS (
+  SELECT key, level, CAST('0x' || substr(md5(key), 1, 4) AS BIGINT) AS k
+  FROM (SELECT DISTINCT host AS key, 'host' AS level FROM captures
+        UNION ALL SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.'), 'domain' FROM captures)),
+entries AS (
+  SELECT key, {YEAR} + k * 480 AS time, 'block' AS action FROM named WHERE level = 'domain' OR k % 3 = 0
+  UNION ALL SELECT key, {YEAR} + k * 480 + 5184000, 'remove' FROM named WHERE level = 'domain' OR k % 6 = 0
+  UNION ALL SELECT key, {YEAR} + k * 240, 'allow' FROM named WHERE level = 'host' AND k % 5 = 0
+  UNION ALL SELECT host || path, {YEAR} + page_id * 6283740 % {SECONDS}, 'block' FROM captures WHERE page_id % 50 = 0),
+changes AS (
+  SELECT key, time, first(action ORDER BY CASE action WHEN 'block' THEN 1 WHEN 'allow' THEN 2 ELSE 3 END) AS action
+  FROM entries GROUP BY key, time),
+intervals AS (
+  SELECT key, action, time AS valid_from, lead(time) OVER (PARTITION BY key ORDER BY time) AS valid_to FROM changes),
+found AS (
+  SELECT c.page_id, i.key, i.action, i.valid_from,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(i.key) DESC) AS n, count(*) OVER (PARTITION BY c.page_id) AS n_active
+  FROM captures c JOIN intervals i
+    ON i.action <> 'remove' AND i.valid_from <= c.fetched AND (i.valid_to IS NULL OR c.fetched < i.valid_to)
+   AND (i.key = c.host || c.path
+        OR ((i.key = c.host OR ends_with(c.host, '.' || i.key)) AND (contains(i.key, '.') OR i.key = c.host))))
+SELECT c.page_id, c.url, c.fetched, CAST(1 AS BIGINT) AS n_rows, coalesce(f.n_active, 0) AS n_active,
+       f.key, f.action, f.valid_from, f.action IS DISTINCT FROM 'block' AS kept
+FROM captures c LEFT JOIN found f ON f.page_id = c.page_id AND f.n = 1
+"""
+
+
+@query("op5_url_list_intervals", URL_SQL)
+def op5_url_list_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture within a year, against a list with changes of its hosts, domains and some addresses."""
+    fetched = (F.lit(YEAR) + F.col("page_id") * 475140 % SECONDS).alias("fetched")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched)
+    hosts = captures.select(url_lists.host_of(F.col("url")).alias("key")).distinct()
+    domains = hosts.select(F.array_join(F.slice(F.split("key", r"\."), F.greatest(-F.size(F.split("key", r"\.")), F.lit(-2)), 2), ".").alias("key"))
+    named = hosts.withColumn("level", F.lit("host")).union(domains.distinct().withColumn("level", F.lit("domain")))
+    named = named.withColumn("k", F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("long"))
+    changes = [
+        ("level = 'domain' OR k % 3 = 0", F.col("k") * 480, "block"),
+        ("level = 'domain' OR k % 6 = 0", F.col("k") * 480 + 5_184_000, "remove"),
+        ("level = 'host' AND k % 5 = 0", F.col("k") * 240, "allow"),
+    ]
+    entries = [named.filter(which).select("key", (F.lit(YEAR) + at).alias("time"), F.lit(action).alias("action")) for which, at, action in changes]
+    time = (F.lit(YEAR) + F.col("page_id") * 6283740 % SECONDS).alias("time")
+    addresses = captures.filter("page_id % 50 = 0").select(url_lists.address_of(F.col("url")).alias("key"), time, F.lit("block").alias("action"))
+    dated = entries[0].union(entries[1]).union(entries[2]).union(addresses)
+    return url_lists.filter_captures(captures, dated)
+
+
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS source, p, parts[p] AS line,
+         regexp_full_match(parts[p], '[\x20\x09\x0B-\x0D]*') AS blank
+  FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS p
+        FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+shared AS (SELECT line FROM lines WHERE NOT blank GROUP BY line HAVING count(DISTINCT source) >= 5)
+SELECT l.doc_id, count(*) FILTER (WHERE NOT blank) AS n_lines, count(s.line) AS n_removed,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY p) FILTER (WHERE s.line IS NULL), '')) AS text_sha256
+FROM lines l LEFT JOIN shared s ON s.line = l.line AND NOT blank
+GROUP BY l.doc_id
+"""
+
+
+@query("op9_line_site_spread", LINES_SQL)
+def op9_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_spread.remove_shared_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
