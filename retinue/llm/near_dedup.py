@@ -227,8 +227,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = filled.groupBy("mark").agg(F.min("doc_id").alias("class_id"))
     classed = spread_join(signed, classes, "mark", ["doc_id"], "left", total=n)
     first = F.col("doc_id") == F.col("class_id")
+    own_class = F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
     classed = classed.select(
-        "doc_id", "n_shingles", "class_id", F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("sketch")).alias("sketch")
+        "doc_id", "n_shingles", own_class, F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("sketch")).alias("sketch")
     )
     classed = materialise(classed, "near-classes")
     leaders = classed.filter("bands IS NOT NULL").withColumnRenamed("class_id", "node")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from bisect import bisect_left
 from collections import deque
 from functools import lru_cache
 
@@ -119,12 +120,13 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
 
     ``places`` ascend from 0, no two neighbours further apart than ``window``;
     the last one is the end. With g = cost + place, g of a cut is its penalty
-    plus ``window`` plus the least g at most ``window`` tokens before it.
+    plus ``window`` plus the least g at most ``window`` tokens before it. The
+    last window costs nothing: it goes on in the next block or needs no padding.
     """
     least = [0] * len(places)
     before = [0] * len(places)
     queue = deque([0])
-    for j in range(1, len(places)):
+    for j in range(1, len(places) - 1):
         earliest = places[j] - window
         while places[queue[0]] < earliest:
             queue.popleft()
@@ -135,6 +137,8 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
         queue.append(j)
     cuts = []
     j = len(places) - 1
+    if j > 0:
+        before[j] = min((i for i in range(bisect_left(places, places[j] - window), j)), key=lambda i: (least[i] - places[i], -i))
     while j > 0:
         cuts.append(places[j])
         j = before[j]
