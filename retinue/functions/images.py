@@ -1,215 +1,23 @@
-"""NumPy image helpers for one image inside a task: decoding, detection, description."""
+"""Writing small test pictures; reading is left to Spark's image source."""
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 
-# Shape of a descriptor and of the scale space.
-CELLS, BINS, STEP = 4, 8, 4
-DIM = CELLS * CELLS * BINS
-SCALES = 3
-SIGMA = 1.6
-CONTRAST = 0.04
-EDGE_RATIO = 10.0
-HARRIS_K = 0.04
-HARRIS_QUALITY = 0.01
-BORDER = 5
-
-
-# -- decoding -------------------------------------------------------------------
-
-
-def decode(content: bytes) -> np.ndarray | None:
-    """Bytes -> (height, width, channels) uint8, or None if they are no readable image.
-
-    PNG needs nothing but the standard library; other formats are read with
-    Pillow where it is installed.
-    """
-    try:
-        if content[:8] == b"\x89PNG\r\n\x1a\n":
-            return _decode_png(content)
-        from PIL import Image
-
-        return np.atleast_3d(np.asarray(Image.open(io.BytesIO(content))))
-    except Exception:
-        return None
-
-
-def _decode_png(content: bytes) -> np.ndarray:
-    at, body, header = 8, b"", None
-    while at < len(content):
-        (size,), kind = struct.unpack(">I", content[at : at + 4]), content[at + 4 : at + 8]
-        data = content[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            header = struct.unpack(">IIBBBBB", data)
-        elif kind == b"IDAT":
-            body += data
-        at += 12 + size
-    width, height, depth, colour, _, _, interlace = header
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlace:
-        raise ValueError("only 8-bit non-interlaced PNG")
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width, channels), np.uint8)
-    above = np.zeros((width, channels), np.uint8)
-    for y in range(height):
-        above = out[y] = _unfilter(rows[y, 0], rows[y, 1:].reshape(width, channels), above)
-    return out
-
-
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 1:
-        return np.cumsum(line, axis=0, dtype=np.uint8)
-    if kind == 2:
-        return line + above
-    out = np.zeros_like(line)
-    left = corner = np.zeros(line.shape[1], np.int16)
-    for x in range(len(line)):
-        up = above[x].astype(np.int16)
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            p = left + up - corner
-            a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-            guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-        out[x] = ((line[x].astype(np.int16) + guess) % 256).astype(np.uint8)
-        left, corner = out[x].astype(np.int16), up
-    return out
+#: Colour types of the file format by number of channels (fixed values).
+COLOUR_TYPES = {1: 0, 3: 2, 4: 6}
 
 
 def encode_png(pixels: np.ndarray) -> bytes:
-    """(height, width) or (height, width, 3) uint8 -> PNG bytes."""
-    height, width = pixels.shape[:2]
-    colour = 0 if pixels.ndim == 2 else 2
-    lines = np.zeros((height, 1 + pixels[0].size), np.uint8)
+    """(height, width) or (height, width, channels) uint8 -> an unfiltered PNG file."""
+    pixels = np.atleast_3d(pixels)
+    height, width, channels = pixels.shape
+    lines = np.zeros((height, 1 + width * channels), np.uint8)
     lines[:, 1:] = pixels.reshape(height, -1)
-
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-    header = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)
-    return (
-        b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
-    )
-
-
-def to_grey(pixels: np.ndarray | None) -> np.ndarray | None:
-    """Grey values in 0..1 of a 1- or 3-channel image; any other channel count gives None."""
-    if pixels is None or pixels.shape[2] not in (1, 3):
-        return None
-    return pixels.astype(np.float64).mean(axis=2) / 255.0
-
-
-# -- detection --------------------------------------------------------------------
-
-
-def blur(image: np.ndarray, sigma: float) -> np.ndarray:
-    radius = max(1, int(3 * sigma + 0.5))
-    taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    taps /= taps.sum()
-    for axis in (0, 1):
-        pad = [(radius, radius) if a == axis else (0, 0) for a in (0, 1)]
-        wide = np.pad(image, pad, mode="edge")
-        n = image.shape[axis]
-        image = sum(t * np.take(wide, np.arange(i, i + n), axis=axis) for i, t in enumerate(taps))
-    return image
-
-
-def _neighbourhood_max(stack: np.ndarray) -> np.ndarray:
-    """Maximum over the 3-wide window of every axis, for the inner cells."""
-    for axis in range(stack.ndim):
-        n = stack.shape[axis] - 2
-        stack = np.maximum.reduce([np.take(stack, np.arange(i, i + n), axis=axis) for i in range(3)])
-    return stack
-
-
-def dog_points(grey: np.ndarray):
-    """(level image, y, x) of the difference-of-Gaussian extrema, octave by octave."""
-    image = grey
-    while min(image.shape) >= 2 * BORDER + 2:
-        sigmas = SIGMA * 2.0 ** (np.arange(SCALES + 3) / SCALES)
-        levels = np.stack([blur(image, s) for s in sigmas])
-        diff = np.diff(levels, axis=0)
-        inner = diff[1:-1, 1:-1, 1:-1]
-        peak = (inner == _neighbourhood_max(diff)) | (-inner == _neighbourhood_max(-diff))
-        peak &= np.abs(inner) > CONTRAST / SCALES / 2
-        dxx = diff[1:-1, 1:-1, 2:] + diff[1:-1, 1:-1, :-2] - 2 * inner
-        dyy = diff[1:-1, 2:, 1:-1] + diff[1:-1, :-2, 1:-1] - 2 * inner
-        dxy = (diff[1:-1, 2:, 2:] + diff[1:-1, :-2, :-2] - diff[1:-1, 2:, :-2] - diff[1:-1, :-2, 2:]) / 4
-        det = dxx * dyy - dxy**2
-        peak &= (det > 0) & ((dxx + dyy) ** 2 * EDGE_RATIO < (EDGE_RATIO + 1) ** 2 * det)
-        for scale in range(SCALES):
-            y, x = np.nonzero(peak[scale])
-            yield levels[scale + 1], y + 1, x + 1
-        image = levels[SCALES][::2, ::2]
-
-
-def harris_points(grey: np.ndarray):
-    """(level image, y, x) of the Harris corners."""
-    if min(grey.shape) < 2 * BORDER + 2:
-        return
-    smooth = blur(grey, 1.0)
-    gy, gx = np.gradient(smooth)
-    a, b, c = blur(gx * gx, 1.5), blur(gx * gy, 1.5), blur(gy * gy, 1.5)
-    response = a * c - b * b - HARRIS_K * (a + c) ** 2
-    inner = response[1:-1, 1:-1]
-    peak = (inner == _neighbourhood_max(response)) & (inner > max(HARRIS_QUALITY * response.max(), 1e-12))
-    y, x = np.nonzero(peak)
-    yield blur(grey, SIGMA), y + 1, x + 1
-
-
-# -- description --------------------------------------------------------------------
-
-
-def describe(level: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(n, 128) whole numbers 0..255: rotated 4x4 grid of 8-bin gradient histograms."""
-    gy, gx = np.gradient(level)
-    size, angle = np.hypot(gx, gy), np.arctan2(gy, gx)
-    half = CELLS * STEP / 2
-    v, u = np.meshgrid(np.arange(-half, half) + 0.5, np.arange(-half, half) + 0.5, indexing="ij")
-    weight = np.exp(-(u**2 + v**2) / (2 * half**2))
-
-    def sample(turn):
-        cos, sin = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
-        at_y = np.clip(np.rint(y[:, None, None] + sin * u + cos * v), 0, level.shape[0] - 1).astype(int)
-        at_x = np.clip(np.rint(x[:, None, None] + cos * u - sin * v), 0, level.shape[1] - 1).astype(int)
-        return size[at_y, at_x] * weight, angle[at_y, at_x]
-
-    n = np.arange(len(y))
-    strength, direction = sample(np.zeros(len(y)))
-    votes = np.zeros((len(y), 36))
-    np.add.at(votes, (n[:, None, None], (direction / (2 * np.pi) * 36).astype(int) % 36), strength)
-    turn = (votes.argmax(axis=1) + 0.5) * 2 * np.pi / 36
-
-    strength, direction = sample(turn)
-    position = ((direction - turn[:, None, None]) / (2 * np.pi) * BINS) % BINS
-    low = np.floor(position).astype(int) % BINS
-    share = position - np.floor(position)
-    cell_y = ((v + half) // STEP).astype(int)[None].repeat(len(y), 0)
-    cell_x = ((u + half) // STEP).astype(int)[None].repeat(len(y), 0)
-    out = np.zeros((len(y), CELLS, CELLS, BINS))
-    owner = n[:, None, None] + np.zeros_like(cell_y)
-    np.add.at(out, (owner, cell_y, cell_x, low), strength * (1 - share))
-    np.add.at(out, (owner, cell_y, cell_x, (low + 1) % BINS), strength * share)
-    flat = out.reshape(len(y), DIM)
-    for _ in range(2):
-        norm = np.linalg.norm(flat, axis=1, keepdims=True)
-        flat = np.minimum(flat / np.maximum(norm, 1e-12), 0.2)
-    flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
-    return np.minimum(np.rint(flat * 512), 255).astype(np.float32)
-
-
-DETECTORS: dict[str, Callable] = {"sift": dog_points, "harris": harris_points}
-
-
-def extract(grey: np.ndarray, kind: str) -> np.ndarray:
-    """(n, 128) descriptors of all points of one image."""
-    parts = [describe(level, y, x) for level, y, x in DETECTORS[kind](grey) if len(y)]
-    return np.concatenate(parts) if parts else np.zeros((0, DIM), np.float32)
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, COLOUR_TYPES[channels], 0, 0, 0))]
+    parts += [(b"IDAT", zlib.compress(lines.tobytes())), (b"IEND", b"")]
+    chunks = [struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data)) for kind, data in parts]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(chunks)

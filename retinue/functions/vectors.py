@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cells of a distance block held at once by one task (float64, so 32 MB).
 BLOCK_CELLS = 4_000_000
@@ -17,6 +18,10 @@ def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
+    lengths = pc.list_value_length(column)
+    least, most = pc.min_max(lengths).values()
+    if least != most:
+        raise ValueError(f"vectors have different lengths, from {least} to {most} values")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1)
 
@@ -28,22 +33,39 @@ def row_blocks(n_rows: int, row_cells: int):
         yield slice(start, min(n_rows, start + step))
 
 
+def direct_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All squared distances, summed value by value; the same whatever the blocks."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1] if a.size else 0):
+        diff = np.subtract.outer(a[:, j], b[:, j])
+        diff *= diff
+        total += diff
+    return total
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All squared distances between the rows of two blocks.
 
-    Whole numbers give exact results: float64 is used while no intermediate
-    passes 2**53, else 64-bit integers.
+    Whole numbers give exact results by matrix products: in float64 while no
+    intermediate passes 2**53, else in 64-bit integers. Other values are summed
+    directly, as expanding the square would cancel.
     """
-    a_norm = np.einsum("ij,ij->i", a, a)
-    b_norm = np.einsum("ij,ij->i", b, b)
-    top = 2 * (a_norm.max(initial=0.0) + b_norm.max(initial=0.0))
-    if top >= EXACT_FLOAT and (a == np.rint(a)).all() and (b == np.rint(b)).all():
+    if not ((a == np.rint(a)).all() and (b == np.rint(b)).all()):
+        return direct_distances(a, b)
+    top = 2 * (np.einsum("ij,ij->i", a, a).max(initial=0.0) + np.einsum("ij,ij->i", b, b).max(initial=0.0))
+    if top >= EXACT_FLOAT:
         ai, bi = a.astype(np.int64), b.astype(np.int64)
         return (
             np.einsum("ij,ij->i", ai, ai)[:, None]
             + np.einsum("ij,ij->i", bi, bi)[None, :]
             - 2 * (ai @ bi.T)
         )
+    return _expanded(a, b)
+
+
+def _expanded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a_norm = np.einsum("ij,ij->i", a, a)
+    b_norm = np.einsum("ij,ij->i", b, b)
     return np.maximum(a_norm[:, None] + b_norm[None, :] - 2.0 * (a @ b.T), 0.0)
 
 
@@ -54,19 +76,21 @@ def nearest_row(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np
     scale = np.einsum("ij,ij->i", centers, centers).max(initial=0.0)
     for block in row_blocks(n, len(centers)):
         x = points[block]
-        d = squared_distances(x, centers)
+        d = _expanded(x, centers)
         pick = d.argmin(axis=1)
         # The matrix product rounds, so rows with a close runner-up are
         # settled on directly summed differences.
         slack = 1e-9 * (np.einsum("ij,ij->i", x, x) + scale)
         close = np.flatnonzero((d <= d[np.arange(len(x)), pick][:, None] + slack[:, None]).sum(axis=1) > 1)
-        for part in row_blocks(len(close), len(centers) * dim):
+        for part in row_blocks(len(close), len(centers)):
             rows = close[part]
-            diff = x[rows][:, None, :] - centers[None, :, :]
-            pick[rows] = (diff * diff).sum(axis=2).argmin(axis=1)
+            pick[rows] = direct_distances(x[rows], centers).argmin(axis=1)
         best[block] = pick
-    diff = points - centers[best] if n else points
-    return best, (diff * diff).sum(axis=1)
+    distance = np.zeros(n)
+    for j in range(dim):
+        diff = points[:, j] - centers[best, j]
+        distance += diff * diff
+    return best, distance
 
 
 def smallest_per_row(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from retinue.functions.vectors import list_array, nearest_row, to_matrix
 from retinue.operators.similarity import nearest
+from retinue.session import materialise
 
 #: Most codebook bytes sent to a task in one piece; a larger codebook is
 #: applied piece by piece.
@@ -51,10 +53,15 @@ def train_codebook(
 def cluster_table(
     rows: DataFrame, cols: list[str], k: int, max_iter: int = 30, runs: int = 3, seed: int = 1
 ) -> tuple[KMeansModel, DataFrame]:
-    """k-means on ordinary numeric columns: the model and ``rows`` with a ``cluster`` column."""
-    assembled = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(rows)
-    model = _best_fit(assembled.select("features"), k, max_iter, runs, seed)
-    return model, model.transform(assembled).withColumnRenamed("prediction", "cluster").drop("features")
+    """k-means on ordinary numeric columns: the model and all ``rows`` with a ``cluster`` column.
+
+    Rows with a null in one of ``cols`` are not trained on and have a null ``cluster``.
+    """
+    assembled = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(rows)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+    model = _best_fit(assembled.where(complete).select("features"), k, max_iter, runs, seed)
+    found = model.transform(assembled).withColumn("cluster", F.when(complete, F.col("prediction")))
+    return model, found.drop("features", "prediction")
 
 
 def _best_fit(vectors: DataFrame, k: int, max_iter: int, runs: int, seed: int) -> KMeansModel:
@@ -114,7 +121,7 @@ def share_codebook(centers: DataFrame | SharedCodebook, max_bytes: int = MAX_CEN
     if last != n - 1:
         raise ValueError("center_id must be dense from 0")
     if n * dim * 8 > MAX_SHARED_BYTES:
-        raise CodebookTooLarge("use assign with row_key, then histogram")
+        raise CodebookTooLarge(f"{n} centres of {dim} values")
     step = max(1, max_bytes // (8 * dim))
     pieces, starts = [], tuple(range(0, n, step))
     for start in starts:
@@ -148,14 +155,16 @@ def assign(
     No shuffle: the codebook travels to the rows. A codebook over ``max_bytes``
     is applied in several pieces within the same pass and the least
     (distance, id) wins. One over ``MAX_SHARED_BYTES`` is joined instead, as the
-    gallery of a nearest-row search; ``row_key`` must then identify the rows.
+    gallery of a nearest-row search, with the same result; ``row_key`` may name
+    columns that identify the rows, else they are numbered.
     """
     try:
         shared = share_codebook(centers, max_bytes)
     except CodebookTooLarge:
-        if not row_key:
-            raise
-        return _assign_by_search(df, centers, col, out, row_key)
+        if row_key:
+            return _assign_by_search(df, centers, col, out, row_key)
+        numbered = materialise(df.withColumn("_number", F.monotonically_increasing_id()), "descriptors")
+        return _assign_by_search(numbered, centers, col, out, ["_number"]).drop("_number")
     best = [_nearest_struct(piece, start)(F.col(col)) for piece, start in zip(shared.pieces, shared.starts)]
     winner = best[0] if len(best) == 1 else F.least(*best)
     return df.where(F.col(col).isNotNull()).withColumn(out, winner["center_id"])
@@ -202,12 +211,15 @@ def quantise(
     """Histogram of each image from its own descriptor array, without a shuffle.
 
     ``empty="drop"`` leaves out images that have no descriptor, ``"zero"``
-    gives them an all-zero histogram. A codebook over ``MAX_SHARED_BYTES`` goes
-    through :func:`explode_descriptors`, :func:`assign` and :func:`histogram`.
+    gives them an all-zero histogram. With a codebook over ``MAX_SHARED_BYTES``
+    the rows are numbered and their descriptors joined instead.
     """
     if empty not in ("drop", "zero"):
         raise ValueError("empty must be 'drop' or 'zero'")
-    shared = share_codebook(centers, max_bytes)
+    try:
+        shared = share_codebook(centers, max_bytes)
+    except CodebookTooLarge:
+        return _quantise_by_search(images, centers, feature, out, empty)
     pieces, n_centers, starts = shared.pieces, shared.n_centers, np.array(shared.starts)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -230,6 +242,19 @@ def quantise(
     return images.withColumn(out, count_words(column))
 
 
+def _quantise_by_search(images, centers, feature, out, empty):
+    # Written, so that the numbers stay the same on both sides of the join.
+    rows = materialise(images.withColumn("_image", F.monotonically_increasing_id()), "images")
+    each = explode_descriptors(rows, feature, "_image")
+    assigned = assign(each, centers, row_key=["_image", "pos"])
+    n_centers = centers.count()
+    counted = histogram(assigned, n_centers, "_image").withColumnRenamed("histogram", out)
+    if empty == "drop":
+        return rows.join(counted, "_image").drop("_image")
+    zeros = F.array_repeat(F.lit(0), n_centers)
+    return rows.join(counted, "_image", "left").withColumn(out, F.coalesce(out, zeros)).drop("_image")
+
+
 def histogram_job(
     images: DataFrame, feature: str, centers: DataFrame | SharedCodebook, key: str = "image_name"
 ) -> DataFrame:

@@ -16,8 +16,6 @@ ACTIVITY_TAGS = {
     "search": "正在搜索新闻：",
 }
 
-#: Tasks over which the items of one large user are spread.
-USER_SALTS = 64
 
 CLICK_SCHEMA = "uid string, event_time string, os_type string, click_count bigint"
 
@@ -109,21 +107,12 @@ def first_seen(events: DataFrame) -> DataFrame:
 def user_activity(lines: DataFrame, col: str = "value", pos: str = "pos", part_rows: int = 1_000_000) -> DataFrame:
     """``<user, part, activity>``: JSON of the distinct items per kind, comma-joined in first-seen order.
 
-    Almost every user has the one part 0. A user with more than ``part_rows``
-    distinct items is split into parts by position, each holding what was first
-    seen in one stretch of ``part_rows`` positions; the parts in order give the
-    whole list, and no task gathers more than one part.
+    Part ``n`` of a user holds what was first seen in the ``n``-th stretch of
+    ``part_rows`` positions, for every user alike; the parts in order give the
+    whole list, and no task gathers more of a user than one stretch of lines.
     """
     items = first_seen(activity_events(lines, col, pos))
-    large = items.groupBy("user").agg(F.count("*").alias("n")).where(F.col("n") > part_rows).select("user")
-    # The large users are few; their rows are spread over the salts for the
-    # lookup, and over the parts from then on.
-    large = large.select("user", F.explode(F.sequence(F.lit(0), F.lit(USER_SALTS - 1))).alias("salt"), F.lit(True).alias("split"))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("kind", "item"), F.lit(USER_SALTS)).cast("int"))
-    stretch = F.floor(F.col("pos") / F.lit(part_rows)).cast("long")
-    parted = salted.join(large, ["user", "salt"], "left").withColumn(
-        "part", F.when(F.col("split"), stretch).otherwise(F.lit(0).cast("long"))
-    )
+    parted = items.withColumn("part", F.floor(F.col("pos") / F.lit(part_rows)).cast("long"))
 
     def joined(kind: str) -> Column:
         mine = F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "item")))

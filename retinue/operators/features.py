@@ -10,61 +10,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retinue.functions.images import decode, extract, to_grey
 from retinue.sinks.cells import CellTable
-from retinue.sources.files import read_binary_files, read_images
+from retinue.sources.files import accepted_channels, read_binary_files, read_images
 
 #: Images whose descriptors one output batch holds.
 IMAGES_PER_BATCH = 32
 
 FEATURE = T.ArrayType(T.ArrayType(T.FloatType()))
 
-#: A user extractor: pixels (height, width, channels) uint8 -> (n, dim) matrix.
+#: A user's extractor: pixels (height, width, channels) uint8 -> (n, dim) matrix.
 Extractor = Callable[[np.ndarray], np.ndarray]
 
+#: A user's decoder of message bytes: pixels, or None for bytes that are no image.
+Decoder = Callable[[bytes], "np.ndarray | None"]
+
 # Cells of an image table by group: bytes apart from what is computed from them.
 IMAGE_GROUPS = {
     "content": "path string, content binary",
-    "sift": "sift array<array<float>>",
-    "harris": "harris array<array<float>>",
+    "features": "features array<array<float>>",
     "histogram": "histogram array<int>",
 }
 
 
 def extract_features(
-    images: DataFrame,
-    kind: str = "sift",
-    extractor: Extractor | None = None,
-    source: str = "content",
-    out: str | None = None,
+    images: DataFrame, extractor: Extractor, out: str = "features", source: str = "image", decoder: Decoder | None = None
 ) -> DataFrame:
-    """Adds ``array<array<float>>`` descriptors (column ``kind``) to every image.
+    """Adds ``array<array<float>>`` descriptors (column ``out``) to every image.
 
-    ``source`` is a column of image bytes or a decoded ``image`` struct. Images
-    of 1 or 3 channels are used. An image that cannot be decoded, has other
-    channels, has no point, or makes the extractor fail gets null and never
-    fails the job.
+    ``source`` is an ``image`` struct of Spark's image reader, or a column of
+    bytes for which a ``decoder`` has to be given. Images of 1 or 3 channels are
+    used. An image that cannot be decoded, has other channels or has no point
+    gets null; an error in the extractor or the decoder fails the job.
     """
-    out = out or kind
     decoded = isinstance(images.schema[source].dataType, T.StructType)
+    if decoded == (decoder is not None):
+        raise ValueError("a decoder is needed for bytes, and only for these")
 
     def pixels(value):
         if not decoded:
-            return decode(value)
+            found = decoder(value)
+            return None if found is None else np.atleast_3d(found)
         shape = (value["height"], value["width"], value["nChannels"])
         return np.frombuffer(value["data"], np.uint8).reshape(shape)
 
     def features(value):
-        if value is None:
-            return None
-        try:
-            found = pixels(value)
-            if found is None or found.shape[2] not in (1, 3):
-                return None
-            points = extractor(found) if extractor else extract(to_grey(found), kind)
-            return np.asarray(points, np.float32) if len(points) else None
-        except Exception:
+        found = None if value is None else pixels(value)
+        if found is None or found.shape[2] not in (1, 3):
             return None
+        points = np.asarray(extractor(found), np.float32)
+        return points if len(points) else None
 
     def run(batches):
         for batch in batches:
@@ -90,35 +84,24 @@ def _feature_array(found: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, rows, mask=pa.array([m is None for m in found]))
 
 
-def ingest_images(
-    spark: SparkSession,
-    path: str | list[str],
-    kind: str = "sift",
-    extractor: Extractor | None = None,
-    min_partitions: int | None = None,
-    spark_decoder: bool = False,
-) -> DataFrame:
-    """``<image_name, path, content, kind>`` of all files; an image is kept without features too.
+def ingest_images(spark: SparkSession, path: str | list[str], extractor: Extractor, out: str = "features") -> DataFrame:
+    """``<image_name, path, content, out>`` of all files; a file is kept without features too.
 
-    The bytes are decoded where they are read. ``spark_decoder`` takes the
-    descriptors from Spark's image reader instead, which knows JPEG without any
-    further package, at the price of a second read and a join by path.
+    The descriptors come from Spark's image reader, which knows JPEG, PNG and
+    others without further packages, and meet the bytes by path.
     """
-    files = read_binary_files(spark, path, min_partitions=min_partitions)
+    files = read_binary_files(spark, path)
     rows = files.select(F.col("name").alias("image_name"), "path", "content")
-    if not spark_decoder:
-        return extract_features(rows, kind, extractor)
     # The two readers write the scheme of a path with one slash or with three.
     plain = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/")
-    found = decoded_features(spark, path, kind, extractor).select(plain.alias("_path"), kind)
-    return rows.withColumn("_path", plain).join(found, "_path", "left").select(*rows.columns, kind)
+    found = decoded_features(spark, path, extractor, out).select(plain.alias("_path"), out)
+    return rows.withColumn("_path", plain).join(found, "_path", "left").select(*rows.columns, out)
 
 
-def decoded_features(
-    spark: SparkSession, path: str | list[str], kind: str = "sift", extractor: Extractor | None = None
-) -> DataFrame:
-    """``<image_name, path, kind>`` through Spark's own image reader (JPEG, PNG, ...)."""
-    return extract_features(read_images(spark, path), kind, extractor, source="image").drop("image")
+def decoded_features(spark: SparkSession, path: str | list[str], extractor: Extractor, out: str = "features") -> DataFrame:
+    """``<image_name, path, out>`` of the images that Spark's reader decodes and that have 1 or 3 channels."""
+    images = read_images(spark, path).where(accepted_channels(F.col("image")))
+    return extract_features(images, extractor, out).drop("image")
 
 
 def image_table(spark: SparkSession, root: str) -> CellTable:

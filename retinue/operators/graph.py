@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,14 +92,16 @@ def pagerank(
     graph: Graph,
     tol: float = 0.001,
     reset: float = 0.15,
-    max_iter: int = 200,
+    rounds: int | None = None,
+    max_iter: int | None = None,
 ) -> DataFrame:
     """``<id, rank>``, un-normalised: ``reset + (1 - reset) * sum(rank / outdegree)``.
 
     Starts every vertex at ``reset`` and passes on what each rank gained in the
     last round. A vertex whose gain is at most ``tol`` sends nothing, and the
-    loop ends when no vertex sends (or after ``max_iter`` rounds). Parallel
-    edges count separately; the rank of a vertex without out-edges goes nowhere.
+    loop ends when no vertex sends. Parallel edges count separately; the rank of
+    a vertex without out-edges goes nowhere. ``rounds`` asks for that many
+    rounds at most instead; ``max_iter`` is a bound that fails when reached.
     """
     shared_root(graph.edges.sparkSession)  # a checkpoint folder is set from here on
     rows, degrees = _out_edges(graph.edges)
@@ -109,7 +112,11 @@ def pagerank(
     # The edges are laid out once; a round then shuffles only vertex-sized rows:
     # what the senders pass on, and that summed per receiver before it moves.
     with bucketed(rows, "adjacency", "src", "salt") as weighted:
-        for _ in range(max_iter):
+        for done in itertools.count(1):
+            if rounds is not None and done > rounds:
+                break
+            if max_iter is not None and done > max_iter:
+                raise RuntimeError(f"ranks have not converged to {tol} after {max_iter} rounds")
             # A round reads the ranks twice, so each one is cut off from the last.
             ranks = _rank_round(ranks, weighted, tol, reset).checkpoint()
             if ranks.where(F.col("gain") > tol).isEmpty():

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retinue.functions.text import clean_xml, first_sentence, ssplit, tokenize
+from retinue.session import materialise
 
 #: A lexicon of at most this many words and bytes is sent to the tasks.
 BROADCAST_WORDS = 1_000_000
@@ -41,16 +42,20 @@ def lookup_tokens(
     """``array`` column ``out``: the ``lexicon<word, value>`` entry of each token.
 
     An unknown token gets ``default``, or itself if ``default`` is None. A
-    lexicon whose size was checked is looked up inside the row, without a
-    shuffle; a larger one is joined (``row_key`` must identify the rows).
+    lexicon whose words and bytes were counted is looked up inside the row,
+    without a shuffle; a larger one is joined, with the same result. ``row_key``
+    may name a column that identifies the rows; else they are numbered.
     """
     words = _unique_words(lexicon)
-    head = words.limit(broadcast_words + 1).toArrow() if broadcast_words > 0 else None
-    if head is not None and head.num_rows <= broadcast_words and head.nbytes <= BROADCAST_BYTES:
-        return _lookup_in_row(df, head, tokens, out, default)
-    if row_key is None:
-        raise ValueError("a lexicon over the broadcast bound needs row_key")
-    return _lookup_by_join(df, words, tokens, out, default, row_key)
+    bytes_of = F.octet_length("word") + F.coalesce(F.octet_length("value"), F.lit(0))
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
+    if n <= broadcast_words and size <= BROADCAST_BYTES:
+        return _lookup_in_row(df, words.toArrow(), tokens, out, default)
+    if row_key is not None:
+        return _lookup_by_join(df, words, tokens, out, default, row_key)
+    # Written, so that the numbers stay the same on both sides of the join.
+    numbered = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return _lookup_by_join(numbered, words, tokens, out, default, "_row").drop("_row")
 
 
 def _unique_words(lexicon: DataFrame) -> DataFrame:

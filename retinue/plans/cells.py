@@ -100,6 +100,21 @@ def cell_table(spark, sf_dir):
     return store.scan().withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@query("cell_table_compacted", UPSERT_SQL)
+def cell_table_compacted(spark, sf_dir):
+    """Numbered writes with a compaction between them and one after: the same cells as without."""
+    groups = {"origin": "lang string, source string", "label": "quality int"}
+    store = CellTable(spark, shared_dir(spark, "cells"), groups, "doc_id")
+    key = F.col("doc_id").cast("string").alias("doc_id")
+    documents = table(spark, sf_dir, "documents").select(key, "lang", "source")
+    store.put(documents.filter("doc_id % 2 = 0"), put_id=0)
+    store.put(documents.filter("doc_id % 2 = 1"), put_id=1)
+    store.compact()
+    store.put(label_cells(spark, sf_dir).withColumn("doc_id", key), put_id=2)
+    store.compact()
+    return store.scan().withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 TOKEN_SQL = r"'[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]'"
 
 

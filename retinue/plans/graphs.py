@@ -121,7 +121,7 @@ r{i} AS MATERIALIZED (
 @query("pagerank", f"WITH {RANK_SQL} SELECT id, round(rank, 5) AS rank FROM r10")
 def pagerank(spark, sf_dir):
     """Ten rounds without a tolerance."""
-    ranks = G.pagerank(supply_graph(spark, sf_dir), tol=0.0, max_iter=10)
+    ranks = G.pagerank(supply_graph(spark, sf_dir), tol=0.0, rounds=10)
     return ranks.select("id", F.round("rank", 5).alias("rank"))
 
 

@@ -47,6 +47,23 @@ def top_k_similar_tiled(spark, sf_dir):
     return similarity.top_k_similar(images, images, 10, broadcast_queries=0)
 
 
+FLOAT_SQL = """
+WITH values AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+distances AS (
+  SELECT a.vec_id AS query, b.vec_id AS match, sum((a.x - b.x) * (a.x - b.x)) AS distance
+  FROM values a JOIN values b ON a.pos = b.pos WHERE a.vec_id % 20 = 0 GROUP BY ALL)
+SELECT query, match, CAST(rank AS INTEGER) AS rank, round(distance, 9) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 12), match) AS rank FROM distances) WHERE rank <= 5"""
+
+
+@query("top_k_float", FLOAT_SQL)
+def top_k_float(spark, sf_dir):
+    """Raw embeddings: every twentieth one against all of them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    found = similarity.top_k_similar(rows.where("vec_id % 20 = 0"), rows, 5, key="vec_id", vector="vector")
+    return found.select("query", "match", "rank", F.round("distance", 9).alias("distance"))
+
+
 @query("nearest_image", f"WITH {PAIRS_SQL} SELECT query, match, distance FROM ranked WHERE rank = 1")
 def nearest_image(spark, sf_dir):
     images = gallery(spark, sf_dir)
@@ -125,21 +142,62 @@ def histogram_job(spark, sf_dir):
     return found.select("image_name", text_of(F.col("histogram")).alias("histogram"))
 
 
-@query("train_codebook")
+def trained_facts(found: DataFrame, centers: DataFrame, limit: DataFrame) -> DataFrame:
+    """What any good codebook fulfils: ``found`` is ``<vector, cluster>`` of all rows, ``limit`` a cost to stay below."""
+    apart = F.aggregate(F.zip_with("vector", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    each = found.withColumn("row", F.monotonically_increasing_id()).crossJoin(F.broadcast(centers)).withColumn("d", apart)
+    best = each.groupBy("row").agg(F.min("d").alias("least"), F.max(F.when(F.col("cluster") == F.col("center_id"), F.col("d"))).alias("own"))
+    nearest = F.coalesce(F.min(F.col("own") <= F.col("least") * (1 + 1e-9) + 1e-9), F.lit(False))
+    facts = best.agg(F.count("*").alias("n_rows"), nearest.alias("all_nearest"), F.sum("own").alias("cost"))
+    sizes = centers.agg(F.count("*").alias("n_centers"))
+    return facts.crossJoin(sizes).crossJoin(limit).select("n_rows", "n_centers", "all_nearest", (F.col("cost") <= F.col("limit")).alias("cost_below"))
+
+
+@query(
+    "train_codebook",
+    "SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_centers, true AS all_nearest, true AS cost_below, true AS reloaded FROM embeddings",
+)
 def train_codebook(spark, sf_dir):
-    """Train, save, load, and count what falls to each centre."""
+    """Train, save, load and assign; the cost is held against that of the overall mean."""
     rows = derived.descriptors(spark, sf_dir)
     path = shared_dir(spark, "codebook")
-    codebook.save_codebook(codebook.train_codebook(rows, 8, max_iter=30, runs=3), path)
+    model = codebook.train_codebook(rows, 8, max_iter=30, runs=3)
+    codebook.save_codebook(model, path)
     centers = codebook.centers_table(spark, codebook.load_codebook(path))
-    return codebook.assign(rows, centers).groupBy("cluster").agg(F.count("*").alias("n"))
+    same = centers.exceptAll(codebook.centers_table(spark, model)).isEmpty()
+    found = codebook.assign(rows, centers).select(F.col("descriptor").cast("array<double>").alias("vector"), "cluster")
+    # The sum of squares less that of the mean, value by value.
+    values = found.select(F.posexplode("vector").alias("pos", "v")).groupBy("pos").agg((F.var_pop("v") * F.count("v")).alias("cost"))
+    return trained_facts(found, centers, values.agg(F.sum("cost").alias("limit"))).withColumn("reloaded", F.lit(same))
 
 
-@query("cluster_table")
+@query(
+    "cluster_table",
+    "SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_centers, true AS all_nearest, true AS cost_below FROM customer",
+)
 def cluster_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
-    _, found = codebook.cluster_table(rows, ["c_acctbal", "c_nationkey"], 8, runs=1)
-    return found.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 2).alias("mean_balance"))
+    """Customers by balance and nation; the cost is held against that of the overall mean."""
+    cols = ["c_acctbal", "c_nationkey"]
+    model, found = codebook.cluster_table(table(spark, sf_dir, "customer"), cols, 8, runs=1)
+    found = found.select(F.array(*(F.col(c).cast("double") for c in cols)).alias("vector"), *cols, "cluster")
+    spread = sum((F.var_pop(F.col(c).cast("double")) * F.count(c) for c in cols[1:]), F.var_pop(F.col(cols[0]).cast("double")) * F.count(cols[0]))
+    limit = found.agg(spread.alias("limit"))
+    return trained_facts(found.select("vector", "cluster"), codebook.centers_table(spark, model), limit)
+
+
+@query(
+    "assign_held_out",
+    """SELECT label % 2 = 1 AS held_out, count(*) AS n_rows, true AS all_nearest FROM embeddings GROUP BY 1""",
+)
+def assign_held_out(spark, sf_dir):
+    """A codebook trained on the even labels assigns the odd ones too."""
+    rows = derived.descriptors(spark, sf_dir).withColumn("held_out", F.col("label") % 2 == 1)
+    model = codebook.train_codebook(rows.where("NOT held_out"), 6, runs=1)
+    centers = codebook.centers_table(spark, model)
+    found = codebook.assign(rows, centers).select("held_out", F.col("descriptor").cast("array<double>").alias("vector"), "cluster")
+    none = spark.range(1).select(F.lit(float("inf")).alias("limit"))
+    parts = [trained_facts(found.where(F.col("held_out") == side).drop("held_out"), centers, none).select(F.lit(side).alias("held_out"), "n_rows", "all_nearest") for side in (True, False)]
+    return parts[0].union(parts[1])
 
 
 @query(

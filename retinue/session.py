@@ -18,6 +18,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -50,13 +51,19 @@ def ship_package(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a local test session) is a temporary folder taken instead.
+    The cluster names it in ``spark.checkpoint.dir``; a folder that was set on
+    the context is taken too. Only a local session without either gets a
+    temporary folder; on a cluster each machine would write to its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
     if getattr(context, "_retinue_root", None) is None:
         context._retinue_root = tempfile.mkdtemp(prefix="retinue-")
         context.setCheckpointDir(context._retinue_root)

@@ -4,7 +4,8 @@
 table on plain Parquet: one folder per group of columns, so that adding
 histograms never rewrites image bytes, and one ``put`` partition per write, so
 that a small write costs its own size and not that of the table. A read takes
-the latest value of every cell; :meth:`CellTable.compact` folds the writes.
+the latest value of every cell; :meth:`CellTable.compact` folds the writes into
+a base beside them, which no write ever touches.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retinue.session import materialise
+
 #: Updates up to this size (as JSON text) are sent to the base table.
 BROADCAST_BYTES = 16 * 1024 * 1024
 
@@ -76,26 +79,40 @@ class CellTable:
         self.schemas = {name: T.StructType.fromDDL(ddl) for name, ddl in groups.items()}
         self.columns = [c for schema in self.schemas.values() for c in schema.names]
 
-    def _path(self, group: str):
+    def _names(self, folder: str) -> list[str]:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{group}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def _puts(self, group: str) -> list[int]:
-        path, fs = self._path(group)
-        if not fs.exists(path):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(path)]
-        return sorted(int(name[4:]) for name in names if name.startswith("put="))
+        return sorted(int(name[4:]) for name in self._names(group) if name.startswith("put="))
+
+    def _bases(self, group: str) -> list[tuple[int, int, str]]:
+        """``(generation, highest folded put, folder)`` of the finished bases, the current one last."""
+        found = []
+        for name in self._names(f"{group}.base"):
+            if "_SUCCESS" in self._names(f"{group}.base/{name}"):
+                generation, folded = name.split("-", 1)
+                found.append((int(generation), int(folded), f"{group}.base/{name}"))
+        return sorted(found)
 
     def put(self, updates: DataFrame, order: str | None = None, put_id: int | None = None) -> int:
         """Write the non-null cells of ``updates``.
 
         Keys within one write are unique, unless ``order`` names the column that
         decides between several values of a cell. A repeated write of the same rows changes nothing, with the same
-        ``put_id`` (its folder is replaced) or with a new one.
+        ``put_id`` (its folder is replaced) or with a new one. ``updates`` is
+        computed once. A ``put_id`` below one that is folded already yields to
+        the folded cells and fills those that are missing there.
         """
         put_id = time.time_ns() if put_id is None else put_id
+        if sum(any(c in updates.columns for c in schema.names) for schema in self.schemas.values()) > 1:
+            updates = materialise(updates, "cells")
         for group, schema in self.schemas.items():
             cols = [c for c in schema.names if c in updates.columns]
             if not cols:
@@ -112,15 +129,25 @@ class CellTable:
     def _group(self, group: str, cols: list[str]) -> DataFrame:
         schema = self.schemas[group]
         key_field = T.StructField(self.key, T.StringType())
-        puts = self._puts(group)
-        if not puts:
+        puts, bases = self._puts(group), self._bases(group)
+        if not puts and not bases:
             fields = [key_field] + [schema[c] for c in cols]
             return self.spark.createDataFrame([], T.StructType(fields))
-        full = T.StructType([key_field, *schema.fields, T.StructField("put", T.LongType())])
-        rows = self.spark.read.schema(full).parquet(f"{self.root}/{group}").select(self.key, "put", *cols)
-        if len(puts) == 1:
-            return rows.drop("put")
-        return latest_cells(rows, self.key, "put", cols)
+        stored = T.StructType([key_field, *schema.fields])
+        parts = []
+        if bases:
+            _, folded, folder = bases[-1]
+            base = self.spark.read.schema(stored).parquet(f"{self.root}/{folder}")
+            if not puts:
+                return base.select(self.key, *cols)
+            # Just before a write of the same number, after all lower ones.
+            parts.append(base.select(self.key, F.lit(2 * folded).cast("long").alias("_order"), *cols))
+        full = T.StructType([*stored.fields, T.StructField("put", T.LongType())])
+        rows = self.spark.read.schema(full).parquet(f"{self.root}/{group}")
+        parts.append(rows.select(self.key, (2 * F.col("put") + 1).alias("_order"), *cols))
+        if len(parts) + len(puts) == 2:
+            return parts[0].drop("_order")
+        return latest_cells(reduce(DataFrame.union, parts), self.key, "_order", cols)
 
     def scan(self, cols: list[str] | None = None) -> DataFrame:
         """Key and cells; reads only the groups and columns asked for."""
@@ -135,14 +162,20 @@ class CellTable:
         return joined.select(self.key, *cols).where(some)
 
     def compact(self) -> None:
-        """Fold the writes of every group into one. Reads give the same before, between and after."""
+        """Fold the writes of every group into a new base. Reads give the same before, between and after.
+
+        The new base counts from the moment its ``_SUCCESS`` file is there.
+        Folded writes are deleted then, and bases before the last but one.
+        """
         for group, schema in self.schemas.items():
-            puts = self._puts(group)
-            if len(puts) < 2:
+            puts, bases = self._puts(group), self._bases(group)
+            if not puts or len(puts) + len(bases) < 2:
                 continue
+            generation = bases[-1][0] + 1 if bases else 0
+            folded = max([puts[-1], *(base[1] for base in bases)])
             merged = self._group(group, schema.names)
-            # The newest id so far plus one: later writes still sort after it.
-            merged.write.mode("overwrite").parquet(f"{self.root}/{group}/put={puts[-1] + 1}")
-            path, fs = self._path(group)
+            merged.write.mode("overwrite").parquet(f"{self.root}/{group}.base/{generation}-{folded}")
             for put in puts:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"put={put}"), True)
+                self._delete(f"{group}/put={put}")
+            for _, _, folder in bases[:-1]:
+                self._delete(folder)

@@ -8,19 +8,17 @@ from pyspark.sql import functions as F
 from retinue.functions.strings import file_name, parse_doubles
 
 
-def read_binary_files(
-    spark: SparkSession, path: str | list[str], glob: str | None = None, min_partitions: int | None = None
-) -> DataFrame:
+def read_binary_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """``<name, path, length, content>``, one row per file.
 
-    ``content`` is read only where it is selected. ``min_partitions`` spreads
-    the file list before any content-heavy work.
+    ``content`` is read only where it is selected, and never moved: the number
+    of tasks follows from ``spark.sql.files.maxPartitionBytes``,
+    ``openCostInBytes`` and ``minPartitionNum`` of the session.
     """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select(file_name(F.col("path")).alias("name"), "path", "length", "content")
-    return files if min_partitions is None else files.repartition(min_partitions, "path")
+    return reader.load(path).select(file_name(F.col("path")).alias("name"), "path", "length", "content")
 
 
 def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from retinue.sinks.cells import CellTable
 
+#: Batches after which the writes of a stream are folded.
+COMPACT_EVERY = 50
+
 
 def running_counts(stream: DataFrame, key: str = "key", row: str = "Counter", delta: str | None = None) -> DataFrame:
     """Stateful ``<row, key, value>``: cumulative count (or sum of ``delta``) per key.
@@ -35,8 +38,11 @@ def running_counter_stream(
     """
     counts = running_counts(stream, key, row, delta).select(F.col("key").cast("string"), "value")
 
-    def save(batch: DataFrame, _: int) -> None:
-        table.put(batch)
+    def save(batch: DataFrame, batch_id: int) -> None:
+        # Ordered by the batch, not by a clock; the stream owns the table.
+        table.put(batch, put_id=batch_id)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            table.compact()
 
     return _update_mode(counts, save, checkpoint, **trigger)
 

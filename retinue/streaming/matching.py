@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from retinue.operators.codebook import SharedCodebook, quantise, share_codebook
-from retinue.operators.features import Extractor, extract_features
+from retinue.operators.features import Decoder, Extractor, extract_features
 from retinue.operators.similarity import Gallery, matches_wide, top_k_similar
 from retinue.sinks.cells import CellTable
 from retinue.sinks.messages import match_log
@@ -19,10 +19,10 @@ from retinue.streaming.batches import run_per_batch
 FEATURE = "features"
 
 
-def received_images(messages: DataFrame, kind: str = "harris", extractor: Extractor | None = None) -> DataFrame:
+def received_images(messages: DataFrame, extractor: Extractor, decoder: Decoder) -> DataFrame:
     """Messages ``<key, value>`` -> ``<image_name, content, features>``."""
     images = messages.select(F.col("key").alias("image_name"), F.col("value").alias("content"))
-    return extract_features(images, kind, extractor, out=FEATURE)
+    return extract_features(images, extractor, FEATURE, "content", decoder)
 
 
 def match_image_stream(
@@ -31,17 +31,19 @@ def match_image_stream(
     centers: DataFrame | SharedCodebook,
     out: str,
     checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame],
     k: int = 10,
-    prepare: Callable[[DataFrame], DataFrame] = received_images,
     empty: str = "zero",
     store: CellTable | None = None,
-    store_feature: str = "harris",
+    store_feature: str = "features",
     interval: str | None = "800 milliseconds",
     available_now: bool = False,
 ) -> StreamingQuery:
     """The ``k`` most similar gallery images of every image that arrives.
 
-    ``prepare`` turns a batch of messages into ``<image_name, features, ...>``.
+    ``prepare`` turns a batch of messages into ``<image_name, features, ...>``,
+    for instance by :func:`received_images`. A message that a batch has twice
+    (by ``key`` or ``image_name``) is prepared once.
     Per batch, below ``out``: ``matches/batch=<id>`` (one row per rank),
     ``wide/batch=<id>`` (cells ``name#distance``) and ``log/batch=<id>`` (text).
     An image without features is matched with an all-zero histogram unless
@@ -53,23 +55,25 @@ def match_image_stream(
     kept = Gallery(stored.persist(StorageLevel.MEMORY_AND_DISK), k)
 
     def match(batch: DataFrame, batch_id: int) -> None:
-        # An image sent twice within a batch is one query.
-        once = prepare(batch).dropDuplicates(["image_name"])
+        name = "key" if "key" in batch.columns else "image_name"
+        once = prepare(batch.dropDuplicates([name]))
         images = quantise(once, shared, FEATURE, empty=empty).persist(StorageLevel.MEMORY_AND_DISK)
-        # The three outputs come from one written result.
-        path = f"{out}/matches/batch={batch_id}"
-        top_k_similar(images, kept, k).write.mode("overwrite").parquet(path)
-        matches = images.sparkSession.read.parquet(path)
-        matches_wide(matches, k).write.mode("overwrite").parquet(f"{out}/wide/batch={batch_id}")
-        match_log(matches).write.mode("overwrite").text(f"{out}/log/batch={batch_id}")
-        if store is not None:
-            save_received_images(images, store, store_feature)
-        images.unpersist()
+        try:
+            # The three outputs come from one written result.
+            path = f"{out}/matches/batch={batch_id}"
+            top_k_similar(images, kept, k).write.mode("overwrite").parquet(path)
+            matches = images.sparkSession.read.parquet(path)
+            matches_wide(matches, k).write.mode("overwrite").parquet(f"{out}/wide/batch={batch_id}")
+            match_log(matches).write.mode("overwrite").text(f"{out}/log/batch={batch_id}")
+            if store is not None:
+                save_received_images(images, store, store_feature)
+        finally:
+            images.unpersist()
 
     return run_per_batch(messages, match, checkpoint, interval=interval, available_now=available_now)
 
 
-def save_received_images(images: DataFrame, store: CellTable, feature: str = "harris") -> None:
+def save_received_images(images: DataFrame, store: CellTable, feature: str = "features") -> None:
     """Bytes, histogram and (if any) descriptors of the received images into the image table."""
     cells = images.withColumnRenamed(FEATURE, feature)
     store.put(cells.select("image_name", *[c for c in store.columns if c in cells.columns]))

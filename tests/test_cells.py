@@ -54,12 +54,43 @@ def test_cell_table_put_scan_compact(spark, folder):
     assert content() == want
     store.compact()
     assert content() == want
-    assert len(store._puts("content")) == 1
+    assert store._puts("content") == [] and len(store._bases("content")) == 1
     assert [r.image_name for r in store.scan(["content"]).collect()] == []
     store.put(cells(spark, ("c", None, [9])))
     assert content() == {**want, "c": (None, [9])}
 
 
+def test_consecutive_puts_around_a_compaction_lose_nothing(spark, folder):
+    store = CellTable(spark, folder + "/t", GROUPS)
+    want = {}
+    for n in range(8):
+        store.put(cells(spark, (f"k{n}", f"/{n}", None), ("all", f"/{n}", None)), put_id=n)
+        want |= {f"k{n}": f"/{n}", "all": f"/{n}"}
+        if n in (2, 3, 6):
+            store.compact()
+        assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == want
+    # A replayed write, one of an older clock, and an unfinished base change nothing that is newer.
+    store.put(cells(spark, ("k6", "/6", None), ("all", "/6", None)), put_id=6)
+    store.put(cells(spark, ("late", "/l", None), ("all", "/old", None)), put_id=-5)
+    cells(spark, ("ghost", "/g", None)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/t/content.base/99-99")
+    want["late"] = "/l"
+    assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == want
+    assert len(store._bases("content")) <= 2
+
+
+def test_a_put_computes_its_input_once(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    store = CellTable(spark, folder + "/t", GROUPS)
+    store.put(cells(spark, *((f"k{i}", "/p", [1]) for i in range(20))).withColumn("path", counted("path")))
+    assert seen.value == 20 and store.scan(["path", "histogram"]).count() == 20
+
+
 def test_repeated_put_changes_nothing(spark, folder):
     store = CellTable(spark, folder + "/t", GROUPS)
     rows = cells(spark, ("a", "/a", [1]))

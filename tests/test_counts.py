@@ -78,12 +78,12 @@ def test_user_activity(spark):
     assert got == {("ann", 0): {"view": "12,1", "search": "café au lait"}, ("bob", 0): {"apply": "7"}}
 
 
-def test_a_user_over_the_bound_is_split_into_parts(spark):
+def test_users_are_split_into_stretches_of_positions(spark):
     items = [("hot", "view", str(i % 20)) for i in range(40)] + [("cold", "view", "1"), ("cold", "view", "2")]
     got = {}
     for row in C.user_activity(behaviour(spark, *items), part_rows=8).collect():
         got.setdefault(row.user, []).append((row.part, json.loads(row.activity)["view"]))
-    assert got["cold"] == [(0, "1,2")]
+    assert got["cold"] == [(5, "1,2")]
     assert len(got["hot"]) == 3
     assert ",".join(v for _, v in sorted(got["hot"])) == ",".join(map(str, range(20)))
     assert all(len(v.split(",")) <= 8 for _, v in got["hot"])

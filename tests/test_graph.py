@@ -53,6 +53,12 @@ def test_pagerank_reaches_the_fixed_point(followers):
         assert ranks[vertex] == pytest.approx(rank, abs=1e-5)
 
 
+def test_a_bound_on_rounds_fails_when_reached(followers):
+    with pytest.raises(RuntimeError, match="not converged"):
+        G.pagerank(followers, tol=1e-7, max_iter=2)
+    assert G.pagerank(followers, tol=1e-7, rounds=2).count() == len(FIXED_POINT)
+
+
 def test_hub_is_split_and_ranks_agree(followers, monkeypatch):
     monkeypatch.setattr(G, "ADJACENCY_ROW", 1)
     ranks = {r.id: r.rank for r in G.pagerank(followers, tol=1e-4).collect()}

@@ -2,31 +2,36 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from retinue.functions.images import blur, decode, encode_png, extract, to_grey
-from retinue.functions.vectors import squared_distances
+from retinue.functions.images import encode_png
 from retinue.operators import features as X
+from retinue.plans.derived import cell_means, decode_raw, encode_raw
 from retinue.sinks.messages import file_messages, publish_parquet
 from retinue.sources.files import channel_gate, read_binary_files, read_images
 
 
-def picture(seed, size=(12, 16)):
+def picture(seed, size=(6, 8)):
     rng = np.random.default_rng(seed)
-    blocks = np.kron(rng.integers(0, 255, size), np.ones((8, 8)))
-    return np.clip(blur(blocks, 1.2), 0, 255).astype(np.uint8)
+    return np.kron(rng.integers(0, 255, size), np.ones((4, 4))).astype(np.uint8)
 
 
 def colour(grey):
     return np.stack([grey] * 3, axis=2)
 
 
+def bright_cells(pixels):
+    """An extractor that finds no point in dark pictures."""
+    cells = cell_means(pixels)
+    return cells[cells.max(axis=1) > 100]
+
+
 @pytest.fixture
 def pictures(folder):
     grey = picture(1)
     files = {
         "colour.png": encode_png(colour(grey)),
         "grey.png": encode_png(grey),
-        "flat.png": encode_png(np.full((64, 64), 90, np.uint8)),
-        "tiny.png": encode_png(np.zeros((3, 3), np.uint8)),
+        "dark.png": encode_png(np.full((8, 8), 9, np.uint8)),
+        "four.png": encode_png(np.dstack([colour(grey), grey])),
         "broken.png": b"\x89PNG\r\n\x1a\nbroken",
     }
     for name, content in files.items():
@@ -35,87 +40,71 @@ def pictures(folder):
     return folder
 
 
-def test_png_round_trip():
-    rng = np.random.default_rng(0)
-    for shape in ((9, 7), (5, 6, 3)):
-        pixels = rng.integers(0, 256, shape).astype(np.uint8)
-        assert (decode(encode_png(pixels)).reshape(shape) == pixels).all()
-    assert decode(b"junk") is None
-    assert to_grey(np.zeros((2, 2, 4), np.uint8)) is None
-
-
-@pytest.mark.parametrize("kind", ["sift", "harris"])
-def test_descriptors_are_whole_and_follow_a_shift(kind):
-    grey = picture(2) / 255.0
-    d = extract(grey, kind)
-    assert d.shape[1] == 128 and len(d) > 20
-    assert (d == np.rint(d)).all() and d.min() >= 0 and d.max() <= 255
-    assert (extract(grey, kind) == d).all()
-    shifted = extract(np.pad(grey, ((8, 0), (8, 0)), mode="edge"), kind)
-    near = squared_distances(d.astype(float), shifted.astype(float)).min(axis=1)
-    assert (near == 0).mean() > 0.6
-
-
-@pytest.mark.parametrize("kind", ["sift", "harris"])
-def test_ingest_keeps_every_file_and_nulls_bad_ones(spark, pictures, kind):
-    rows = {r.image_name: r for r in X.ingest_images(spark, pictures, kind, min_partitions=3).collect()}
+def test_ingest_keeps_every_file_and_nulls_bad_ones(spark, pictures):
+    rows = {r.image_name: r for r in X.ingest_images(spark, pictures, bright_cells).collect()}
     assert len(rows) == 5
-    assert len(rows["colour.png"][kind]) == len(rows["grey.png"][kind]) > 20
-    assert rows["flat.png"][kind] is rows["tiny.png"][kind] is rows["broken.png"][kind] is None
+    assert rows["colour.png"].features == rows["grey.png"].features == cell_means(picture(1)[:, :, None]).tolist()
+    assert rows["dark.png"].features is rows["four.png"].features is rows["broken.png"].features is None
     assert bytes(rows["broken.png"].content).endswith(b"broken")
 
 
-def test_decoded_reader_and_channel_gate(spark, pictures):
+def test_jpeg_in_the_default_path(spark, pictures):
+    jvm = spark._jvm
+    source = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(pictures + "/colour.png"))
+    assert jvm.javax.imageio.ImageIO.write(source, "jpg", jvm.java.io.File(pictures + "/photo.JPEG"))
+    rows = {r.image_name: r for r in X.ingest_images(spark, pictures, cell_means).collect()}
+    assert len(rows) == 6 and bytes(rows["photo.JPEG"].content)[:2] == b"\xff\xd8"
+    assert np.abs(np.array(rows["photo.JPEG"].features) - np.array(rows["colour.png"].features)).mean() < 20
+
+
+def test_channel_gate_on_files(spark, pictures):
     images = read_images(spark, pictures)
-    channels = {r.image_name: r.image.nChannels for r in images.collect()}
-    assert channels == {"colour.png": 3, "grey.png": 1, "flat.png": 1, "tiny.png": 1}
-    four = images.withColumn("image", F.col("image").withField("nChannels", F.lit(4)))
-    assert channel_gate(images).count() == 4 and channel_gate(four).count() == 0
-    found = {r.image_name: r.sift for r in X.extract_features(images, "sift", source="image").collect()}
-    assert found["grey.png"] == found["colour.png"] and found["flat.png"] is None
-    gated = X.extract_features(four, "sift", source="image")
-    assert gated.where("sift is not null").count() == 0
-    assert {r.image_name for r in X.decoded_features(spark, pictures).where("sift is not null").collect()} == {
-        "grey.png", "colour.png"
-    }
+    assert {r.image_name: r.image.nChannels for r in images.collect()} == {"colour.png": 3, "grey.png": 1, "dark.png": 1, "four.png": 4}
+    assert {r.image_name for r in channel_gate(images).collect()} == {"colour.png", "grey.png", "dark.png"}
+    found = {r.image_name: r.features for r in X.extract_features(images, cell_means).collect()}
+    assert found["four.png"] is None and found["grey.png"] is not None
 
 
 def failing(pixels):
     raise RuntimeError("no features today")
 
 
-def test_failing_extractor_gives_null(spark, pictures):
-    rows = X.ingest_images(spark, pictures, "own", extractor=failing).collect()
-    assert len(rows) == 5 and all(r.own is None for r in rows)
+def test_an_error_in_the_extractor_is_seen(spark, pictures):
+    with pytest.raises(Exception, match="no features today"):
+        X.ingest_images(spark, pictures, failing).collect()
+
+
+def test_bytes_need_a_decoder(spark):
+    rows = spark.createDataFrame([("a", bytearray(encode_raw(picture(2)))), ("b", bytearray(b"junk")), ("c", None)], "image_name string, content binary")
+    with pytest.raises(ValueError, match="decoder"):
+        X.extract_features(rows, cell_means, source="content")
+    found = {r.image_name: r.features for r in X.extract_features(rows, cell_means, source="content", decoder=decode_raw).collect()}
+    assert found["a"] == cell_means(picture(2)[:, :, None]).tolist() and found["b"] is found["c"] is None
 
 
 def test_table_backfill_and_summary(spark, pictures, folder):
     store = X.image_table(spark, folder + "/table")
-    store.put(X.ingest_images(spark, pictures, "sift"))
-    found = X.backfill_feature(
-        store.scan(["content"]), "content", lambda df: X.extract_features(df, "harris"), "harris"
-    )
-    assert {r.image_name for r in found.collect()} == {"colour.png", "grey.png"}
+    store.put(X.ingest_images(spark, pictures, bright_cells))
+    assert {r.image_name for r in store.scan(["features"]).collect()} == {"colour.png", "grey.png"}
+
+    def counted(df):
+        return df.withColumn("histogram", F.transform("features", lambda row: F.size(row)))
+
+    found = X.backfill_feature(store.scan(["features"]), "features", counted, "histogram")
     store.put(found)
-    summary = X.feature_summary(store.scan(["sift", "harris"]), ["sift", "harris"])
-    sizes = {(r.image_name, r.kind): (r.n_rows, r.n_cols) for r in summary.collect()}
-    assert len(sizes) == 4 and all(cols == 128 for _, cols in sizes.values())
+    assert {r.image_name for r in store.scan(["histogram"]).collect()} == {"colour.png", "grey.png"}
+    summary = X.feature_summary(store.scan(["features"]), ["features"])
+    assert {(r.image_name, r.kind, r.n_cols) for r in summary.collect()} == {(n, "features", 8) for n in ("colour.png", "grey.png")}
     totals = {r.kind: r for r in X.feature_totals(summary).collect()}
-    assert totals["sift"].images == 2 and totals["sift"].descriptors == 2 * sizes["grey.png", "sift"][0]
+    assert totals["features"].images == 2 and totals["features"].descriptors == 12
 
 
 def test_files_as_messages(spark, pictures, folder):
     publish_parquet(file_messages(read_binary_files(spark, pictures, "*.png")), folder + "/topic")
     rows = spark.read.parquet(folder + "/topic").collect()
-    assert {r.key for r in rows} == {"colour.png", "grey.png", "flat.png", "tiny.png", "broken.png"}
-    assert all(decode(bytes(r.value)) is not None for r in rows if r.key != "broken.png")
+    assert {r.key for r in rows} == {"colour.png", "grey.png", "dark.png", "four.png", "broken.png"}
 
 
-def test_jpeg_through_the_spark_decoder(spark, pictures):
-    jvm = spark._jvm
-    source = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(pictures + "/colour.png"))
-    assert jvm.javax.imageio.ImageIO.write(source, "jpg", jvm.java.io.File(pictures + "/photo.JPEG"))
-    for kind in ("sift", "harris"):
-        rows = {r.image_name: r for r in X.ingest_images(spark, pictures, kind, spark_decoder=True).collect()}
-        assert len(rows) == 6 and len(rows["photo.JPEG"][kind]) > 20 and bytes(rows["photo.JPEG"].content)[:2] == b"\xff\xd8"
-        assert rows["grey.png"][kind] is not None and rows["broken.png"][kind] is None
+def test_file_bytes_are_not_shuffled(spark, pictures):
+    plan = read_binary_files(spark, pictures)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

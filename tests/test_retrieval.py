@@ -1,11 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from retinue.functions.arrays import concat_features, reshape_rows, squared_distance
-from retinue.functions.vectors import nearest_row, smallest_per_row, squared_distances
+from retinue.functions.vectors import to_matrix, nearest_row, smallest_per_row, squared_distances
 from retinue.operators import codebook as C
 from retinue.operators import similarity as S
 
@@ -215,10 +216,26 @@ def test_a_codebook_too_large_to_share_is_joined(spark, monkeypatch):
     rows = C.explode_descriptors(df, "f")
     by_group = C.histogram(C.assign(rows, centers, row_key=["image_name", "pos"]), 9).collect()
     assert {r.image_name: list(r.histogram) for r in by_group} == {n: h for n, h in want.items() if sum(h)}
-    with pytest.raises(ValueError):
-        C.assign(rows, centers)
-    with pytest.raises(ValueError):
-        C.quantise(df, centers, "f")
+    numbered = C.assign(rows, centers)
+    monkeypatch.undo()
+    assert sorted(map(str, numbered.collect())) == sorted(map(str, C.assign(rows, centers).collect()))
+
+
+@pytest.mark.parametrize("empty", ["drop", "zero"])
+def test_quantise_is_the_same_at_every_codebook_size(spark, monkeypatch, empty):
+    df, centers, _ = images_and_centers(spark)
+    shared = C.quantise(df, centers, "f", empty=empty)
+    monkeypatch.setattr(C, "MAX_SHARED_BYTES", 8)
+    joined = C.quantise(df, centers, "f", empty=empty)
+    assert joined.columns == shared.columns
+    assert sorted(map(str, joined.collect())) == sorted(map(str, shared.collect()))
+
+
+def test_cluster_table_keeps_incomplete_rows(spark):
+    rows = spark.createDataFrame([(i, float(i % 2 * 10), 1.0) for i in range(7)] + [(7, None, 1.0)], "id int, a double, b double")
+    _, clustered = C.cluster_table(rows, ["a", "b"], 2, runs=1)
+    found = {r.id: r.cluster for r in clustered.collect()}
+    assert len(found) == 8 and found[7] is None and None not in [found[i] for i in range(7)]
 
 
 def test_histogram_sums_to_descriptors(spark):
@@ -251,3 +268,17 @@ def test_nearest_row_settles_close_runners_up():
     points = np.array([[base, base]])
     centers = np.array([[base + 2e-3, base], [base + 1e-3, base]])
     assert nearest_row(points, centers)[0][0] == 1
+
+
+def test_float_vectors_far_from_zero_keep_their_order(spark):
+    """The nearer of two rows that an expanded square tells apart no more."""
+    gallery = spark.createDataFrame([("a", [1e6 + 2e-3, 1e6]), ("b", [1e6, 1e6])], "image_name string, histogram array<double>")
+    queries = spark.createDataFrame([("q", [1e6, 1e6])], "image_name string, histogram array<double>")
+    for options in FORMS:
+        found = S.top_k_similar(queries, gallery, 2, **options).orderBy("rank").collect()
+        assert [r.match for r in found] == ["b", "a"] and found[0].distance == 0.0 and found[1].distance > 0
+
+
+def test_ragged_vectors_are_refused():
+    with pytest.raises(ValueError, match="different lengths"):
+        to_matrix(pa.array([[1.0, 2.0], [1.0, 2.0, 3.0]]))

@@ -1,14 +1,14 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from retinue.functions.images import encode_png
 from retinue.operators import codebook as C
 from retinue.operators import features as X
 from retinue.operators.similarity import top_k_similar
+from retinue.plans.derived import decode_raw, encode_raw
 from retinue.sinks.cells import CellTable
 from retinue.sources import streams
 from retinue.streaming import batches, counters, matching
-from tests.test_images import picture
+from tests.test_images import bright_cells, picture
 
 LINE = 'ip{} - - [d z] "GET / H" 200 1 "page{}" "agent"'
 
@@ -68,32 +68,52 @@ def test_empty_batches_are_skipped(spark, folder):
 
 
 def test_image_stream_equals_batch_and_stores_images(spark, folder):
-    pngs = {f"p{i}.png": encode_png(picture(i, (8, 10))) for i in range(6)}
-    pngs["flat.png"] = encode_png(np.full((40, 40), 7, np.uint8))
-    rows = [(name, bytearray(content)) for name, content in pngs.items()]
-    images = X.extract_features(spark.createDataFrame(rows, "image_name string, content binary"), "harris").cache()
-    model = C.train_codebook(C.explode_descriptors(images, "harris"), 6, runs=1)
+    files = {f"p{i}": encode_raw(picture(i)) for i in range(6)} | {"dark": encode_raw(np.full((24, 32), 7, np.uint8))}
+    rows = [(name, bytearray(content)) for name, content in files.items()]
+    images = spark.createDataFrame(rows, "image_name string, content binary")
+    images = X.extract_features(images, bright_cells, source="content", decoder=decode_raw).cache()
+    model = C.train_codebook(C.explode_descriptors(images, "features"), 6, runs=1)
     centers = C.centers_table(spark, model)
-    gallery = C.histogram_job(images, "harris", centers)
-    assert gallery.count() == 6  # the flat picture has no cell in the batch
+    gallery = C.histogram_job(images, "features", centers)
+    assert gallery.count() == 6  # the dark picture has no cell in the batch
 
     publish(spark, folder + "/topic", rows + rows[:1], streams.MESSAGE)
     stream = streams.file_stream(spark, folder + "/topic", streams.MESSAGE)
     store = X.image_table(spark, folder + "/store")
+    prepared = spark.sparkContext.accumulator(0)
+
+    def counting(pixels):
+        prepared.add(1)
+        return bright_cells(pixels)
+
     matching.match_image_stream(
-        stream, gallery, centers, folder + "/out", folder + "/c", k=4, store=store, available_now=True
+        stream, gallery, centers, folder + "/out", folder + "/c", lambda batch: matching.received_images(batch, counting, decode_raw),
+        k=4, store=store, available_now=True,
     ).awaitTermination()
     got = {(r.query, r.rank, r.match, r.distance) for r in spark.read.parquet(folder + "/out/matches").collect()}
-    queries = C.quantise(images, centers, "harris", empty="zero")
+    queries = C.quantise(images, centers, "features", empty="zero")
     assert got == {tuple(r) for r in top_k_similar(queries, gallery, 4).collect()}
-    assert ("p3.png", 1, "p3.png", 0) in got
-    assert {q for q, *_ in got} == set(pngs)  # the flat picture is matched in the stream
+    assert ("p3", 1, "p3", 0) in got
+    assert {q for q, *_ in got} == set(files)  # the dark picture is matched in the stream
     wide = {r.query: r.image_1 for r in spark.read.parquet(folder + "/out/wide").collect()}
-    assert wide["p3.png"] == "p3.png#0"
+    assert wide["p3"] == "p3#0"
     assert spark.read.text(folder + "/out/log").count() == 7
-    stored = {r.image_name: r for r in store.scan(["content", "harris", "histogram"]).collect()}
-    assert bytes(stored["flat.png"].content) == pngs["flat.png"]
-    assert stored["flat.png"].harris is None and sum(stored["flat.png"].histogram) == 0
+    stored = {r.image_name: r for r in store.scan(["content", "features", "histogram"]).collect()}
+    assert bytes(stored["dark"].content) == files["dark"]
+    assert stored["dark"].features is None and sum(stored["dark"].histogram) == 0
+    assert prepared.value == 7  # what arrives twice in a batch is described once
+
+
+def test_counters_stay_folded_over_many_batches(spark, folder, monkeypatch):
+    monkeypatch.setattr(counters, "COMPACT_EVERY", 4)
+    source = folder + "/words"
+    for _ in range(10):
+        publish(spark, source, [("a",)], "key string")
+    words = streams.file_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    table = CellTable(spark, folder + "/counters", {"count": "value long"}, "key")
+    counters.running_counter_stream(words, table, folder + "/c", available_now=True).awaitTermination()
+    assert [(r.key, r.value) for r in table.scan().collect()] == [("a", 10)]
+    assert len(table._puts("count")) <= 4 and len(table._bases("count")) <= 2
 
 
 def test_stream_can_drop_images_without_features(spark, folder):
@@ -103,7 +123,7 @@ def test_stream_can_drop_images_without_features(spark, folder):
     centers = spark.createDataFrame([(0, [1.0]), (1, [9.0])], "center_id int, center array<double>")
     gallery = spark.createDataFrame([("g", [1, 0])], "image_name string, histogram array<int>")
     matching.match_image_stream(
-        stream, gallery, centers, folder + "/o", folder + "/c", prepare=lambda df: df, empty="drop", available_now=True
+        stream, gallery, centers, folder + "/o", folder + "/c", lambda df: df, empty="drop", available_now=True
     ).awaitTermination()
     assert [r.query for r in spark.read.parquet(folder + "/o/matches").collect()] == ["a"]
 

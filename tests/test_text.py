@@ -37,11 +37,12 @@ def test_lookups(spark, options):
     assert got == {1: ["cat", "O", "cat"], 2: [], 3: None}
 
 
-def test_large_lexicon_needs_a_row_key(spark):
-    df = spark.createDataFrame([(["a"],)], "tokens array<string>")
+def test_large_lexicon_without_a_row_key(spark):
+    df = spark.createDataFrame([(["a", "c"],), (["a", "c"],), (None,)], "tokens array<string>")
     lexicon = spark.createDataFrame([("a", "b")], "word string, value string")
-    with pytest.raises(ValueError):
-        X.lemma(df, lexicon, broadcast_words=0)
+    joined = X.lemma(df, lexicon, broadcast_words=0)
+    assert joined.columns == ["tokens", "lemmas"]
+    assert sorted(map(str, (r.lemmas for r in joined.collect()))) == ["None", "['b', 'c']", "['b', 'c']"]
 
 
 @pytest.mark.parametrize("options", [{}, {"broadcast_words": 0, "row_key": "id"}])
