@@ -59,14 +59,15 @@ def shared_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    given = context._jsc.sc().getCheckpointDir()
-    if given.isDefined():
-        return given.get().rstrip("/")
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
     if getattr(context, "_retinue_root", None) is None:
-        context._retinue_root = tempfile.mkdtemp(prefix="retinue-")
-        context.setCheckpointDir(context._retinue_root)
+        given = context._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            context._retinue_root = given.get().rstrip("/")
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            context._retinue_root = tempfile.mkdtemp(prefix="retinue-")
+            context.setCheckpointDir(context._retinue_root)
+        else:
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
     return context._retinue_root
 
 
