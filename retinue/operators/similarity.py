@@ -37,8 +37,9 @@ BROADCAST_VALUES = 4_000_000
 #: further part of the queries repeats the gallery rows of the cell.
 TILE_ROWS = 16_384
 QUERY_FACTOR = 2
-#: Upper bound of the pivots kept on the driver and in every task.
-MAX_PIVOTS = 512
+#: The pivots grow with the square root of the gallery, up to this many bytes of
+#: vectors, which the driver and every task keep.
+PIVOT_BYTES = 64 * 1024 * 1024
 #: Rows per Arrow batch that the router emits.
 EMIT_ROWS = 8192
 #: Relative slack of the float bounds, far above their rounding error.
@@ -144,7 +145,8 @@ class Gallery:
             order = Window.partitionBy("vector").orderBy("match")
             rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= self.k).drop("nth")
         rows = materialise(rows, "gallery")
-        n_pivots = min(MAX_PIVOTS, max(1, math.isqrt(rows.count())))
+        n, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+        n_pivots = min(PIVOT_BYTES // (8 * max(1, width or 1)), max(1, math.isqrt(n)))
         # A fixed pseudo-random choice; it steers the cost, never the result.
         copies = self.k or 1
         chosen = rows.select("vector").orderBy(F.xxhash64("vector")).limit(n_pivots * copies).toArrow()
@@ -260,7 +262,7 @@ class _Search:
             ],
             "cell int, gallery_parts int, query_parts int",
         )
-        layout = F.broadcast(layout)  # one row per pivot, so MAX_PIVOTS rows at most
+        layout = F.broadcast(layout)  # one row per pivot, which PIVOT_BYTES bounds
         tile = ["cell", "gallery_part", "query_part"]
 
         def every(parts):

@@ -9,7 +9,7 @@ from retinue.plans.registry import query, table
 from retinue.session import shared_dir
 from retinue.sources.files import parse_vectors, read_edge_list, read_vertex_attrs
 
-DEFAULT = {"name": "John Doe", "position": "Missing"}
+DEFAULT = {"name": "nobody", "position": "none"}
 
 
 def order_graph(spark, sf_dir) -> G.Graph:
@@ -26,7 +26,7 @@ def order_graph(spark, sf_dir) -> G.Graph:
 GRAPH_SQL = """
 edges AS (SELECT o_custkey AS src, o_orderkey AS dst, o_orderpriority AS attr FROM orders),
 ids AS (SELECT c_custkey AS id FROM customer UNION SELECT src FROM edges UNION SELECT dst FROM edges),
-vertices AS (SELECT id, coalesce(c_name, 'John Doe') AS name, coalesce(c_mktsegment, 'Missing') AS position
+vertices AS (SELECT id, coalesce(c_name, 'nobody') AS name, coalesce(c_mktsegment, 'none') AS position
              FROM ids LEFT JOIN customer ON id = c_custkey)"""
 
 
@@ -85,11 +85,11 @@ def join_vertices(spark, sf_dir):
 
 @query(
     "subgraph",
-    f"""WITH {GRAPH_SQL}, kept AS (SELECT id FROM vertices WHERE position <> 'Missing')
+    f"""WITH {GRAPH_SQL}, kept AS (SELECT id FROM vertices WHERE position <> 'none')
     SELECT src, dst, attr FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)""",
 )
 def subgraph(spark, sf_dir):
-    return G.subgraph(order_graph(spark, sf_dir), F.col("position") != "Missing").edges
+    return G.subgraph(order_graph(spark, sf_dir), F.col("position") != "none").edges
 
 
 def supply_graph(spark, sf_dir) -> G.Graph:

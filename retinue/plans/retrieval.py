@@ -11,9 +11,10 @@ from retinue.operators import codebook, similarity
 from retinue.plans import derived
 from retinue.plans.derived import CENTERS_SQL, HISTOGRAM_SQL, PAIRS_SQL
 from retinue.plans.registry import query, table
-from retinue.session import shared_dir
+from retinue.session import materialise, shared_dir
 
-RADIUS = 24
+#: A few hundredths of the pairs are as near as this.
+RADIUS = 4
 
 
 def text_of(array: Column) -> Column:
@@ -22,7 +23,7 @@ def text_of(array: Column) -> Column:
 
 def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``<image_name, histogram>``, kept because it is both queries and gallery."""
-    centers = derived.centers(spark, sf_dir)
+    centers = materialise(derived.centers(spark, sf_dir), "centers")
     assigned = codebook.assign(derived.descriptors(spark, sf_dir), centers)
     n = centers.count()
     return codebook.histogram(assigned, n).persist(StorageLevel.MEMORY_AND_DISK)

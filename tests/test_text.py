@@ -4,15 +4,15 @@ from pyspark.sql import functions as F
 from retinue.functions.text import clean_xml, first_sentence, ssplit, tokenize
 from retinue.operators import text as X
 
-DOC = "<xml>Stanford University is located in California. It is a great university.</xml>"
+DOC = "<doc>The ferry to Halm leaves at noon. It carries <b>forty</b> cars.</doc>"
 
 
 def test_document_to_sentences(spark):
     df = spark.createDataFrame([(1, DOC)], "id int, text string")
     rows = X.explode_sentences(df).collect()
     assert [(r.id, r.pos, r.sentence) for r in rows] == [
-        (1, 0, "Stanford University is located in California."),
-        (1, 1, "It is a great university."),
+        (1, 0, "The ferry to Halm leaves at noon."),
+        (1, 1, "It carries forty cars."),
     ]
 
 
