@@ -19,10 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     ends = materialise(ends.select(F.col("a").alias("node"), F.col("b").alias("other")), "links")
     n = ends.count()
+    sizes = materialise(ends.groupBy("other").agg(F.count(F.lit(1)).alias("_n")), "link-counts")
     least = F.least("node", F.min("other")).alias("label")
     labels = materialise(ends.groupBy("node").agg(least), "labels")
     while True:
-        seen = spread_join(ends, labels.select(F.col("node").alias("other"), "label"), "other", ["node"], total=n)
+        seen = spread_join(ends, labels.select(F.col("node").alias("other"), "label"), "other", ["node"], total=n, sizes=sizes)
         near = seen.groupBy("node").agg(F.min("label").alias("near"))
         moved = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("near"))
         moved = materialise(moved, "moved")

@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rows = leaders.select("node", F.explode("bands").alias("key"))
     shared = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "near-buckets")
-    members = spread_join(slot_filter(rows, "key", shared), shared, "key", ["node"], total=n * BANDS, sizes=shared)
+    # A class has one key per band, so no key holds more than one part in BANDS of the rows.
+    members = rows.join(shared, "key")
     members = materialise(members, "near-members")
     degrees = members.groupBy("node").agg(F.sum(F.col("_n") - 1).alias("degree"))
     degrees = materialise(degrees, "near-degrees")
