@@ -143,15 +143,19 @@ def histogram_job(spark, sf_dir):
     return found.select("image_name", text_of(F.col("histogram")).alias("histogram"))
 
 
-def trained_facts(found: DataFrame, centers: DataFrame, limit: DataFrame) -> DataFrame:
+def trained_facts(found: DataFrame, centers: DataFrame, limit: float = float("inf")) -> DataFrame:
     """What any good codebook fulfils: ``found`` is ``<vector, cluster>`` of all rows, ``limit`` a cost to stay below."""
-    apart = F.aggregate(F.zip_with("vector", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    each = found.withColumn("row", F.monotonically_increasing_id()).crossJoin(F.broadcast(centers)).withColumn("d", apart)
-    best = each.groupBy("row").agg(F.min("d").alias("least"), F.max(F.when(F.col("cluster") == F.col("center_id"), F.col("d"))).alias("own"))
+    rows = sorted((r.center_id, list(r.center)) for r in centers.collect())  # as few as were trained
+
+    def apart(center):
+        return F.aggregate(F.zip_with("vector", F.array(*map(F.lit, center)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+
+    distances = found.select("cluster", F.array(*(apart(center) for _, center in rows)).alias("d"))
+    own = distances.select(F.array_min("d").alias("least"), F.get("d", F.col("cluster")).alias("own"))
     nearest = F.coalesce(F.min(F.col("own") <= F.col("least") * (1 + 1e-9) + 1e-9), F.lit(False))
-    facts = best.agg(F.count("*").alias("n_rows"), nearest.alias("all_nearest"), F.sum("own").alias("cost"))
-    sizes = centers.agg(F.count("*").alias("n_centers"))
-    return facts.crossJoin(sizes).crossJoin(limit).select("n_rows", "n_centers", "all_nearest", (F.col("cost") <= F.col("limit")).alias("cost_below"))
+    facts = own.agg(F.count("*").alias("n_rows"), nearest.alias("all_nearest"), F.sum("own").alias("cost"))
+    n = F.lit(len(rows)).cast("long").alias("n_centers")
+    return facts.select("n_rows", n, "all_nearest", (F.col("cost") <= F.lit(limit)).alias("cost_below"))
 
 
 @query(
@@ -169,7 +173,8 @@ def train_codebook(spark, sf_dir):
     found = codebook.assign(rows, centers).select(F.col("descriptor").cast("array<double>").alias("vector"), "cluster")
     # The sum of squares less that of the mean, value by value.
     values = found.select(F.posexplode("vector").alias("pos", "v")).groupBy("pos").agg((F.var_pop("v") * F.count("v")).alias("cost"))
-    return trained_facts(found, centers, values.agg(F.sum("cost").alias("limit"))).withColumn("reloaded", F.lit(same))
+    limit = values.agg(F.sum("cost")).first()[0]
+    return trained_facts(found, centers, limit).withColumn("reloaded", F.lit(same))
 
 
 @query(
@@ -182,7 +187,7 @@ def cluster_table(spark, sf_dir):
     model, found = codebook.cluster_table(table(spark, sf_dir, "customer"), cols, 8, runs=1)
     found = found.select(F.array(*(F.col(c).cast("double") for c in cols)).alias("vector"), *cols, "cluster")
     spread = sum((F.var_pop(F.col(c).cast("double")) * F.count(c) for c in cols[1:]), F.var_pop(F.col(cols[0]).cast("double")) * F.count(cols[0]))
-    limit = found.agg(spread.alias("limit"))
+    limit = found.agg(spread).first()[0]
     return trained_facts(found.select("vector", "cluster"), codebook.centers_table(spark, model), limit)
 
 
@@ -196,9 +201,8 @@ def assign_held_out(spark, sf_dir):
     model = codebook.train_codebook(rows.where("NOT held_out"), 6, runs=1)
     centers = codebook.centers_table(spark, model)
     found = codebook.assign(rows, centers).select("held_out", F.col("descriptor").cast("array<double>").alias("vector"), "cluster")
-    none = spark.range(1).select(F.lit(float("inf")).alias("limit"))
-    parts = [trained_facts(found.where(F.col("held_out") == side).drop("held_out"), centers, none).select(F.lit(side).alias("held_out"), "n_rows", "all_nearest") for side in (True, False)]
-    return parts[0].union(parts[1])
+    parts = [trained_facts(found.where(F.col("held_out") == side), centers).withColumn("held_out", F.lit(side)) for side in (True, False)]
+    return parts[0].union(parts[1]).select("held_out", "n_rows", "all_nearest")
 
 
 @query(
