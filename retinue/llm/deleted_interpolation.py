@@ -59,7 +59,16 @@ BLOCK = pa.schema(
         ("places", pa.binary()),
     ]
 )
-REQUEST = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+REQUEST = pa.schema(
+    [
+        ("range", pa.int32()),
+        ("kind", pa.int32()),
+        ("block", pa.int64()),
+        ("held", pa.bool_()),
+        ("hashes", pa.binary()),
+        ("counts", pa.binary()),
+    ]
+)
 
 
 def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -133,7 +142,7 @@ def _values(planes: bytes) -> np.ndarray:
 
 
 def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
-    """``<range, kind, block, hashes, counts>``: what a block asks of a range, with its own training counts."""
+    """``<range, kind, block, held, hashes, counts>``: what a block asks of a range, with its own training counts."""
     cuts = (np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**64).astype(np.uint64)
 
     def ask(batches):
@@ -146,16 +155,16 @@ def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
                     for k, (a, b) in enumerate(zip(edges, edges[1:])):
                         if a < b:
                             told = b"" if block.held else counts[a:b].tobytes()
-                            rows.append((k, kind, row["block"], _planes(hashes[a:b]), told))
+                            rows.append((k, kind, row["block"], block.held, _planes(hashes[a:b]), told))
                 yield _arrow(rows, REQUEST)
 
-    return blocks.mapInArrow(ask, "range int, kind int, block long, hashes binary, counts binary")
+    return blocks.mapInArrow(ask, "range int, kind int, block long, held boolean, hashes binary, counts binary")
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Sums the counts of one range and kind; every block gets them in the order of its hashes."""
     asked = [_values(planes) for planes in rows["hashes"]]
-    told = [np.frombuffer(c, np.uint32) if len(c) else np.zeros(len(own), np.uint32) for c, own in zip(rows["counts"], asked)]
+    told = [np.zeros(len(own), np.uint32) if held else np.frombuffer(c, np.uint32) for c, own, held in zip(rows["counts"], asked, rows["held"])]
     hashes, places = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(places, np.concatenate(told), len(hashes)).astype(np.uint32)
     answers, start = [], 0
@@ -165,7 +174,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     # What the training texts hold in this range, told in one row.
     tokens, distinct = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     tokens[0], distinct[0] = totals.sum(dtype=np.int64), (totals > 0).sum()
-    named = {"block": rows["block"], "kind": rows["kind"], "range": rows["range"]}
+    named = {"block": rows["block"], "held": rows["held"], "kind": rows["kind"], "range": rows["range"]}
     return pd.DataFrame({**named, "totals": answers, "tokens": tokens, "distinct": distinct})
 
 
@@ -227,19 +236,17 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_
     with bucketed(_blocks(rows, block_words), "lm-blocks", "block") as blocks:
         tokens = blocks.agg(F.sum(F.octet_length("places"))).first()[0] or 0
         ranges = max(1, math.ceil(tokens / 4 / RANGE_WORDS))
-        schema = "block long, kind int, range int, totals binary, tokens long, distinct long"
+        schema = "block long, held boolean, kind int, range int, totals binary, tokens long, distinct long"
         asked = _requests(blocks, ranges).groupBy("range", "kind")
         answers = materialise(asked.applyInPandas(_answer, schema), "lm-counts")
         counted = answers.filter("kind = 1").agg(F.sum("tokens"), F.sum("distinct")).first()
         n_tokens, n_words = int(counted[0] or 0), int(counted[1] or 0)
 
-        def cogrouped(function, schema: str, some: DataFrame) -> DataFrame:
-            given = answers.select("block", "kind", "range", "totals").groupBy("block")
-            return some.groupBy("block").cogroup(given).applyInPandas(function, schema)
+        def cogrouped(function, schema: str, which: str) -> DataFrame:
+            given = answers.filter(which).select("block", "kind", "range", "totals").groupBy("block")
+            return blocks.filter(which).groupBy("block").cogroup(given).applyInPandas(function, schema)
 
         def held_cells(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-            if block_rows.empty:
-                return pd.DataFrame(columns=["bucket", "pair_level", "word_level", "n", "pair", "word"])
             _, own, pair, before = _estimates(block_rows, given)
             bucket, after, alone, _ = _parts(own, pair, before, n_tokens, n_words)
             levels = {"bucket": bucket, "pair_level": _level(after), "word_level": _level(alone)}
@@ -247,7 +254,7 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_
 
         # At most (BUCKETS + 1) * (DEEPEST * CELLS + 2) ** 2 cells, whatever the input.
         schema = "bucket long, pair_level long, word_level long, n long, pair double, word double"
-        cells = cogrouped(held_cells, schema, blocks.filter("held")).groupBy("bucket", "pair_level", "word_level")
+        cells = cogrouped(held_cells, schema, "held").groupBy("bucket", "pair_level", "word_level")
         cells = cells.agg(*(F.sum(c).alias(c) for c in ("n", "pair", "word"))).toPandas()
         weights = learn_weights(cells.sort_values(["bucket", "pair_level", "word_level"]), 1.0 / (n_words + 1))
 
@@ -268,6 +275,6 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_
             )
 
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        scored = materialise(cogrouped(score, schema, blocks), "lm-scores")
+        scored = materialise(cogrouped(score, schema, "true"), "lm-scores")
     scored = scored.withColumn("train_tokens", F.lit(n_tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
