@@ -263,6 +263,9 @@ def pack_documents(docs: DataFrame, ranks_path: str) -> DataFrame:
                     yield table(rows)
         if rows := packer.pack(final=True):
             yield table(rows)
+        # The worker stays for tasks of other kinds, so it gives back what it remembers.
+        encoder.forget()
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, schema)
