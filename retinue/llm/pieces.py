@@ -25,7 +25,7 @@ from retinue.llm.words import small_batches
 #: Stands for a space in pieces (fixed value of the model format).
 SPACE = "▁"
 #: Words a worker remembers before it begins anew; results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Pairs of neighbours a worker remembers.
 REMEMBERED_PAIRS = 1_000_000
 
@@ -45,11 +45,16 @@ class Pieces:
         self.byte = {int(text[i][3:5], 16): i for i in every if is_byte[i]}
         self._check_model(processor)
         self.pairs: dict[int, bool] = {}
-        self.own: dict[int, bool] = {}
+        self.size = list(map(len, text))
+        self.chars = frozenset(c for piece in self.piece for c in piece)
+        # Only pieces that their own merges end in can be part of an encoding.
+        whole = {p: i for p, i in self.piece.items() if SPACE * 2 not in p and self.merge(p) == [i]}
         self.automaton = ahocorasick.Automaton()
-        for piece, i in self.piece.items():
-            if SPACE * 2 not in piece:
-                self.automaton.add_word(piece, (i, len(piece)))
+        #: Longest shorter piece that a piece begins with; -1 if there is none.
+        self.shorter = [-1] * len(text)
+        for piece, i in whole.items():
+            self.automaton.add_word(piece, (i, len(piece) - 1))
+            self.shorter[i] = next((whole[piece[:n]] for n in range(len(piece) - 1, 0, -1) if piece[:n] in whole), -1)
         self.automaton.make_automaton()
         surface = [b"" if special[i] else bytes([int(text[i][3:5], 16)]) if is_byte[i] else text[i].replace(SPACE, " ").encode() for i in every]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
@@ -107,46 +112,44 @@ class Pieces:
             found = self.pairs[key] = self.merge(self.text[left] + self.text[right]) == [left, right]
         return found
 
-    def whole(self, piece: int) -> bool:
-        """Whether the merges of a piece's text end in this piece."""
-        found = self.own.get(piece)
-        if found is None:
-            found = self.own[piece] = self.merge(self.text[piece]) == [piece]
-        return found
-
     def backtrack(self, text: str) -> list[int]:
         """Pieces of a word of known characters, with at most one space sign, at its start."""
-        matches: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, (piece, size) in self.automaton.iter(text):
-            if self.whole(piece):
-                matches[end - size + 1].append((piece, size))
-        open_at = (1 << len(text) + 1) - 1
+        longest = [-1] * len(text)
+        for end, (piece, back) in self.automaton.iter(text):
+            longest[end - back] = piece
+        failed = bytearray(len(text) + 1)
+        size, shorter, pairs = self.size, self.shorter, self.pairs
         taken: list[int] = []
-        tried: list[int] = []
-        at, choice = 0, len(matches[0]) - 1
-        while at < len(text):
-            while choice >= 0:
-                piece, size = matches[at][choice]
-                if open_at >> at + size & 1 and (not taken or self.fit(taken[-1], piece)):
-                    break
-                choice -= 1
-            if choice >= 0:
+        at, last, piece = 0, -1, longest[0]
+        while True:
+            while piece >= 0:
+                end = at + size[piece]
+                if not failed[end]:
+                    fits = last < 0 or pairs.get(last << 32 | piece)
+                    if fits is None:
+                        fits = self.fit(last, piece)
+                    if fits:
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
                 taken.append(piece)
-                tried.append(choice)
-                at += size
-                choice = len(matches[at]) - 1 if at < len(text) else 0
+                if end == len(text):
+                    return taken
+                at, last, piece = end, piece, longest[end]
             else:
-                open_at &= ~(1 << at)
-                choice = tried.pop()
-                at -= len(self.text[taken.pop()])
-                # The end of that piece is closed now, so the next shorter one follows.
-        return taken
+                # Nothing fits from here, so the piece before has to be a shorter one.
+                failed[at] = 1
+                piece = taken.pop()
+                at -= size[piece]
+                last, piece = taken[-1] if taken else -1, shorter[piece]
 
     def word(self, text: str) -> list[int]:
         """Ids of a run of space signs and the word after it."""
+        if self.chars.issuperset(text) and not text.startswith(SPACE * 2):
+            return self.backtrack(text)
         ids: list[int] = []
         start = 0
-        for end in [*(n for n, c in enumerate(text) if c not in self.piece), len(text)]:
+        for end in [*(n for n, c in enumerate(text) if c not in self.chars), len(text)]:
             known = text[start:end]
             if known:
                 # Runs of spaces have pieces of equal rank, which only the merges in order settle.
@@ -247,5 +250,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             decoded = pa.array([pieces.decode(own) for own in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
+        # The worker stays for tasks of other kinds, so it gives back what it remembers.
+        pieces.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
