@@ -2,8 +2,9 @@
 
 The probability of a word mixes maximum-likelihood estimates: after its
 predecessor, on its own, and uniform over the vocabulary. The weights depend on
-how often the predecessor occurs in the training texts, and expectation
-maximisation learns them from texts held out of the counts.
+how often the predecessor occurs in the training texts. Expectation maximisation
+learns them from the training texts alone: every token is left out of the counts
+that predict it. Texts that are held out are only scored.
 
 Texts are taken in blocks. A block asks for the counts of its distinct words and
 word pairs, not of each occurrence: the requests, packed and sorted by hash, are
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retinue.llm.words import WordHashes, fold, lower_words, small_batches
-from retinue.session import bucketed, materialise
+from retinue.session import bucket_count, bucketed, materialise
 
 #: Documents whose CRC-32 of the id leaves HELD_OUT modulo FOLDS are not counted.
 FOLDS, HELD_OUT = 7, 2
@@ -33,7 +34,7 @@ BLOCK_WORDS = 1_000_000
 RANGE_WORDS = 3_000_000
 #: The weights depend on the binary logarithm of the predecessor's count, up to this bucket.
 BUCKETS = 16
-#: Held-out probabilities are gathered in cells of this many per factor of ten; the
+#: Leave-one-out probabilities are gathered in cells of this many per factor of ten; the
 #: weights, not the scores, rest on the cells.
 CELLS = 8
 DEEPEST = 16
@@ -188,14 +189,19 @@ def _estimates(block_rows: pd.DataFrame, answers: pd.DataFrame) -> tuple[_Block,
 
 
 def _parts(own, pair, before, n_tokens: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Bucket of the context and the three estimates that are mixed."""
+    """Bucket of the context and the three estimates that are mixed.
+
+    Without a count to divide by, an estimate is that of the next shorter context.
+    """
+    uniform = 1.0 / (n_words + 1)
+    alone = own / n_tokens if n_tokens > 0 else np.full(len(own), uniform)
     bucket = np.where(before > 0, np.minimum(np.log2(np.maximum(before, 1)).astype(np.int64) + 1, BUCKETS), 0)
-    after = np.where(before > 0, pair / np.maximum(before, 1), 0.0)
-    return bucket, after, own / max(n_tokens, 1), 1.0 / (n_words + 1)
+    after = np.where(before > 0, pair / np.maximum(before, 1), alone)
+    return bucket, after, alone, uniform
 
 
 def learn_weights(cells: pd.DataFrame, uniform: float) -> np.ndarray:
-    """Weights ``[bucket, estimate]`` (pair, word, uniform) by expectation maximisation over held-out cells."""
+    """Weights ``[bucket, estimate]`` (pair, word, uniform) by expectation maximisation over leave-one-out cells."""
     weights = np.full((BUCKETS + 1, 3), 1 / 3)
     bucket, n = cells["bucket"].to_numpy(np.int64), cells["n"].to_numpy(np.float64)
     # The means of a cell stand for the probabilities in it.
@@ -220,7 +226,8 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_
     Tokens are the words (A-Z in lower case) and an end token. Counts are of
     all tokens of the documents that are not held out. ``base_score`` is the
     add-one unigram score, ``score`` that of the interpolated model; both are
-    base-10 logarithms of the probability of the whole text.
+    base-10 logarithms of the probability of the whole text. The weights of the
+    model come from all training texts by leave-one-out counts: (c - 1) / (N - 1).
 
     * Null and empty texts have the end token alone.
     * A document with a null id is held out of the counts and scored.
@@ -238,43 +245,45 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_
         ranges = max(1, math.ceil(tokens / 4 / RANGE_WORDS))
         schema = "block long, held boolean, kind int, range int, totals binary, tokens long, distinct long"
         asked = _requests(blocks, ranges).groupBy("range", "kind")
-        answers = materialise(asked.applyInPandas(_answer, schema), "lm-counts")
-        counted = answers.filter("kind = 1").agg(F.sum("tokens"), F.sum("distinct")).first()
-        n_tokens, n_words = int(counted[0] or 0), int(counted[1] or 0)
-
-        def cogrouped(function, schema: str, which: str) -> DataFrame:
-            given = answers.filter(which).select("block", "kind", "range", "totals").groupBy("block")
-            return blocks.filter(which).groupBy("block").cogroup(given).applyInPandas(function, schema)
-
-        def held_cells(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-            _, own, pair, before = _estimates(block_rows, given)
-            bucket, after, alone, _ = _parts(own, pair, before, n_tokens, n_words)
-            levels = {"bucket": bucket, "pair_level": _level(after), "word_level": _level(alone)}
-            return pd.DataFrame({**levels, "n": 1, "pair": after, "word": alone}).groupby(list(levels), as_index=False).sum()
-
-        # At most (BUCKETS + 1) * (DEEPEST * CELLS + 2) ** 2 cells, whatever the input.
-        schema = "bucket long, pair_level long, word_level long, n long, pair double, word double"
-        cells = cogrouped(held_cells, schema, "held").groupBy("bucket", "pair_level", "word_level")
-        cells = cells.agg(*(F.sum(c).alias(c) for c in ("n", "pair", "word"))).toPandas()
-        weights = learn_weights(cells.sort_values(["bucket", "pair_level", "word_level"]), 1.0 / (n_words + 1))
-
-        def score(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-            block, own, pair, before = _estimates(block_rows, given)
-            bucket, after, alone, uniform = _parts(own, pair, before, n_tokens, n_words)
-            mixed = weights[bucket, 0] * after + weights[bucket, 1] * alone + weights[bucket, 2] * uniform
-            starts = np.r_[0, block.ends[:-1]]
-            return pd.DataFrame(
-                {
-                    "doc_id": pd.array(block.ids, dtype="Int64"),
-                    "held_out": block.held,
-                    "n_tokens": np.diff(block.ends, prepend=0),
-                    "n_known": np.add.reduceat((own > 0).astype(np.int64), starts),
-                    "base_score": np.add.reduceat(np.log10((own + 1) / (n_tokens + n_words + 1)), starts),
-                    "score": np.add.reduceat(np.log10(mixed), starts),
-                }
-            )
-
-        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        scored = materialise(cogrouped(score, schema, "true"), "lm-scores")
+        # Sums go back to the buckets of their blocks once, for the weights and for the scores.
+        sums = asked.applyInPandas(_answer, schema).repartition(bucket_count(spark), "block")
+        with bucketed(sums, "lm-counts", "block") as answers:
+            counted = answers.filter("kind = 1").agg(F.sum("tokens"), F.sum("distinct")).first()
+            n_tokens, n_words = int(counted[0] or 0), int(counted[1] or 0)
+
+            def cogrouped(function, schema: str, which: str) -> DataFrame:
+                given = answers.filter(which).select("block", "kind", "range", "totals").groupBy("block")
+                return blocks.filter(which).groupBy("block").cogroup(given).applyInPandas(function, schema)
+
+            def left_out_cells(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+                _, own, pair, before = _estimates(block_rows, given)
+                bucket, after, alone, _ = _parts(own - 1, pair - 1, before - 1, n_tokens - 1, n_words)
+                levels = {"bucket": bucket, "pair_level": _level(after), "word_level": _level(alone)}
+                return pd.DataFrame({**levels, "n": 1, "pair": after, "word": alone}).groupby(list(levels), as_index=False).sum()
+
+            # At most (BUCKETS + 1) * (DEEPEST * CELLS + 2) ** 2 cells, whatever the input.
+            schema = "bucket long, pair_level long, word_level long, n long, pair double, word double"
+            cells = cogrouped(left_out_cells, schema, "NOT held").groupBy("bucket", "pair_level", "word_level")
+            cells = cells.agg(*(F.sum(c).alias(c) for c in ("n", "pair", "word"))).toPandas()
+            weights = learn_weights(cells.sort_values(["bucket", "pair_level", "word_level"]), 1.0 / (n_words + 1))
+
+            def score(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+                block, own, pair, before = _estimates(block_rows, given)
+                bucket, after, alone, uniform = _parts(own, pair, before, n_tokens, n_words)
+                mixed = weights[bucket, 0] * after + weights[bucket, 1] * alone + weights[bucket, 2] * uniform
+                starts = np.r_[0, block.ends[:-1]]
+                return pd.DataFrame(
+                    {
+                        "doc_id": pd.array(block.ids, dtype="Int64"),
+                        "held_out": block.held,
+                        "n_tokens": np.diff(block.ends, prepend=0),
+                        "n_known": np.add.reduceat((own > 0).astype(np.int64), starts),
+                        "base_score": np.add.reduceat(np.log10((own + 1) / (n_tokens + n_words + 1)), starts),
+                        "score": np.add.reduceat(np.log10(mixed), starts),
+                    }
+                )
+
+            schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+            scored = materialise(cogrouped(score, schema, "true"), "lm-scores")
     scored = scored.withColumn("train_tokens", F.lit(n_tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -61,6 +61,42 @@ def test_scores_do_not_depend_on_the_blocks(spark):
     assert keyed[0] == keyed[1]
 
 
+def test_weights_come_from_training_texts_alone(spark):
+    values = sample()
+    words, pairs, total, distinct = plain_scores(values)
+    given = []
+    for text in (tokens_of(t) for i, t in values if not is_held(i)):
+        for p in zip([None, *text], text):
+            n = words[p[0]] - 1
+            alone = (words[p[1]] - 1) / (total - 1)
+            given.append((min(int(math.log2(n)) + 1, lm.BUCKETS) if n else 0, (pairs[p] - 1) / n if n else alone, alone))
+    weights = np.full((lm.BUCKETS + 1, 3), 1 / 3)
+    bucket, mixed = np.array([g[0] for g in given]), np.array([[*g[1:], 1 / (distinct + 1)] for g in given])
+    for _ in range(lm.ROUNDS):
+        shares = weights[bucket] * mixed
+        shares /= shares.sum(axis=1, keepdims=True)
+        sums = np.stack([np.bincount(bucket, shares[:, k], lm.BUCKETS + 1) for k in range(3)], axis=1) + 1
+        weights = sums / sums.sum(axis=1, keepdims=True)
+
+    def plain(text):
+        score = 0
+        for p in zip([None, *text], text):
+            n, alone = words[p[0]], words[p[1]] / total
+            parts = [pairs[p] / n if n else alone, alone, 1 / (distinct + 1)]
+            score += math.log10(np.dot(weights[min(int(math.log2(n)) + 1, lm.BUCKETS) if n else 0], parts))
+        return score
+
+    rows = lm.scores(docs_of(spark, values)).collect()
+    want = sorted((i or -1, len(tokens_of(t)), plain(tokens_of(t))) for i, t in values)
+    for got, (i, n, score) in zip(sorted((r.doc_id or -1, r.n_tokens, r.score) for r in rows), want):
+        assert got[:2] == (i, n) and abs(got[2] - score) < 0.02 * max(1, n)
+
+    changed = [(i, "w1 other words w2 w2 " * 9 if is_held(i) else t) for i, t in values]
+    again = lm.scores(docs_of(spark, changed)).collect()
+    keyed = [sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in found if not r.held_out) for found in (rows, again)]
+    assert len(keyed[0]) > 40 and keyed[0] == keyed[1]
+
+
 def test_weights_follow_the_likelihood():
     import pandas as pd
 
