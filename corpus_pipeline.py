@@ -43,7 +43,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in training sequences, with their token ids."""
     ship_package(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added)
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ queue.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from bisect import bisect_left
@@ -49,15 +50,20 @@ class Encoder:
     """Token ids of texts by a byte-level vocabulary, with a memory of the pieces between single spaces.
 
     The split pattern never joins a space to what stands before it, so what
-    follows a single space can be encoded on its own.
+    follows a single space can be encoded on its own. A text is first split at
+    the ``added`` tokens, whose ids stand between those of the parts.
     """
 
-    def __init__(self, ranks: bytes) -> None:
+    def __init__(self, ranks: bytes, added: tuple[tuple[str, int], ...] = ()) -> None:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
         self.ends_sentence = np.zeros(max(merges.values()) + 1, bool)
         for token, rank in merges.items():
             self.ends_sentence[rank] = token.endswith((b".", b"!", b"?", b"\n"))
+        self.added = dict(added)
+        # The longest of those that begin at one place is taken.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         self.forget()
 
     def forget(self) -> None:
@@ -68,6 +74,11 @@ class Encoder:
             self.forget()
         heads, tails, found = [], [], []
         for text in texts:
+            if self.split is not None and self.split.search(text):
+                heads.append(self._between_added(text))
+                tails.append([])
+                found.append(np.empty(0, np.int64))
+                continue
             first, *rest = text.split(" ")
             places = np.fromiter(map(self.known.__getitem__, rest), np.int64, len(rest))
             last = ""
@@ -93,6 +104,12 @@ class Encoder:
             out.append(own)
         return out
 
+    def _between_added(self, text: str) -> list[int]:
+        ids: list[int] = []
+        for n, part in enumerate(self.split.split(text)):
+            ids += [self.added[part]] if n % 2 else self.encoding.encode_ordinary(part)
+        return ids
+
 
 class _Known(dict):
     """Text after a space -> place of its ids; -1 if it cannot be encoded on its own."""
@@ -111,8 +128,18 @@ class _Known(dict):
 
 
 @lru_cache(maxsize=1)
-def encoder_of(ranks: bytes) -> Encoder:
-    return Encoder(ranks)
+def encoder_of(ranks: bytes, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    return Encoder(ranks, added)
+
+
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """Text and id of the added tokens of a ``tokenizers`` file, which are taken out of a text as they stand."""
+    with open(json_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} takes in or needs what stands beside it")
+    return tuple((token["content"], token["id"]) for token in added)
 
 
 def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
@@ -229,13 +256,15 @@ SCHEMA = pa.schema(
 )
 
 
-def pack_documents(docs: DataFrame, ranks_path: str) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """``<doc_id, start, length, ids, doc_tokens, sequence_id, offset>``, one row per piece of a document.
 
     ``ids`` are little-endian unsigned 32-bit token ids. Every task packs its
     split of the input in its order, so no text is moved; its last window is cut
     into powers of two, which need no padding. ``ranks_path`` is a byte-level
-    vocabulary as ranks; it is read by the driver.
+    vocabulary as ranks; it is read by the driver. ``added`` are the tokens
+    beside the ranks (:func:`added_tokens`); without them their texts are
+    ordinary text.
 
     * Null and empty texts are the end id alone; null ids and repeated rows are
       documents of their own.
@@ -248,7 +277,7 @@ def pack_documents(docs: DataFrame, ranks_path: str) -> DataFrame:
         ranks = file.read()
 
     def pack(batches):
-        encoder = encoder_of(ranks)
+        encoder = encoder_of(ranks, added)
         packer = Packer(encoder, TaskContext.get().partitionId() << 32)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:

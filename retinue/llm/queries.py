@@ -106,7 +106,8 @@ def op2_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_order_packing")
 def op7_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), ranks)
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), ranks, added)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -33,6 +34,26 @@ def test_ids_are_those_of_the_library(encoder, library):
         assert ids.tolist() == [*library(text), packing.END_ID], repr(text)
 
 
+def test_added_tokens_have_the_ids_of_the_library(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    added = packing.added_tokens(path)
+    assert added == (("<|endoftext|>", 50256),)
+    with open(RANKS, "rb") as file:
+        own = packing.Encoder(file.read(), added)
+    rng = random.Random(4)
+    parts = ["the", " ", "  ", "\n", "é", "it's", "12", ".", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>"] + ["".join(rng.choices(parts, k=rng.randrange(1, 20))) for _ in range(500)]
+    want = [[*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID] for text in texts]
+    assert want[0] == [64, 220, 50256, 275, packing.END_ID]
+    assert [ids.tolist() for ids in own.encode(texts)] == want
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts[:50])], "doc_id long, text string")
+    stage = corpus_pipeline.pack_windows(spark, docs, "").collect()
+    for i, ids in enumerate(want[:50]):
+        pieces = sorted((r.start, bytes(r.ids)) for r in stage if r.doc_id == i)
+        assert b"".join(piece for _, piece in pieces) == np.array(ids, "<u4").tobytes()
+
+
 def best_cost(places, penalties, window):
     cost = [0] + [None] * (len(places) - 1)
     for j in range(1, len(places) - 1):
