@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,13 +26,15 @@ from retinue.llm.words import small_batches
 #: Base kinds in the order of the contract, then the kinds that only the trees decide on.
 KINDS = ("email", "ip", "card", "phone", "account", "secret")
 BASE_KINDS = 4
-#: Documents and candidates that the trees are fitted and calibrated on, at most.
-TRAINING_DOCS = 10_000
+#: Candidates that the trees are fitted and calibrated on, at most; each kind has an equal
+#: share of base spans and one of other candidates.
 TRAINING_ROWS = 20_000
 #: Share of true spans among those a threshold selects, in calibration.
 PRECISION = 0.95
-#: Positive candidates of a kind that calibration needs; with fewer, none of the kind is added.
+#: Positive candidates of a kind that calibration needs, and of all kinds that the trees need.
 LEAST_SHOWN = 20
+#: Threshold of a kind with fewer positive candidates than that.
+FALLBACK = 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits either begins a match or none of its digits does.
@@ -48,10 +51,32 @@ _WIDE = (
     ("account", re.compile(r"\b[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{8,30}\b")),
     ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[^\s,;]{6,80}")),
 )
+_AT = re.compile(r"\s?[\[(]at[\])]\s?")
+_DOT = re.compile(r"[\[(]dot[\])]")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+#: National numbers: an area code in brackets is enough, other groups need a hint before them.
+_AREA = re.compile(r"\([0-9]{2,4}\)[\x20./-]?[0-9]{3,4}[\x20./-]?[0-9]{3,4}")
+_NATIONAL = re.compile(r"\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}|[0-9]{9,11}")
+_CARD_GROUPS = re.compile(r"[0-9]{4}(?:[\x20.-][0-9]{4}){2,3}(?:[\x20.-][0-9]{1,3})?|[0-9]{4}[\x20.-][0-9]{6}[\x20.-][0-9]{4,5}")
+#: Words before a candidate that speak of its kind.
+_OWN_HINTS = tuple(
+    re.compile(rf"(?i){words}")
+    for words in (
+        r"mail|contact|write|reach",
+        r"\bip\b|host|server|addr",
+        r"card|visa|master|amex|credit|debit|pay",
+        r"phone|\btel|\bcall|\bfax|mobile|\bcell|\bsms|whatsapp|\bring\b|\bdial",
+        r"account|iban|bank",
+        r"password|secret|token|key|login",
+    )
+)
 _HINTS = re.compile(r"(?i)mail|phone|tel|call|\bip\b|host|card|visa|iban|account|password|secret|token|key")
 #: Code points looked at before a candidate.
 CONTEXT = 24
 _ANY = re.compile(rb"[0-9@]")
+_WORDS = re.compile(rb"(?i)[\[(]at[\])]|(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]")
+#: Left out at the end of a proposed email.
+_TRAILING = ".,;:!?)]}'\""
 
 
 def _emails(text: str):
@@ -100,7 +125,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of what the wide generators propose; spans of different kinds overlap."""
     kinds = {name: n for n, name in enumerate(KINDS)}
-    return sorted({(m.start(), kinds[name], m.end()) for name, pattern in _WIDE for m in pattern.finditer(text)})
+    found = {(m.start(), kinds[name], m.end()) for name, pattern in _WIDE for m in pattern.finditer(text)}
+    return sorted((start, kind, end if kind else _email_end(text, start, end)) for start, kind, end in found)
+
+
+def _email_end(text: str, start: int, end: int) -> int:
+    own = text[start:end]
+    while own and own[-1] in _TRAILING and not own.endswith(("[dot]", "(dot)")):
+        own = own[:-1]
+    return start + len(own)
 
 
 def _entropy(text: str) -> float:
@@ -133,15 +166,40 @@ def describe(text: str, span: tuple[int, int, int]) -> list[float]:
         not after or after.isspace(),
         after in (".", ",", ";", ")"),
         _HINTS.search(before) is not None,
+        _OWN_HINTS[kind].search(before) is not None,
+        "(" in own,
+        "@" in own,
+        _AT.search(own) is not None,
+        len(set(own) & set("\x20./:-")),
+        min(map(len, groups), default=0),
     ]
 
 
 def _shown(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]]) -> bool:
-    """Whether a candidate of the sample passes the strict check of its kind."""
+    """Whether a candidate of the sample passes the check of its kind.
+
+    Base spans do. Other candidates of these kinds need looser evidence: an
+    email once ``[at]`` and ``[dot]`` are undone; eight groups of a long address
+    or, after a hint, four parts of up to 255; the check digit of a card in
+    groups by any separator, or after a hint; a national phone number with its
+    area code in brackets, or after a hint.
+    """
     start, kind, end = span
-    if kind < BASE_KINDS:
-        return span in base
-    own = text[start:end]
+    if span in base:
+        return True
+    own, before = text[start:end], text[max(0, start - CONTEXT) : start]
+    hinted = _OWN_HINTS[kind].search(before) is not None
+    if kind == KINDS.index("email"):
+        return _EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", own))) is not None
+    if kind == KINDS.index("ip"):
+        parts = re.split("[.:]", own)
+        return (own.count(":") == 7 and "." not in own) or (hinted and len(parts) == 4 and all(int(part) <= 255 for part in parts))
+    if kind == KINDS.index("card"):
+        digits = re.sub("[^0-9]", "", own)
+        return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) and (hinted or _CARD_GROUPS.fullmatch(own) is not None)
+    if kind == KINDS.index("phone"):
+        national = hinted and 7 <= sum(c.isdigit() for c in own) <= 12 and _NATIONAL.fullmatch(own) is not None
+        return national or _AREA.fullmatch(own) is not None
     if kind == KINDS.index("account"):
         return own.isupper() and 14 <= len(own) <= 34
     value = re.split(r"[=:]\s?", own, maxsplit=1)[-1]
@@ -158,52 +216,84 @@ class Model:
 
 def _text(value: bytes | None) -> str:
     """The text if anything in it may be personal data, else an empty one."""
-    possible = value and (_ANY.search(value) or b"(at)" in value or b"[at]" in value)
+    possible = value and (_ANY.search(value) or _WORDS.search(value))
     return value.decode() if possible else ""
 
 
-def train(docs: DataFrame, documents: int = TRAINING_DOCS, rows: int = TRAINING_ROWS) -> Model:
-    """Fit on the candidates of at most ``documents`` documents and at most ``rows`` of these.
+def _proposed(doc_id: int | None, text: str):
+    """``(span, base, key)`` of the candidates that the trees may learn from, with a sampling key below 2^32."""
+    base = set(base_spans(text)) if text else set()
+    for span in candidates(text) if text else ():
+        exact = span in base
+        if exact or not _overlaps(span, base):
+            start, kind, end = span
+            yield span, base, zlib.crc32(f"{doc_id} {start} {kind} {text[max(0, start - CONTEXT) : end]}".encode())
+
+
+def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
+    """Fit on at most ``rows`` candidates, drawn from all documents.
 
-    The documents are taken by a hash of ``doc_id`` from those with a digit or
-    an at sign. A candidate is a positive case if it passes the strict check of
-    its kind; the features do not see that check. Half of the sample fits the
-    trees, the other half calibrates the thresholds.
+    Candidates are counted by kind, base spans apart from others, and each of
+    these classes is then thinned by a hash to its share of ``rows``, so that a
+    rare kind is taken whole. A candidate is a positive case if it passes the
+    check of its kind (:func:`_shown`). Half of the sample fits the trees. The
+    other half calibrates the thresholds on what may be added, which base spans
+    are not: a kind with fewer than ``LEAST_SHOWN`` positive cases there has the
+    threshold ``FALLBACK``. With fewer in all kinds together, base spans
+    included, there is nothing to learn from and nothing is added.
     """
     small_batches(docs.sparkSession)
-    possible = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text RLIKE '[0-9@]'")
-    chosen = possible.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).distinct()
+    share = max(1, rows // (len(KINDS) + BASE_KINDS))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+
+    def rows_of(batch):
+        values = batch.column("text").cast(pa.binary()).to_pylist()
+        return zip(batch.column("doc_id").to_pylist(), map(_text, values))
+
+    def count(batches):
+        counts = Counter((span[1], span in base) for batch in batches for row in rows_of(batch) for span, base, _ in _proposed(*row))
+        columns = [pa.array([kind for kind, _ in counts], pa.int32()), pa.array([b for _, b in counts], pa.bool_()), pa.array(counts.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "base", "n"])
+
+    counted = texts.mapInArrow(count, "kind int, base boolean, n long").groupBy("kind", "base").agg(F.sum("n").alias("n"))
+    limits = {(r.kind, r.base): math.ceil(min(1.0, share / r.n) * 2**32) for r in counted.collect()}
 
     def show(batches):
         for batch in batches:
-            found, shown = [], []
-            for value in batch.column("text").cast(pa.binary()).to_pylist():
-                text = _text(value)
-                base = base_spans(text) if text else []
-                for span in candidates(text):
-                    exact = span in base
-                    if exact or not _overlaps(span, base):
+            found, shown, based, keys = [], [], [], []
+            for doc_id, text in rows_of(batch):
+                for span, base, key in _proposed(doc_id, text):
+                    if key < limits[span[1], span in base]:
                         found.append(describe(text, span))
-                        shown.append(int(_shown(text, span, set(base))))
+                        shown.append(int(_shown(text, span, base)))
+                        based.append(span in base)
+                        keys.append(key)
             width = len(found[0]) if found else 1
             values = pa.array(np.array(found, np.float64).ravel())
             lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * width, values)
-            yield pa.RecordBatch.from_arrays([pa.array(shown, pa.int32()), lists], ["shown", "features"])
+            columns = [pa.array(shown, pa.int32()), pa.array(based, pa.bool_()), pa.array(keys, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["shown", "base", "key", "features"])
 
-    measured = possible.join(F.broadcast(chosen), "doc_id").mapInArrow(show, "shown int, features array<double>")
-    table = measured.orderBy(F.xxhash64("features"), "shown").limit(rows).toPandas()
+    table = texts.mapInArrow(show, "shown int, base boolean, key long, features array<double>").toPandas()
     if table.empty:
         return Model(None, (2.0,) * len(KINDS))
     x = np.array(table["features"].tolist(), np.float64)
-    y = table["shown"].to_numpy(np.float64)
-    held_out = np.arange(len(y)) % 2 == 1
+    y, key, base = table["shown"].to_numpy(np.float64), table["key"].to_numpy(np.int64), table["base"].to_numpy(bool)
+    # In an order of its own, so that the result does not depend on the order of the rows; no class above its share.
+    order = np.lexsort([*x.T, y, key, base, x[:, 0]])
+    x, y, base = x[order], y[order], base[order]
+    place = np.arange(len(y)) - np.searchsorted(2 * x[:, 0] + base, 2 * x[:, 0] + base)
+    x, y, base, place = (part[place < share] for part in (x, y, base, place))
+    held_out = place % 2 == 1
     trees = fit(x[~held_out], y[~held_out], [0] * x.shape[1])
+    if y[held_out].sum() < LEAST_SHOWN:
+        return Model(trees, (2.0,) * len(KINDS))
     score = trees.probability(x[held_out])
     cuts = []
     for kind in range(len(KINDS)):
-        own = x[held_out, 0] == kind
+        own = (x[held_out, 0] == kind) & ~base[held_out]
         enough = y[held_out][own].sum() >= LEAST_SHOWN
-        cuts.append(max(0.5, calibrated_cut(score[own], y[held_out][own], PRECISION)) if enough else 2.0)
+        cuts.append(max(0.5, calibrated_cut(score[own], y[held_out][own], PRECISION)) if enough else FALLBACK)
     return Model(trees, tuple(cuts))
 
 
