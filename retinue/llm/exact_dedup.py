@@ -26,12 +26,13 @@ MAX_DEPTH = 20
 HASH_BITS = 62
 
 
-def signatures(docs: DataFrame, hash_bits: int = HASH_BITS) -> DataFrame:
-    """``<doc_id, n_points, code, digest>`` of every row; null text counts as empty."""
+def signatures(docs: DataFrame, hash_bits: int = HASH_BITS, row: str | None = None) -> DataFrame:
+    """``<doc_id, n_points, code, digest>`` of every row, after the column ``row`` if given; null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    names = ["doc_id"] if row is None else [row, "doc_id"]
     return (
-        docs.select(F.col("doc_id"), F.length(text).alias("n_points"), F.translate(text, WHITE, "").alias("norm"))
-        .select("doc_id", "n_points", _code(hash_bits), F.unhex(F.sha2("norm", 256)).alias("digest"))
+        docs.select(*names, F.length(text).alias("n_points"), F.translate(text, WHITE, "").alias("norm"))
+        .select(*names, "n_points", _code(hash_bits), F.unhex(F.sha2("norm", 256)).alias("digest"))
     )
 
 
@@ -77,7 +78,7 @@ def byte_chains(docs: DataFrame, shared: DataFrame, slots: DataFrame, bits: int,
     return listed.select("code", F.posexplode(checked).alias("chain", "digest"))
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = HASH_BITS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = HASH_BITS, row: str | None = None) -> DataFrame:
     """``<doc_id, keep_id, group_size, kept, text_sha256, bucket, chain>``, one row for every row of ``docs``.
 
     Texts are equal when they are identical without white space (``WHITE``).
@@ -88,10 +89,14 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int =
     * A null ``doc_id`` comes after all others in a tie; ``kept`` is then true
       only for a row whose group has no other id.
     * Rows that repeat a ``doc_id`` share its decision.
+    * With ``row``, a column of whole numbers that no two rows share, the result
+      has it in front, it settles what ``doc_id`` leaves open, and ``kept`` is
+      true for exactly one row of every group.
     * An empty table gives an empty result.
     """
-    signed = materialise(signatures(docs, hash_bits), "exact-signatures")
-    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("other")))
+    signed = materialise(signatures(docs, hash_bits, row), "exact-signatures")
+    settled = [] if row is None else [F.bitwise_not(row).alias("row")]
+    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("other"), *settled))
     groups = signed.groupBy("code", "digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     groups = materialise(groups, "exact-groups")
     keys = groups.groupBy("code").agg(F.sum("group_size").alias("rows"))
@@ -110,11 +115,13 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int =
         F.coalesce("chain", F.lit(0)).alias("chain"),
         "digest",
         F.bitwise_not("best.other").alias("keep_id"),
+        *([] if row is None else [F.bitwise_not("best.row").alias("keep_row")]),
         "group_size",
     )
     index = materialise(index.repartitionByRange(owners, "bucket", "code").sortWithinPartitions("code", "chain"), "exact-index")
     rows = signed.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("n_points", "code")
     sizes = groups.select("digest", F.col("group_size").alias("_n"))
-    found = spread_join(rows, index.drop("code"), "digest", ["doc_id"], total=signed.count(), sizes=sizes)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain")
+    found = spread_join(rows, index.drop("code"), "digest", [row or "doc_id"], total=signed.count(), sizes=sizes)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) if row is None else F.col(row) == F.col("keep_row")
+    first = [] if row is None else [row]
+    return found.select(*first, "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain")

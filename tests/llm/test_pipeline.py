@@ -56,6 +56,23 @@ def test_stages_against_brute_force(spark):
     assert pieces.filter("n <> length OR length + offset > 2048").isEmpty()
 
 
+def test_copies_are_decided_by_row(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near = [(None, f"{long} more"), (None, f"{long} more end"), (8, f"{long} end"), (8, "quite another text about one thing")]
+    values = [(5, "A"), (5, "B"), (3, "B"), (None, "C"), (None, "C"), (7, "D"), (7, "D"), (None, "E"), (2, "E"), (4, ""), (None, None)]
+    docs = spark.createDataFrame(values + near, "doc_id long, text string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["exact_dedup"](spark, docs, SF)
+    want = [(5, "A"), (3, "B"), (None, "C"), (7, "D"), (2, "E"), (4, "")]
+    assert single.columns == docs.columns and sorted(map(str, map(tuple, single.collect()))) == sorted(map(str, want + near))
+    apart = stages["near_dedup"](spark, single, SF)
+    assert apart.columns == docs.columns and sorted(map(str, map(tuple, apart.collect()))) == sorted(map(str, want + near[2:]))
+    # Texts in full, which no exact stage has thinned.
+    same = spark.createDataFrame([(None, long), (None, long), (6, long), (6, f"{long} x"), (1, "")], "doc_id long, text string")
+    left = [tuple(r) for r in stages["near_dedup"](spark, same, SF).collect()]
+    assert len(left) == 2 and (1, "") in left and {i for i, _ in left} == {1, 6}
+
+
 def test_run_is_the_stages_one_after_the_other(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[:3] == ["doc_id", "start", "length"] and rows.count() > 100
