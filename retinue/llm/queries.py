@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,6 +20,7 @@ from retinue.llm import (
     preferences,
     quality,
     url_lists,
+    vector_codes,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -250,3 +252,48 @@ GROUP BY l.doc_id
 def op9_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_spread.remove_shared_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def _codes_sql() -> str:
+    """The same four rounds written out, with all distances."""
+    tables = ["""
+v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT vec_id, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS w, list_inner_product(w, w) AS n
+  FROM v, (SELECT unnest(range(4)) AS p)),
+c0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, w AS c FROM s
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 256)"""]
+    for n in range(5):
+        tables.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(w) AS w, min(CAST(s.n - 2 * list_inner_product(w, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS best
+  FROM s JOIN c{n} USING (p) GROUP BY vec_id, p)""")
+        if n < 4:
+            tables.append(f"""
+u{n} AS (
+  SELECT p, e, list(m ORDER BY j) AS m
+  FROM (SELECT p, e, j, floor(sum(x) / count(*)) AS m
+        FROM (SELECT p, best % 256 AS e, unnest(w) AS x, unnest(range(len(w))) AS j FROM a{n}) GROUP BY p, e, j)
+  GROUP BY p, e),
+c{n + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m, c.c) AS c FROM c{n} c LEFT JOIN u{n} USING (p, e))""")
+    return "WITH" + ",".join(tables) + """,
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM a4 GROUP BY vec_id),
+book AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS x, unnest(range(len(c))) AS j FROM c4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), book
+"""
+
+
+@query("op13_norm_of_sum_codes", _codes_sql())
+def op13_norm_of_sum_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    text = vector_codes.digest_text(books) if books else ""
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
