@@ -19,6 +19,7 @@ from retinue.llm import (
     pii,
     preferences,
     quality,
+    resampling,
     url_lists,
     vector_codes,
 )
@@ -297,3 +298,49 @@ def op13_norm_of_sum_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = vector_codes.digest_text(books) if books else ""
     digest = hashlib.sha256(text.encode()).hexdigest()
     return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+RESAMPLE_SQL = r"""
+WITH bits AS (
+  SELECT v, list_reduce([v] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r
+  FROM (SELECT unnest(range(256)) AS v)),
+shifts AS MATERIALIZED (SELECT list(r ORDER BY v) AS t FROM bits),
+runs AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)),
+features AS MATERIALIZED (
+  SELECT kind, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM runs),
+coded AS MATERIALIZED (
+  SELECT f, xor(list_reduce([4294967295] || list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)),
+                            lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM features), shifts),
+hits AS MATERIALIZED (SELECT kind, id, bucket FROM features JOIN coded USING (f)),
+counts AS (
+  SELECT b AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t
+  FROM (SELECT unnest(range(10000)) AS b)
+  LEFT JOIN (SELECT bucket, count(*) FILTER (WHERE kind = 'd') AS s, count(*) FILTER (WHERE kind = 'b') AS t FROM hits GROUP BY bucket)
+    ON b = bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM counts),
+weights AS (
+  SELECT id, count(*) AS n_features, CAST(floor(CAST(sum(g) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM hits JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM runs LEFT JOIN weights USING (id) WHERE kind = 'd'),
+places AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (WHERE n_words >= 20) OVER () AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank
+FROM places
+"""
+
+
+@query("op11_target_resampling", RESAMPLE_SQL)
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.drop("n_words")
