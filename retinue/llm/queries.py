@@ -20,6 +20,7 @@ from retinue.llm import (
     preferences,
     quality,
     resampling,
+    toxicity,
     url_lists,
     vector_codes,
 )
@@ -344,3 +345,9 @@ FROM places
 def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.drop("n_words")
+
+
+@query("op12_subsequence_toxicity")
+def op12_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
