@@ -30,6 +30,8 @@ TRAINING_SENTENCES = 15_000
 TELLING, FREQUENT = 56, 8
 #: Two telling landmarks are less similar than this.
 ALIKE = 0.7
+#: A telling landmark's share of sentences differs by label by this many standard deviations at least.
+LEAST_TEST = 3.0
 #: Telling words are looked for among this many of the highest test value.
 CANDIDATES = 400
 #: Length of the shared subsequences, and the factor for each letter that they span.
@@ -172,9 +174,8 @@ def telling_words(ones: dict[str, int], zeros: dict[str, int], n_ones: int, n_ze
     b = np.array([zeros.get(w, 0) for w in words], float)
     share = (a + b + 1) / (n_ones + n_zeros + 2)
     test = (a / max(n_ones, 1) - b / max(n_zeros, 1)) / np.sqrt(share * (1 - share) * (1 / max(n_ones, 1) + 1 / max(n_zeros, 1)))
-    candidates = [words[n] for n in np.argsort(-test, kind="stable")[:CANDIDATES]]
-    own = self_kernel(candidates)
-    near = similarities(candidates, candidates, own)
+    candidates = [words[n] for n in np.argsort(-test, kind="stable")[:CANDIDATES] if test[n] >= LEAST_TEST]
+    near = similarities(candidates, candidates, self_kernel(candidates)) if candidates else np.empty((0, 0))
     chosen: list[int] = []
     for n in range(len(candidates)):
         if len(chosen) < TELLING and (not chosen or near[n, chosen].max() < ALIKE):
