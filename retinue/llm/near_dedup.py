@@ -29,10 +29,10 @@ SKETCH_BITS = 1024
 #: A pair whose sketches tell less similarity than this is not linked: six and a
 #: half standard deviations of the estimate below the threshold.
 RULED_OUT = 0.5
-#: A pair whose sketches tell less than this is under half similar, by as wide a margin.
-FAR = 0.3
 #: Sets linked when PERCENT_OF_UNION * union <= 100 * intersection.
 PERCENT_OF_UNION = 75
+#: Groups of fewer nodes are described against one of them, larger ones against what most of them hold.
+LARGE = 16
 #: Shingles handled at once, so that the sample matrix stays in the cache.
 BLOCK = 512
 
@@ -133,10 +133,10 @@ def _close(pairs: DataFrame, least: float):
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``<a, b, size_a, size_b, common, added>`` of pairs, from their full sets; ``added`` is what only ``a`` has."""
+    """``<a, b, common, sizes>`` of pairs, from their full sets."""
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).alias("common")
-    sizes = [F.size(f"shingles_{side}").alias(f"size_{side}") for side in ("a", "b")]
-    return _attach(pairs, sets, "shingles").select("a", "b", *sizes, common, F.array_except("shingles_a", "shingles_b").alias("added"))
+    sizes = (F.size("shingles_a") + F.size("shingles_b")).alias("sizes")
+    return _attach(pairs, sets, "shingles").select("a", "b", common, sizes)
 
 
 def _linked(common, sizes):
@@ -144,62 +144,101 @@ def _linked(common, sizes):
     return 100 * common >= PERCENT_OF_UNION * (sizes - common)
 
 
-def _least_common(sizes):
-    """Elements that linked sets of together ``sizes`` have in common at least."""
-    return F.ceil(PERCENT_OF_UNION * sizes / F.lit(100 + PERCENT_OF_UNION))
+def _described(members: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``<g, node, label, n, cost, differing>`` of the members ``<g, node, label, centre>`` of groups.
 
+    ``differing`` is the symmetric difference of the node's set with its group's
+    model, a set of ``n`` shingles: what most members hold, or the set of a
+    centre in small groups. Of two members, let d be what their differing sets
+    share. They have ``n`` less all that both lack, plus what both have beyond
+    the model, in common; put into the condition of a link this is
 
-def _across(stars: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs ``<a, b>`` of a star in different components that may still be linked.
-
-    ``stars`` is ``<centre, node, label, centre_label, size, common, near, added>``;
-    ``common`` is null for nodes far from the centre. What two nodes have in
-    common lies in the centre's set, where it is at most what the lesser of the
-    two shares with the centre, or among the shingles that each adds to it. So
-    two nodes are candidates only if the former is enough for a link, or if the
-    shingles that both add can make up for what is missing. A node far from the
-    centre is under half similar to it, so it is not linked with one that is
-    linked to the centre; with the others its sketch decides.
+        7 * d >= cost + cost' - n,   cost = 4 * lacking + 3 * additional.
+    """
+    held = materialise(spread_join(members, sets, "node", ["g"]), "near-held")
+    large = sizes.filter(F.col("_n") >= LARGE)
+    rows = spread_join(held.select("g", "node", "shingles"), large.select("g", F.col("_n").alias("of")), "g", ["node"], sizes=large)
+    counts = rows.select("g", "of", F.explode("shingles").alias("shingle")).groupBy("g", "shingle").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
+    most = counts.filter(2 * F.col("n") > F.col("of")).groupBy("g").agg(F.collect_list("shingle").alias("model"))
+    small = held.join(sizes.filter(F.col("_n") < LARGE).select("g"), "g", "left_semi")
+    own = small.filter("centre").groupBy("g").agg(F.min_by("shingles", "node").alias("model"))
+    models = materialise(most.union(own), "near-models")
+    known = spread_join(held, models, "g", ["node"], "left", sizes=sizes)
+    model = F.coalesce("model", F.array().cast("array<long>"))
+    lacking, more = F.array_except(model, "shingles"), F.array_except("shingles", model)
+    known = known.select("g", "node", "label", F.size(model).alias("n"), lacking.alias("lacking"), more.alias("more"))
+    cost = 4 * F.size("lacking") + 3 * F.size("more")
+    return known.select("g", "node", "label", "n", cost.alias("cost"), F.concat("lacking", "more").alias("differing"))
+
+
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``<a, b>`` that join all members of a group that are linked, directly or over others.
+
+    ``members`` is ``<g, node, label, centre>``: nodes of each group, the labels
+    they have already, and whether a node is a centre. Only groups with several
+    labels and three nodes or more are looked at. See :func:`_described` for the
+    condition of a link. It has two parts:
+
+    * Where no shared difference is needed, ``cost + cost' <= n``: both then are
+      linked with the member of least cost, so each is compared with that alone.
+    * Otherwise both share some differing shingles, as many as their costs tell
+      at least. The rarest of each member's shared differing shingles, all but
+      as many as it needs less one, have one in common with those of any partner.
+
+    Members with equal shared differences and costs have the same links and are
+    one fold: it is compared once, however many copies with the same edit it holds.
     """
-    other = F.col("label") != F.col("centre_label")
-    bounds = stars.groupBy("centre").agg(
-        F.min("label").alias("low"),
-        F.max("label").alias("high"),
-        F.min("size").alias("least"),
-        F.max(F.when(other, F.col("common"))).alias("most"),
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = materialise(sizes.filter("low <> high AND _n > 2").select("g", "_n"), "near-sizes")
+    mixed = materialise(spread_join(members, sizes.select("g"), "g", ["node"], sizes=sizes), "near-mixed")
+    known = materialise(_described(mixed, sizes, sets), "near-described")
+
+    hubs = known.groupBy("g").agg(F.min(F.struct("cost", "node", "label")).alias("hub"))
+    hubs = materialise(hubs.select("g", F.col("hub.cost").alias("least"), F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "near-hubs")
+    known = spread_join(known, hubs, "g", ["node"], sizes=sizes)
+    free = known.filter("cost + least <= n AND label <> hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    free = materialise(free, "near-free")
+
+    needed = F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("least") - F.col("n")) / 7)).alias("needed")
+    rows = known.select("g", "node", "label", "n", "cost", needed, F.explode("differing").alias("shingle"))
+    rows = rows.withColumn("k", F.xxhash64("g", "shingle")).drop("shingle")
+    shared = materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "near-shared")
+    rows = spread_join(rows, shared.select("k", F.col("_n").alias("held")), "k", ["node"], sizes=shared)
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("held", "k"))), lambda s: s["k"]).alias("keys")
+    firsts = [F.first(c).alias(c) for c in ("label", "n", "cost", "needed")]
+    folded = rows.groupBy("g", "node").agg(*firsts, keys)
+    folded = folded.filter(F.size("keys") >= F.col("needed"))
+    folded = materialise(folded.withColumn("fold", F.struct("g", "cost", F.xxhash64("keys"), F.xxhash64(F.lit(1), "keys"))), "near-folded")
+    folds = folded.groupBy("fold").agg(
+        *[F.first(c).alias(c) for c in ("g", "n", "cost", "needed", "keys")],
+        F.min("node").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("_n"),
     )
-    bounds = bounds.filter("low <> high").select("centre", "least", "most")
-    mixed = materialise(spread_join(stars, bounds, "centre", ["node"]).withColumn("other", other), "near-mixed")
-
-    def twice(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-        """Rows in another component than the centre, with the rows of other components at the same keys."""
-        left = rows.filter("other").select(*keys, *(F.col(c).alias(f"{c}_a") for c in columns))
-        right = rows.select(*keys, *(F.col(c).alias(f"{c}_b") for c in columns))
-        return left.join(right, keys).filter("label_a <> label_b")
-
-    drawn = spread_join(mixed.filter("NOT near").drop("added"), sketches, "node", ["centre"])
-    far = twice(drawn.withColumn("other", F.lit(True)), ["centre"], ["node", "label", "common", "sketch"])
-    far = far.filter((F.col("common_a").isNull() | F.col("common_b").isNull()) & _close(far, RULED_OUT))
-
-    # Without a shared added shingle: both share enough with the centre.
-    known = mixed.filter("common IS NOT NULL")
-    enough = known.filter(F.col("common") >= _least_common(F.col("size") + F.col("least")))
-    inside = twice(enough.drop("added"), ["centre"], ["node", "label", "size", "common"])
-    inside = inside.filter(_linked(F.least("common_a", "common_b"), F.col("size_a") + F.col("size_b")))
-
-    # With shared added shingles: enough of them are added by others too.
-    share = F.when(F.col("other"), F.col("common")).otherwise(F.least("common", "most"))
-    missing = F.greatest(F.lit(1), _least_common(F.col("size") + F.col("least")) - share).alias("missing")
-    added = known.filter("most IS NOT NULL").select("centre", "node", "label", "other", missing, F.explode("added").alias("shingle"))
-    repeated = added.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("n"), F.max("other").alias("wanted"))
-    added = added.join(repeated.filter("n > 1 AND wanted").select("centre", "shingle"), ["centre", "shingle"])
-    able = added.groupBy("centre", "node").agg(F.count(F.lit(1)).alias("n"), F.max("missing").alias("least"))
-    able = able.filter("n >= least").select("centre", "node")
-    added = materialise(added.join(able, ["centre", "node"]), "near-added")
-    outside = twice(added, ["centre", "shingle"], ["node", "label"])
-
-    pairs = [found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")) for found in (far, inside, outside)]
-    return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
+    folds = materialise(folds, "near-folds")
+
+    # Folds under the label of their group's centres are compared with folds of other labels only.
+    sides = folds.select("fold", "g", "low", "high", F.explode(F.slice("keys", 1, F.size("keys") - F.col("needed").cast("int") + 1)).alias("k"))
+    sides = materialise(sides, "near-prefixes")
+    lists = materialise(sides.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr("low <> g OR high <> g")).alias("fringe")), "near-lists")
+    lists = lists.filter("fringe AND _n > 1").select("k", "_n")
+    right = spread_join(sides, lists.select("k"), "k", ["fold"], sizes=lists)
+    left = right.filter("low <> g OR high <> g").select("k", *(F.col(c).alias(f"{c}_a") for c in ("fold", "low", "high")))
+    pairs = spread_join(right, left, "k", ["fold"], sizes=lists)
+    same = (F.col("low") == F.col("high")) & (F.col("low_a") == F.col("high_a")) & (F.col("low") == F.col("low_a"))
+    pairs = pairs.filter((F.col("fold") != F.col("fold_a")) & ~same)
+    pairs = pairs.select(F.least("fold", "fold_a").alias("a"), F.greatest("fold", "fold_a").alias("b")).distinct()
+    for side in ("a", "b"):
+        own = folds.select(F.col("fold").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "cost", "keys", "first")))
+        pairs = spread_join(materialise(pairs, "near-fold-pairs"), own, side, ["a", "b"])
+    alike = 7 * F.size(F.array_intersect("keys_a", "keys_b")) >= F.col("cost_a") + F.col("cost_b") - F.col("n_a")
+    pairs = materialise(pairs.filter(alike).select("a", "b", "first_a", "first_b"), "near-fold-links")
+
+    # A fold of several nodes is joined when its nodes are linked, or all are with those of another fold.
+    several = folds.filter("_n > 1 AND low <> high").select("fold", "first", "_n", (7 * F.size("keys") >= 2 * F.col("cost") - F.col("n")).alias("inner"))
+    met = pairs.select(F.col("a").alias("fold")).union(pairs.select("b")).distinct()
+    met = several.join(met, "fold", "left_semi").union(several.filter("inner")).distinct()
+    within = spread_join(folded.select("fold", F.col("node").alias("a")), met.select("fold", F.col("first").alias("b")), "fold", ["a"], sizes=met.select("fold", "_n"))
+    links = free.union(pairs.select("first_a", "first_b")).union(within.select("a", "b"))
+    return links.filter("a <> b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -211,14 +250,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with equal sets form a class, and classes are what is linked. In each
     band bucket all classes are first compared with one of them, the class that
-    shares most buckets; classes of such a star that are then still in different
-    components are compared if what they share with the centre, and add to it,
-    allows a link. So a large group costs about one comparison per member and no
-    link between components is left out.
+    shares most buckets. Classes that shared a bucket but are still in different
+    components are then compared by what they lack of, and add to, the shingles
+    that most of their group hold. That is exact, and takes few pairs even in
+    groups of thousands: see :func:`_across`.
 
     * Null text, empty text and text without words have an empty set and are linked with nothing.
     * A null ``doc_id`` is linked with nothing, has a null ``component_id`` and is kept.
-    * Rows that repeat a ``doc_id`` are one document, linked by any of its texts.
+    * Rows that repeat a ``doc_id`` are one document, linked by any of its texts; each row keeps its own ``n_shingles``.
     * An empty table gives an empty result.
     """
     signed = materialise(signatures(docs), "near-signatures")
@@ -253,26 +292,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = spread_join(members, centres, "key", ["node"], sizes=shared).filter("node <> b")
     pairs = materialise(pairs.select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
     sifted = _attach(pairs, sketches, "sketch")
-    sifted = materialise(sifted.select("a", "b", _close(sifted, FAR).alias("close")), "near-sifted")
-    measured = materialise(_measured(sifted.filter("close").select("a", "b"), sets), "near-measured")
-    measured = measured.withColumn("near", _linked(F.col("common"), F.col("size_a") + F.col("size_b")))
-    links = measured.filter("near").select("a", "b")
-
-    # What a star still holds in different components is compared across them.
+    sifted = materialise(sifted.filter(_close(sifted, RULED_OUT)).select("a", "b"), "near-sifted")
+    measured = materialise(_measured(sifted, sets), "near-measured")
+    links = measured.filter(_linked(F.col("common"), F.col("sizes"))).select("a", "b")
+    # Texts under one id are one document.
+    held = classed.filter("class_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("high"))
+    held = materialise(held.filter("b <> high"), "near-repeated")
+    repeated = classed.join(held, "doc_id").select(F.col("class_id").alias("a"), "b").filter("a <> b")
+    links = materialise(links.union(repeated), "near-links")
+
+    # Stars of one component make one group; what it still holds in different components is compared across them.
     labels = components(links)
-    names = ["b", "a", "size_a", "common", "near", "added"]
-    known = measured.select(*names)
-    none = F.array().cast("array<long>")
-    distant = sifted.filter("NOT close").select("b", "a", F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(False), none)
-    hubs = measured.select("b", F.col("b").alias("a"), F.col("size_b"), F.col("size_b").alias("common"), F.lit(True), none).distinct()
-    stars = known.union(distant).union(hubs).toDF("centre", "node", "size", "common", "near", "added")
-    for end, label in (("node", "label"), ("centre", "centre_label")):
+    stars = pairs.union(pairs.select("b", "b").distinct()).toDF("node", "centre")
+    for end, label in (("node", "label"), ("centre", "g")):
         stars = spread_join(stars, labels.select(F.col("node").alias(end), F.col("label").alias(label)), end, ["node", "centre"], "left")
         stars = stars.withColumn(label, F.coalesce(label, end))
-    stars = materialise(stars, "near-stars")
-    across = materialise(_across(stars, sketches), "near-pairs")
-    across = _measured(across, sets).filter(_linked(F.col("common"), F.col("size_a") + F.col("size_b"))).select("a", "b")
-    across = materialise(across, "near-links")
+    members = stars.groupBy("g", "node").agg(F.first("label").alias("label"), F.max(F.col("node") == F.col("centre")).alias("centre"))
+    across = materialise(_across(materialise(members, "near-groups"), sets), "near-links")
     if not across.isEmpty():
         labels = components(links.union(across))
 
