@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,16 @@ ALIKE = 0.7
 LEAST_TEST = 3.0
 #: Telling words are looked for among this many of the highest test value.
 CANDIDATES = 400
-#: Length of the shared subsequences, and the factor for each letter that they span.
-LENGTH, DECAY = 3, 0.8
+#: Letters of a shared subsequence, the letters it may span, and the factor for each letter spanned.
+LENGTH, SPAN, DECAY = 3, 8, 0.7
 #: Power of the normalised kernel of two words; letters shared by chance count for little.
-POWER = 3
+POWER = 4
 #: Words of one sentence; a longer one is cut.
 SENTENCE = 64
 #: Letters of one word; a longer one is as toxic as the worst of its overlapping windows.
 WINDOW = 32
-#: Pairs of words and landmarks measured at once.
-PAIRS = 1 << 16
+#: Subsequences of words looked up at once.
+CELLS = 1 << 17
 #: Words a worker remembers before it begins anew; results do not depend on it.
 REMEMBERED = 400_000
 #: Fits of the machine, each without the sentences of toxic documents that the one before found clean.
@@ -89,80 +90,86 @@ def sentence_starts(ends: np.ndarray) -> np.ndarray:
     return starts
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Code points of words of any lengths, filled up with zeros."""
-    table = np.zeros((len(words), max(map(len, words))), np.int32)
-    for n, word in enumerate(words):
-        table[n, : len(word)] = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.int32)
-    return table
-
-
-def subsequence_kernel(words: list[str], others: list[str]) -> np.ndarray:
-    """Gap-weighted kernel of all ``words`` and ``others``: shared subsequences of LENGTH letters by the letters they span."""
-    left, right = _codes(words), _codes(others)
-    right[right == 0] = -1
-    width = right.shape[1]
-    steps = np.arange(width)
-    # What ends at one letter of the other word fades towards the later ones.
-    fade = np.where(steps[:, None] <= steps, DECAY ** np.abs(steps - steps[:, None]), 0).astype(np.float32)
-    total = np.zeros((len(words), len(others)), np.float32)
-    reached = [np.zeros((len(words), len(others), width), np.float32) for _ in range(LENGTH - 1)]
-    square = np.float32(DECAY * DECAY)
-    for i in range(left.shape[1]):
-        same = (left[:, i, None, None] == right) * square
-        found = same
-        for level in range(LENGTH):
-            if level:
-                found = np.zeros_like(same)
-                np.multiply(same[:, :, 1:], before[:, :, :-1], out=found[:, :, 1:])
-            if level == LENGTH - 1:
-                total += found.sum(axis=2)
-                break
-            before = reached[level]
-            reached[level] = before * np.float32(DECAY) + found @ fade
-    return total
-
-
-def self_kernel(words: list[str]) -> np.ndarray:
-    """Kernel of every word with itself."""
-    left = _codes(words)
-    n, width = left.shape
-    right = np.where(left == 0, -1, left)
-    steps = np.arange(width)
-    fade = np.where(steps[:, None] <= steps, DECAY ** np.abs(steps - steps[:, None]), 0).astype(np.float32)
-    reached = [np.zeros((n, width), np.float32) for _ in range(LENGTH - 1)]
-    total = np.zeros(n, np.float32)
-    square = np.float32(DECAY * DECAY)
-    for i in range(width):
-        same = (left[:, i, None] == right) * square
-        found = same
-        for level in range(LENGTH):
-            if level:
-                found = np.zeros_like(same)
-                found[:, 1:] = same[:, 1:] * before[:, :-1]
-            if level == LENGTH - 1:
-                total += found.sum(axis=1)
-                break
-            before = reached[level]
-            reached[level] = before * np.float32(DECAY) + found @ fade
-    return total
-
-
-def similarities(words: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
-    """Powers of the normalised kernel of words and landmarks; ``own`` is the landmarks' kernel with themselves.
-
-    A word too short for any subsequence is near nothing.
+@cache
+def _triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all subsequences of three letters of a word that span at most SPAN, and their weights."""
+    found = [(i, j, k) for i in range(length) for j in range(i + 1, length) for k in range(j + 1, min(i + SPAN, length))]
+    i, j, k = np.array(found, np.int64).reshape(len(found), 3).T
+    return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
+
+
+@cache
+def _norm(length: int) -> float:
+    """Root of the kernel of a word with itself if none of its subsequences repeats; infinite if it has none."""
+    weight = _triples(length)[3]
+    return float(np.sqrt((weight * weight).sum())) if len(weight) else np.inf
+
+
+@dataclass(frozen=True)
+class Basis:
+    """Landmarks, and the weight of each of their subsequences in each of them.
+
+    A subsequence is numbered by the places of its letters in ``letters``;
+    ``rows`` gives its row in ``weights``, the first of which is empty.
     """
-    found = np.zeros((len(words), len(landmarks)), np.float32)
-    order = np.argsort([len(word) for word in words], kind="stable")
-    step = max(1, PAIRS // max(len(landmarks), 1))
-    for at in range(0, len(order), step):
-        part = order[at : at + step]
-        these = [words[n] for n in part]
-        shared = subsequence_kernel(these, landmarks)
-        norm = np.sqrt(self_kernel(these)[:, None] * own)
-        found[part] = np.divide(shared, norm, out=np.zeros_like(shared), where=norm > 0) ** POWER
-    return found
+
+    landmarks: list[str]
+    letters: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(landmarks: list[str]) -> Basis:
+        letters = np.unique(np.array([ord(c) for word in landmarks for c in word], np.int32))
+        numbers, columns, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        base = len(letters) + 1
+        for n, word in enumerate(landmarks):
+            place = np.searchsorted(letters, np.array([ord(c) for c in word], np.int32)) + 1
+            i, j, k, weight = _triples(len(word))
+            numbers.append((place[i] * base + place[j]) * base + place[k])
+            columns.append(np.full(len(i), n))
+            values.append(weight / _norm(len(word)))
+        used, row = np.unique(np.concatenate(numbers), return_inverse=True)
+        weights = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+        np.add.at(weights, (row + 1, np.concatenate(columns)), np.concatenate(values))
+        rows = np.zeros(base**3, np.int32)
+        rows[used] = np.arange(1, len(used) + 1)
+        return Basis(landmarks, letters, rows, weights)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Normalised gap-weighted kernel of ``words`` and all landmarks.
+
+        The kernel sums over shared subsequences of three letters, each weighted
+        by DECAY to the power of the letters spanned in both words, and is
+        divided by the norms of words of these lengths.
+        """
+        found = np.zeros((len(words), len(self.landmarks)), np.float32)
+        lengths = np.array([len(word) for word in words], np.int64)
+        base = len(self.letters) + 1
+        for length in np.unique(lengths):
+            i, j, k, weight = _triples(int(length))
+            if not len(i) or not len(self.letters):
+                continue
+            same = np.flatnonzero(lengths == length)
+            step = max(1, CELLS // len(i))
+            for at in range(0, len(same), step):
+                part = same[at : at + step]
+                text = "".join([words[n] for n in part])
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(part), length)
+                place = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+                place = np.where(self.letters[place] == codes, place + 1, 0)
+                row = self.rows[(place[:, i] * base + place[:, j]) * base + place[:, k]]
+                word, triple = np.nonzero(row)
+                if not len(word):
+                    continue
+                shared = self.weights[row[word, triple]] * (weight / _norm(int(length)))[triple, None]
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                found[part[word[first]]] = np.add.reduceat(shared, first)
+        return found
+
+    def similarities(self, words: list[str]) -> np.ndarray:
+        """Powers of the normalised kernel; a word too short for any subsequence is near nothing."""
+        return self.kernel(words) ** POWER
 
 
 def telling_words(ones: dict[str, int], zeros: dict[str, int], n_ones: int, n_zeros: int) -> list[str]:
@@ -175,7 +182,7 @@ def telling_words(ones: dict[str, int], zeros: dict[str, int], n_ones: int, n_ze
     share = (a + b + 1) / (n_ones + n_zeros + 2)
     test = (a / max(n_ones, 1) - b / max(n_zeros, 1)) / np.sqrt(share * (1 - share) * (1 / max(n_ones, 1) + 1 / max(n_zeros, 1)))
     candidates = [words[n] for n in np.argsort(-test, kind="stable")[:CANDIDATES] if test[n] >= LEAST_TEST]
-    near = similarities(candidates, candidates, self_kernel(candidates)) if candidates else np.empty((0, 0))
+    near = Basis.of(candidates).similarities(candidates)
     chosen: list[int] = []
     for n in range(len(candidates)):
         if len(chosen) < TELLING and (not chosen or near[n, chosen].max() < ALIKE):
@@ -224,15 +231,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 class Machine:
     """Landmarks with their coefficients: the value of a sentence is ``offset`` plus those of its words."""
 
-    landmarks: list[str]
-    own: np.ndarray
+    basis: Basis
     coefficients: np.ndarray
     offset: float
 
     def values(self, words: list[str]) -> np.ndarray:
-        if not self.landmarks or not words:
-            return np.zeros(len(words))
-        return similarities(words, self.landmarks, self.own) @ self.coefficients
+        return self.basis.similarities(words) @ self.coefficients
 
 
 #: What the calibration sees of a document: the share of its sentences with a word that makes them toxic by
@@ -338,15 +342,15 @@ def fit(ones: list[list[str]], zeros: list[list[str]]) -> Machine:
                 own[word] = own.get(word, 0) + 1
     landmarks = telling_words(*counts, len(ones), len(zeros)) if ones and zeros else []
     if not landmarks:
-        return Machine([], np.empty(0, np.float32), np.empty(0), 0.0)
-    own = self_kernel(landmarks)
+        return Machine(Basis.of([]), np.empty(0), 0.0)
+    basis = Basis.of(landmarks)
     # Nystroem: the square root of the landmarks' inverse kernel makes dot products of the vectors approximate the kernel.
-    size, turn = np.linalg.eigh(similarities(landmarks, landmarks, own).astype(np.float64))
+    size, turn = np.linalg.eigh(basis.similarities(landmarks).astype(np.float64))
     keep = size > 1e-5 * size.max()
     whiten = turn[:, keep] / np.sqrt(size[keep])
     distinct = sorted(counts[0].keys() | counts[1].keys())
     number = {word: n for n, word in enumerate(distinct)}
-    vectors = similarities(distinct, landmarks, own)
+    vectors = basis.similarities(distinct)
     x = np.stack([vectors[[number[word] for word in words]].sum(axis=0, dtype=np.float64) for words in (*ones, *zeros)]) @ whiten
     y = np.r_[np.ones(len(ones)), -np.ones(len(zeros))]
     # Labels are those of documents. Sentences of toxic ones that look clean are left out of the next fit.
@@ -359,7 +363,7 @@ def fit(ones: list[list[str]], zeros: list[list[str]]) -> Machine:
         if not toxic.any():
             break
         used = (y < 0) | toxic
-    return Machine(landmarks, own, whiten @ direction, offset)
+    return Machine(basis, whiten @ direction, offset)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_DOCS, sentences: int = TRAINING_SENTENCES) -> Model:

@@ -13,20 +13,23 @@ INSULTS = ["blockhead", "dimwit", "numpty", "pillock"]
 
 def plain_kernel(s, t):
     """Sum over all pairs of equal subsequences of three letters, by the letters they span."""
-    total = 0.0
-    for a in itertools.combinations(range(len(s)), toxicity.LENGTH):
-        for b in itertools.combinations(range(len(t)), toxicity.LENGTH):
-            if all(s[i] == t[j] for i, j in zip(a, b)):
-                total += toxicity.DECAY ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
-    return total
+
+    def subsequences(word):
+        found = [(at, word[at[0]] + word[at[1]] + word[at[2]], at[-1] - at[0] + 1) for at in itertools.combinations(range(len(word)), 3)]
+        return [(letters, toxicity.DECAY**span) for _, letters, span in found if span <= toxicity.SPAN]
+
+    left, right = subsequences(s), subsequences(t)
+    norms = [sum(w * w for _, w in side) ** 0.5 for side in (left, right)]
+    return sum(v * w for a, v in left for b, w in right if a == b) / (norms[0] * norms[1]) if left and right else 0.0
 
 
 def test_kernel_equals_all_pairs_of_subsequences():
-    words = ["^abc", "^abac", "^xaxbxc", "^ab", "^éèéé", "^aaaa", "^cba"]
-    found = toxicity.subsequence_kernel(words, words)
-    want = np.array([[plain_kernel(s, t) for t in words] for s in words])
+    words = ["^abc", "^abac", "^xaxbxc", "^a", "^éèéé", "^aaaa", "^cba", "^a-very-long-word-cbabc", "日本語日本"]
+    landmarks = [w for w in words if len(w) > 3 and w != "^cba"]
+    found = toxicity.Basis.of(landmarks).kernel(words)
+    want = np.array([[plain_kernel(s, t) for t in landmarks] for s in words])
     assert np.allclose(found, want, rtol=1e-5)
-    assert np.allclose(toxicity.self_kernel(words), np.diag(want), rtol=1e-5)
+    assert toxicity.Basis.of([]).kernel(words).shape == (len(words), 0)
 
 
 def test_tokens_and_sentences():
@@ -86,7 +89,7 @@ def test_held_out_labels_are_not_learned(spark):
     rows = corpus(400)
     docs, labels = frames(spark, rows)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert toxicity.train(docs, labels).machine.landmarks == toxicity.train(docs, flipped).machine.landmarks
+    assert toxicity.train(docs, labels).machine.basis.landmarks == toxicity.train(docs, flipped).machine.basis.landmarks
     a, b = (sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs, toxicity.train(docs, use)).collect()) for use in (labels, flipped))
     assert a == b
 
