@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retinue.operators.spread import spread_join
 from retinue.session import bucket_count, bucketed, materialise, shared_root
 
 #: Neighbours in one adjacency row, about.
@@ -63,14 +64,24 @@ def join_vertices(vertices: DataFrame, attrs: DataFrame, defaults: dict[str, Col
 
 
 def triplets(graph: Graph) -> DataFrame:
-    """``<src, dst, edge columns, src_*, dst_*>``: every edge with both ends' attributes."""
+    """``<src, dst, edge columns, src_*, dst_*>``: every edge with both ends' attributes.
 
-    def side(end: str) -> DataFrame:
-        return graph.vertices.select(
+    Edges of a hub are spread over several tasks by their other end; the hub's
+    attributes are repeated once for each. Vertex ids are unique.
+    """
+    found, total = graph.edges, graph.edges.count()
+    for end, other in (("src", "dst"), ("dst", "src")):
+        own = graph.vertices.select(
             F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in graph.vertices.columns if c != "id"]
         )
+        found = spread_join(found, own, end, [other], total=total, sizes=edge_counts(graph.edges, end))
+    attributes = [f"{end}_{c}" for end in ("src", "dst") for c in graph.vertices.columns if c != "id"]
+    return found.select("src", "dst", *[c for c in graph.edges.columns if c not in ("src", "dst")], *attributes)
+
 
-    return graph.edges.join(side("src"), "src").join(side("dst"), "dst")
+def edge_counts(edges: DataFrame, end: str) -> DataFrame:
+    """``<end, _n>``: the edges at every vertex on one side."""
+    return edges.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def facts(graph: Graph, name: str = "name", attr: str = "attr") -> DataFrame:
@@ -80,11 +91,12 @@ def facts(graph: Graph, name: str = "name", attr: str = "attr") -> DataFrame:
 
 
 def subgraph(graph: Graph, predicate: Column) -> Graph:
-    """Vertices that pass and the edges with both ends among them."""
+    """Vertices that pass and the edges with both ends among them. Hubs are spread as in :func:`triplets`."""
     kept = graph.vertices.where(predicate)
-    ids = kept.select("id")
-    edges = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    edges = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    edges, total = graph.edges, graph.edges.count()
+    for end, other in (("src", "dst"), ("dst", "src")):
+        ids = kept.select(F.col("id").alias(end))
+        edges = spread_join(edges, ids, end, [other], "left_semi", total=total, sizes=edge_counts(graph.edges, end))
     return Graph(kept, edges.select(graph.edges.columns))
 
 

@@ -115,6 +115,39 @@ def cell_table_compacted(spark, sf_dir):
     return store.scan().withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@query("cell_table_lookup", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id = 42")
+def cell_table_lookup(spark, sf_dir):
+    """One row of a stored table by its key: one bucket of each group, skipped by bloom filters where it cannot be."""
+    groups = {"content": "text string, lang string", "label": "quality int"}
+    store = CellTable(spark, shared_dir(spark, "cells"), groups, "doc_id")
+    key = F.col("doc_id").cast("string").alias("doc_id")
+    store.put(table(spark, sf_dir, "documents").select(key, "text", "lang"))
+    store.put(table(spark, sf_dir, "labels").select(key, "quality"))
+    return store.get("42")
+
+
+@query(
+    "cell_table_reopened",
+    """SELECT CAST(l.doc_id AS VARCHAR) AS doc_id, d.lang, CASE WHEN l.toxic = 1 THEN 'flagged' ELSE d.source END AS source,
+              l.quality FROM labels l JOIN documents d USING (doc_id)""",
+)
+def cell_table_reopened(spark, sf_dir):
+    """A table opened by its folder: a write that was made again, a compaction, and a state kept across a later write."""
+    root = shared_dir(spark, "cells")
+    store = CellTable(spark, root, {"origin": "lang string, source string", "label": "quality int"}, "doc_id")
+    key = F.col("doc_id").cast("string").alias("doc_id")
+    labels = table(spark, sf_dir, "labels")
+    known = table(spark, sf_dir, "documents").join(labels, "doc_id", "left_semi")
+    for _ in range(2):
+        store.put(known.select(key, "lang", "source"), put_id=1)
+    again = CellTable.open(spark, root)
+    again.put(labels.select(key, "quality", F.when(F.col("toxic") == 1, F.lit("flagged")).alias("source")), put_id=2)
+    again.compact()
+    kept = again.scan()
+    again.put(labels.select(key, F.lit(9).alias("quality")), put_id=3)
+    return kept
+
+
 TOKEN_SQL = r"'[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]'"
 
 

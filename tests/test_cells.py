@@ -54,7 +54,7 @@ def test_cell_table_put_scan_compact(spark, folder):
     assert content() == want
     store.compact()
     assert content() == want
-    assert store._puts("content") == [] and len(store._bases("content")) == 1
+    assert [p.base for p in store.manifest().parts if p.group == "content"] == [True]
     assert [r.image_name for r in store.scan(["content"]).collect()] == []
     store.put(cells(spark, ("c", None, [9])))
     assert content() == {**want, "c": (None, [9])}
@@ -69,13 +69,15 @@ def test_consecutive_puts_around_a_compaction_lose_nothing(spark, folder):
         if n in (2, 3, 6):
             store.compact()
         assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == want
-    # A replayed write, one of an older clock, and an unfinished base change nothing that is newer.
+    # A replayed write, one of an older clock, and a part of a failed write change nothing that is newer.
     store.put(cells(spark, ("k6", "/6", None), ("all", "/6", None)), put_id=6)
     store.put(cells(spark, ("late", "/l", None), ("all", "/old", None)), put_id=-5)
-    cells(spark, ("ghost", "/g", None)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/t/content.base/99-99")
+    cells(spark, ("ghost", "/g", None)).write.parquet(f"{folder}/t/data/content/base-99-x")
     want["late"] = "/l"
     assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == want
-    assert len(store._bases("content")) <= 2
+    assert sum(p.base for p in store.manifest().parts if p.group == "content") == 1
+    assert store.remove_unused() == 0 and store.remove_unused(0) == 1
+    assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == want
 
 
 def test_a_put_computes_its_input_once(spark, folder):
@@ -141,3 +143,155 @@ def test_table_life(spark, folder):
     assert T.table_exists(spark, name) and spark.table(name).count() == 0
     T.drop_table(spark, name)
     assert not T.table_exists(spark, name)
+
+
+def rows_read(df):
+    """The rows of a frame, and how many rows its file scans gave out."""
+    rows = df.collect()
+
+    def read(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return read(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return read(node.plan())
+        if name == "FileSourceScanExec":
+            return node.metrics().apply("numOutputRows").value()
+        return sum(read(node.children().apply(n)) for n in range(node.children().size()))
+
+    return rows, read(df._jdf.queryExecution().executedPlan())
+
+
+def big(spark, n, seed=0):
+    name = F.concat(F.lit("k"), F.col("id")).alias("image_name")
+    content = F.encode(F.repeat(F.lit("x"), 50), "UTF-8").alias("content")
+    return spark.range(n).select(name, F.lit("/p").alias("path"), content, F.array(F.col("id").cast("int") + seed).alias("histogram"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_reads_a_small_share_of_the_rows(spark, folder):
+    store = CellTable(spark, folder + "/t", GROUPS, buckets=16)
+    store.put(big(spark, 8000))
+    stored = 2 * 8000  # both groups
+    rows, read = rows_read(store.get("k77", ["histogram"]))
+    assert [(r.image_name, r.histogram) for r in rows] == [("k77", [77])] and 0 < read <= 2 * 8000 / 16
+    rows, read = rows_read(store.get("k123", ["path", "histogram"]))
+    assert rows[0].path == "/p" and rows[0].histogram == [123] and read <= 2 * stored / 16
+    # A key within the range of the stored ones that is not there: its bloom filter says so.
+    rows, read = rows_read(store.get("k5555x", ["histogram"]))
+    assert rows == [] and read == 0
+    store.put(big(spark, 200, seed=5))
+    assert [r.histogram for r in store.get("k77", ["histogram"]).collect()] == [[82]]
+    assert store.get("k7").collect()[0].path == "/p" and CellTable(spark, folder + "/none", GROUPS).get("k7").collect() == []
+
+
+@pytest.mark.parametrize("puts", [1, 3])
+def test_scans_of_several_groups_move_no_cells(spark, folder, puts):
+    groups = {**GROUPS, "label": "label string"}
+    store = CellTable(spark, folder + "/t", groups, buckets=8)
+    for n in range(puts):
+        store.put(big(spark, 500 + n, seed=n).withColumn("label", F.lit("x")))
+    two, three = store.scan(["content", "histogram"]), store.scan()
+    assert two.count() == three.count() == 500 + puts - 1
+    assert "Exchange" not in plan_of(store.scan(["content", "histogram"]))
+    moved = [line for line in plan_of(store.scan()).splitlines() if "Exchange" in line]
+    assert all("content" not in line and "histogram" not in line for line in moved)
+    store.compact()
+    assert "Exchange" not in plan_of(store.scan(["content", "histogram"])) and store.scan().count() == 500 + puts - 1
+
+
+def test_a_write_counts_in_all_groups_or_none(spark, folder, monkeypatch):
+    store = CellTable(spark, folder + "/t", GROUPS)
+    store.put(cells(spark, ("a", "/a", [1])), put_id=1)
+    write = CellTable._write
+
+    def fail(self, rows, group, *args, **kwargs):
+        if group == "histogram":
+            raise OSError("disk lost")
+        return write(self, rows, group, *args, **kwargs)
+
+    monkeypatch.setattr(CellTable, "_write", fail)
+    with pytest.raises(OSError):
+        store.put(cells(spark, ("a", "/new", [2]), ("b", "/b", [3])), put_id=2)
+    monkeypatch.undo()
+    assert [(r.image_name, r.path, r.histogram) for r in store.scan(["path", "histogram"]).collect()] == [("a", "/a", [1])]
+    # The write is done again after the failure, and once more by a replay.
+    for _ in range(2):
+        store.put(cells(spark, ("a", "/new", [2]), ("b", "/b", [3])), put_id=2)
+    assert sorted((r.image_name, r.path, r.histogram) for r in store.scan(["path", "histogram"]).collect()) == [("a", "/new", [2]), ("b", "/b", [3])]
+
+
+def test_readers_keep_their_state(spark, folder):
+    store = CellTable(spark, folder + "/t", GROUPS)
+    store.put(cells(spark, ("a", "/a", None)), put_id=1)
+    store.put(cells(spark, ("b", "/b", None)), put_id=2)
+    before, state = store.scan(["path"]), store.manifest()
+    store.put(cells(spark, ("a", "/later", None)), put_id=3)
+    store.compact()
+    assert {r.image_name: r.path for r in before.collect()} == {"a": "/a", "b": "/b"}
+    assert {r.image_name: r.path for r in store.scan(["path"], state).collect()} == {"a": "/a", "b": "/b"}
+    assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == {"a": "/later", "b": "/b"}
+
+
+def test_second_writer_rebases_or_fails(spark, folder, monkeypatch):
+    store, other = (CellTable(spark, folder + "/t", GROUPS) for _ in range(2))
+    store.put(cells(spark, ("a", "/a", None)), put_id=1)
+    store.put(cells(spark, ("b", "/b", None)), put_id=2)
+    write = CellTable._write
+
+    def during(action):
+        """Let another writer act while this one writes its base."""
+
+        def run(self, rows, group, put, base, moved=False):
+            part = write(self, rows, group, put, base, moved)
+            if base:
+                monkeypatch.setattr(CellTable, "_write", write)
+                action()
+            return part
+
+        monkeypatch.setattr(CellTable, "_write", run)
+
+    during(lambda: other.put(cells(spark, ("c", "/c", None)), put_id=3))
+    store.compact()
+    assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == {"a": "/a", "b": "/b", "c": "/c"}
+    assert sorted((p.put, p.base) for p in store.manifest().parts if p.group == "content") == [(2, True), (3, False)]
+
+    during(lambda: other.put(cells(spark, ("c", "/c2", None)), put_id=3))
+    with pytest.raises(cell_sink.ConcurrentChange):
+        store.compact()
+    assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == {"a": "/a", "b": "/b", "c": "/c2"}
+
+    # Two writers that meet at one number: both writes stay.
+    create, seen = cell_sink._create_text, []
+
+    def meet(session, path, text):
+        if "_commits" in path and not seen:
+            seen.append(path)
+            monkeypatch.setattr(cell_sink, "_create_text", create)
+            other.put(cells(spark, ("d", "/d", None)), put_id=4)
+        return create(session, path, text)
+
+    monkeypatch.setattr(cell_sink, "_create_text", meet)
+    store.put(cells(spark, ("e", "/e", None)), put_id=5)
+    assert {"d", "e"} <= {r.image_name for r in store.scan(["path"]).collect()}
+
+
+def test_descriptor(spark, folder):
+    root = folder + "/t"
+    assert not CellTable.exists(spark, root)
+    CellTable.drop(spark, root)
+    store = CellTable(spark, root, {"a": "x int, y map<string,array<double>>", "b": "z struct<p:int,q:string>"}, key="id", buckets=4)
+    store.put(spark.createDataFrame([("k", 1)], "id string, x int"))
+    again = CellTable.open(spark, root)
+    assert again.schemas == store.schemas and (again.key, again.buckets) == ("id", 4)
+    assert [(r.id, r.x) for r in again.scan(["x"]).collect()] == [("k", 1)]
+    for groups, key in (({"a": "x int"}, "id"), ({"a": "x int, y map<string,array<double>>", "b": "z struct<p:int,q:string>"}, "k")):
+        with pytest.raises(ValueError):
+            CellTable(spark, root, groups, key)
+    CellTable.drop(spark, root)
+    assert not CellTable.exists(spark, root)
+    with pytest.raises(FileNotFoundError):
+        CellTable.open(spark, root)

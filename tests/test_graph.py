@@ -108,3 +108,25 @@ def test_read_vectors(spark, folder):
         out.write("Channel,Region\n2, 3,,12669\n1,0.5,\n")
     rows = read_vectors(spark, folder + "/v.csv", "Channel").collect()
     assert [list(r.vector) for r in rows] == [[2.0, 3.0, 12669.0], [1.0, 0.5]]
+
+
+def test_hub_edges_are_spread(spark):
+    """A vertex with nine tenths of the edges: no task has more than its share of the triplets."""
+    n, parts = 20_000, 8
+    edges = spark.range(n).select(F.when(F.col("id") % 10 > 0, F.lit(0)).otherwise(F.col("id")).alias("src"), (F.col("id") + 1).alias("dst"), F.col("id").alias("w"))
+    vertices = spark.range(n + 1).select("id", F.concat(F.lit("v"), F.col("id")).alias("name"))
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        graph = G.Graph(vertices, edges)
+        found = G.triplets(graph)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2 * n / parts
+        assert found.filter("src_name <> concat('v', src) OR dst_name <> concat('v', dst)").isEmpty()
+        part = G.subgraph(graph, F.col("id") % 2 == 0).edges
+        assert sorted(map(tuple, part.collect())) == sorted(tuple(r) for r in edges.filter("src % 2 = 0 AND dst % 2 = 0").collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
