@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from retinue.functions.logs import log_fields
@@ -74,15 +74,37 @@ def parse_clicks(messages: DataFrame, col: str = "value", schema: str = CLICK_SC
     return messages.select(F.from_json(F.col(col).cast("string"), schema).alias("e")).select("e.*")
 
 
-def click_counts(clicks: DataFrame, uid: str = "uid", count: str = "click_count") -> DataFrame:
-    """``<uid, clicks>``: sum of the click counts of every user."""
-    rows = clicks.where(F.col(uid).isNotNull())
-    return rows.groupBy(F.col(uid).alias("uid")).agg(F.sum(count).alias("clicks"))
+def click_counts(clicks: DataFrame, uid: str = "uid", count: str = "click_count", rejects: Observation | None = None) -> DataFrame:
+    """``<uid, clicks>``: sum of the click counts of every user.
+
+    A message without a user, malformed ones included, is rejected. ``rejects``
+    counts ``received`` and ``rejected`` messages in the same pass; it has them
+    when the result was computed once.
+    """
+    bad = F.col(uid).isNull()
+    return _observed(clicks, bad, rejects).where(~bad).groupBy(F.col(uid).alias("uid")).agg(F.sum(count).alias("clicks"))
+
+
+def _observed(rows: DataFrame, bad: Column, rejects: Observation | None) -> DataFrame:
+    if rejects is None:
+        return rows
+    return rows.observe(rejects, F.count(F.lit(1)).alias("received"), F.count_if(bad).alias("rejected"))
 
 
-def activity_events(lines: DataFrame, col: str = "value", pos: str = "pos") -> DataFrame:
+def reject_row(spark: SparkSession, rejects: Observation) -> DataFrame:
+    """``<received, rejected>``, one row, of an observation whose frame was computed."""
+    found = rejects.get
+    return spark.createDataFrame([(found["received"], found["rejected"])], "received long, rejected long")
+
+
+def activity_events(
+    lines: DataFrame, col: str = "value", pos: str = "pos", rejects: Observation | None = None
+) -> DataFrame:
     """``<user, kind, item, pos>`` of tagged lines. A line can carry several tags.
 
+    A tag on a line without a user, and a search term that cannot be decoded,
+    are rejected; ``rejects`` counts ``received`` and ``rejected`` tags in the same pass.
+
     The user runs from its tag to the next comma; the item runs from the kind's
     tag to the end of the line; search terms are URL-decoded and trimmed.
     """
@@ -96,7 +118,8 @@ def activity_events(lines: DataFrame, col: str = "value", pos: str = "pos") -> D
         items.append(F.when(text.contains(tag), F.struct(F.lit(kind).alias("kind"), item.alias("item"))))
     found = F.filter(F.array(*items), lambda e: e.isNotNull())
     rows = lines.select(F.col(pos).alias("pos"), user.alias("user"), F.explode(found).alias("e"))
-    return rows.where((F.col("user") != "") & F.col("e.item").isNotNull()).select("user", "e.kind", "e.item", "pos")
+    good = F.coalesce(F.col("user") != "", F.lit(False)) & F.col("e.item").isNotNull()
+    return _observed(rows, ~good, rejects).where(good).select("user", "e.kind", "e.item", "pos")
 
 
 def first_seen(events: DataFrame) -> DataFrame:
@@ -104,14 +127,17 @@ def first_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("user", "kind", "item").agg(F.min("pos").alias("pos"))
 
 
-def user_activity(lines: DataFrame, col: str = "value", pos: str = "pos", part_rows: int = 1_000_000) -> DataFrame:
+def user_activity(
+    lines: DataFrame, col: str = "value", pos: str = "pos", part_rows: int = 1_000_000, rejects: Observation | None = None
+) -> DataFrame:
     """``<user, part, activity>``: JSON of the distinct items per kind, comma-joined in first-seen order.
 
     Part ``n`` of a user holds what was first seen in the ``n``-th stretch of
     ``part_rows`` positions, for every user alike; the parts in order give the
     whole list, and no task gathers more of a user than one stretch of lines.
+    ``rejects`` is that of :func:`activity_events`.
     """
-    items = first_seen(activity_events(lines, col, pos))
+    items = first_seen(activity_events(lines, col, pos, rejects))
     parted = items.withColumn("part", F.floor(F.col("pos") / F.lit(part_rows)).cast("long"))
 
     def joined(kind: str) -> Column:

@@ -40,6 +40,8 @@ QUERY_FACTOR = 2
 #: The pivots grow with the square root of the gallery, up to this many bytes of
 #: vectors, which the driver and every task keep.
 PIVOT_BYTES = 64 * 1024 * 1024
+#: Additions to a prepared gallery before it is written as one table again.
+MOST_ADDITIONS = 32
 #: Rows per Arrow batch that the router emits.
 EMIT_ROWS = 8192
 #: Relative slack of the float bounds, far above their rounding error.
@@ -128,6 +130,7 @@ class Gallery:
 
     def __init__(self, images: DataFrame, k: int | None = 10, key: str = "image_name", vector: str = "histogram"):
         self.k = k
+        self.key, self.vector, self.additions = key, vector, 0
         rows = images.where(F.col(vector).isNotNull()).select(F.col(key).alias("match"), F.col(vector).alias("vector"))
         if k is None:
             heads = rows.groupBy("vector").agg(F.min("match").alias("match"), F.count("*").alias("copies"))
@@ -156,11 +159,58 @@ class Gallery:
         added = [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]
         cell_of = _cell_of(spark.sparkContext.broadcast(pivots))
         celled = materialise(rows.mapInArrow(cell_of, T.StructType(rows.schema.fields + added)), "cells")
-        # At most one row per pivot reaches the driver.
-        sizes = celled.groupBy("cell").agg(
-            F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
-        )
-        return celled, sizes.toArrow().to_pydict(), pivots
+        return celled, _cell_sizes(celled), pivots
+
+
+    def added(self, images: DataFrame) -> Gallery:
+        """This gallery with further images, of which a name that it has already takes the new vector.
+
+        New rows are put to the pivots that are there (the choice of pivots
+        steers the cost, never the result) and the cells' sizes and ranges are
+        brought up to date, so an addition costs its own size. After
+        ``MOST_ADDITIONS`` of them, or when a vector was replaced, what was
+        prepared is made anew from the rows, which are written as one table.
+        """
+        if self.k is None:
+            raise ValueError("galleries for a radius are not added to")
+        new = Gallery(images, self.k, self.key, self.vector)
+        new.rows = materialise(new.rows, "gallery-added")
+        known = self.rows.join(F.broadcast(new.rows.withColumnRenamed("vector", "_new")), "match")
+        if known.filter(~F.col("vector").eqNullSafe(F.col("_new"))).isEmpty():
+            # Images that are there with the same vector are nothing new.
+            new.rows = new.rows.join(F.broadcast(known.select("match")), "match", "left_anti").select("match", "vector")
+            kept = self.rows
+            replaced = False
+        else:
+            kept = self.rows.join(F.broadcast(new.rows.select("match")), "match", "left_anti").select("match", "vector")
+            replaced = True
+        grown = Gallery.__new__(Gallery)
+        grown.k, grown.key, grown.vector = self.k, self.key, self.vector
+        grown.additions = self.additions + 1
+        grown.rows = kept.unionByName(new.rows)
+        if replaced or grown.additions > MOST_ADDITIONS:
+            grown.rows, grown.additions = materialise(grown.rows, "gallery"), 0
+        elif self.__dict__.get("cells") is not None:
+            celled, sizes, pivots = self.cells
+            cell_of = _cell_of(self.rows.sparkSession.sparkContext.broadcast(pivots))
+            more = materialise(new.rows.mapInArrow(cell_of, celled.schema), "cells-added")
+            grown.__dict__["cells"] = celled.unionByName(more), _merged_sizes(sizes, _cell_sizes(more)), pivots
+        return grown
+
+
+def _cell_sizes(celled: DataFrame) -> dict:
+    """Rows and reach of every cell; at most one row per pivot reaches the driver."""
+    sizes = celled.groupBy("cell").agg(F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"))
+    return sizes.toArrow().to_pydict()
+
+
+def _merged_sizes(first: dict, second: dict) -> dict:
+    found = dict(zip(first["cell"], zip(first["n"], first["low"], first["high"])))
+    for cell, n, low, high in zip(second["cell"], second["n"], second["low"], second["high"]):
+        was = found.get(cell, (0, low, high))
+        found[cell] = was[0] + n, min(was[1], low), max(was[2], high)
+    columns = list(zip(*found.values())) or [(), (), ()]
+    return {"cell": list(found), "n": list(columns[0]), "low": list(columns[1]), "high": list(columns[2])}
 
 
 class _Search:
@@ -195,8 +245,8 @@ class _Search:
         """All queries if they are within the bound, else ``None``; reads at most one more."""
         if most <= 0:
             return None
-        width = self.queries.select(F.size("vector")).first()
-        most = min(most, BROADCAST_VALUES // max(1, width[0])) if width else most
+        width = self.queries.select(F.max(F.size("vector"))).first()
+        most = min(most, BROADCAST_VALUES // max(1, width[0] or 1))
         bound = math.inf if self.max_distance is None else float(self.max_distance)
         head = self.queries.withColumn("bound", F.lit(bound)).limit(most + 1).toArrow()
         return head if head.num_rows <= most else None
@@ -400,7 +450,9 @@ def _other_cells(plan, skip_home: bool):
         # A row of cell c is nearer to pivot c than to the pivot nearest to the
         # query, so the query is at least this far from it.
         home = to_pivot.argmin(axis=1)
-        between = np.sqrt(squared_distances(pivots, pivots).astype(np.float64))[home][:, ids]
+        # Only the pivots that are nearest to a query of this block, not all of them with each other.
+        homes, own = np.unique(home, return_inverse=True)
+        between = np.sqrt(squared_distances(pivots[homes], pivots[ids]).astype(np.float64))[own]
         gap = d**2 - (to_pivot.min(axis=1) ** 2)[:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
             margin = np.where(between > 0, gap / (2 * between), 0.0)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from retinue.operators import counts
 from retinue.plans.registry import query, table
-from retinue.session import spread
+from retinue.session import materialise, spread
 
 WORDS_SQL = """
 words AS (
@@ -152,3 +153,54 @@ def user_activity(spark, sf_dir):
 @query("activity_first_seen", f'{ACTIVITY_SQL} SELECT "user", kind, item, pos FROM firsts')
 def activity_first_seen(spark, sf_dir):
     return counts.first_seen(counts.activity_events(behaviour_lines(spark, sf_dir)))
+
+
+def broken_click_message():
+    """The message of :func:`click_message`; an error cuts it in half, and a signup carries no user."""
+    whole = click_message()
+    cut = F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))
+    nobody = F.regexp_replace(whole, '"uid":"[0-9]*",', "")
+    return F.when(F.col("event_type") == "error", cut).when(F.col("event_type") == "signup", nobody).otherwise(whole)
+
+
+BROKEN_CLICKS_SQL = """
+SELECT uid, clicks FROM (
+  SELECT CAST(user_id AS VARCHAR) AS uid, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS clicks
+  FROM events WHERE event_type NOT IN ('error', 'signup') GROUP BY user_id
+  UNION ALL SELECT 'received', count(*) FROM events
+  UNION ALL SELECT 'rejected', count(*) FROM events WHERE event_type IN ('error', 'signup'))"""
+
+
+@query("click_counts_with_rejects", BROKEN_CLICKS_SQL)
+def click_counts_with_rejects(spark, sf_dir):
+    """Clicks per user, and what was received and rejected, from one pass over the messages."""
+    messages = table(spark, sf_dir, "events").select(broken_click_message().alias("value"))
+    seen = Observation()
+    clicks = materialise(counts.click_counts(counts.parse_clicks(messages), rejects=seen), "clicks")
+    return clicks.union(counts.reject_row(spark, seen).select(F.explode(F.create_map(F.lit("received"), "received", F.lit("rejected"), "rejected"))))
+
+
+BROKEN_ACTIVITY_SQL = """
+SELECT "user", kind, item, CAST(min(event_id) AS BIGINT) AS pos FROM (
+  SELECT CASE WHEN event_id % 10 = 3 THEN '' ELSE 'u' || user_id END AS "user", 'search' AS kind,
+         CASE WHEN event_id % 7 = 2 THEN NULL ELSE 'a b' || event_type END AS item, event_id
+  FROM events)
+WHERE "user" <> '' AND item IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, 'received', NULL, count(*) FROM events
+UNION ALL SELECT NULL, 'rejected', NULL, count(*) FROM events WHERE event_id % 10 = 3 OR event_id % 7 = 2"""
+
+
+@query("activity_with_rejects", BROKEN_ACTIVITY_SQL)
+def activity_with_rejects(spark, sf_dir):
+    """First searches of every user; lines without a user and terms that cannot be decoded are counted beside them."""
+    user = F.when(F.col("event_id") % 10 == 3, F.lit("")).otherwise(F.concat(F.lit(f"{counts.USER_TAG}u"), F.col("user_id").cast("string"), F.lit(",")))
+    term = F.when(F.col("event_id") % 7 == 2, F.lit("%zz")).otherwise(F.concat(F.lit("a%20b"), "event_type"))
+    line = F.concat(user, F.lit(counts.ACTIVITY_TAGS["search"]), term)
+    lines = table(spark, sf_dir, "events").select(line.alias("value"), F.col("event_id").alias("pos"))
+    seen = Observation()
+    events = counts.activity_events(lines, rejects=seen)
+    found = materialise(counts.first_seen(events).select("user", "kind", "item", "pos"), "activity")
+    entries = F.explode(F.create_map(F.lit("received"), "received", F.lit("rejected"), "rejected")).alias("kind", "pos")
+    totals = counts.reject_row(spark, seen).select(entries)
+    none = F.lit(None).cast("string")
+    return found.union(totals.select(none.alias("user"), "kind", none.alias("item"), "pos"))

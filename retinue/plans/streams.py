@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retinue.operators import codebook
 from retinue.plans import derived
 from retinue.plans.derived import PAIRS_SQL
-from retinue.plans.logs import CLICKS_SQL, LOG_COUNTS_SQL, LOG_SQL, WORDS_SQL, click_message, log_line, text_lines
+from retinue.plans.logs import CLICKS_SQL, LOG_COUNTS_SQL, LOG_SQL, WORDS_SQL, broken_click_message, click_message, log_line, text_lines
 from retinue.plans.registry import query, table
 from retinue.session import materialise, shared_dir
 from retinue.sinks.cells import CellTable
-from retinue.sources.streams import file_stream
+from retinue.sources.streams import file_stream, merged_stream
 from retinue.streaming import batches, counters, matching
 
 
@@ -148,3 +149,135 @@ def transform_batches(spark, sf_dir):
         spark, lambda o, c: batches.transform_batches(stream, count, o, c, available_now=True), "roles"
     )
     return rows.select("role", "n")
+
+
+@query("stream_click_rejects", """
+SELECT count(*) AS received, count(*) FILTER (WHERE event_type IN ('error', 'signup')) AS rejected FROM events""")
+def stream_click_rejects(spark, sf_dir):
+    """What the click stream received and rejected, over all its batches."""
+    events = materialise(table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "props").repartition(6), "events")
+    source = events.inputFiles()[0].rsplit("/", 1)[0]
+    messages = file_stream(spark, source, events.schema, files_per_batch=2).select(broken_click_message().alias("value"))
+    rejects = shared_dir(spark, "rejects")
+    rows = _finish(
+        spark,
+        lambda o, c: batches.click_count_stream(messages, o, c, rejects=rejects, available_now=True),
+        "clicks",
+        lambda out: spark.read.parquet(rejects),
+    )
+    return rows.agg(F.sum("received").alias("received"), F.sum("rejected").alias("rejected"))
+
+
+@query(
+    "stream_topics",
+    """SELECT source, word, count(*) AS cnt FROM (
+         SELECT 'chat' AS source, unnest(string_split(text, ' ')) AS word FROM conversations
+         UNION ALL SELECT 'events', event_type FROM events)
+       GROUP BY source, word""",
+)
+def stream_topics(spark, sf_dir):
+    """Three topics as one stream with one checkpoint: one ends early, one has nothing in the first run, one nothing at all."""
+    chat = shared_dir(spark, "topic")
+    texts = table(spark, sf_dir, "conversations").select(F.col("text").alias("value"))
+    texts.limit(0).write.parquet(f"{chat}/0")
+    events = materialise(table(spark, sf_dir, "events").select(F.col("event_type").alias("value")).repartition(5), "events")
+    silent = materialise(texts.limit(0), "topic")
+    out, checkpoint = shared_dir(spark, "topics"), shared_dir(spark, "progress")
+
+    def count(batch):
+        words = batch.select("source", F.explode(F.split("value", " ")).alias("word"))
+        return words.groupBy("source", "word").agg(F.count("*").alias("cnt"))
+
+    for run in range(2):
+        topics = {
+            "chat": file_stream(spark, f"{chat}/*", texts.schema),
+            "events": file_stream(spark, events.inputFiles()[0].rsplit("/", 1)[0], texts.schema, files_per_batch=2),
+            "silent": file_stream(spark, silent.inputFiles()[0].rsplit("/", 1)[0], texts.schema),
+        }
+        batches.transform_batches(merged_stream(topics), count, out, checkpoint, available_now=True).awaitTermination()
+        if run == 0:
+            texts.write.parquet(f"{chat}/1")
+    return spark.read.parquet(out).groupBy("source", "word").agg(F.sum("cnt").alias("cnt"))
+
+
+class Interrupted(RuntimeError):
+    """Stands for the loss of the driver in the middle of a batch."""
+
+
+@query(
+    "stream_recovery",
+    """SELECT sink, key, count(*) AS cnt FROM (
+         SELECT 'text' AS sink, event_type AS key FROM events UNION ALL SELECT 'table', event_type FROM events)
+       GROUP BY sink, key""",
+)
+def stream_recovery(spark, sf_dir):
+    """A stream that fails between the two sinks of a batch, and goes on from its checkpoint: every row once in both."""
+    events = materialise(table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).repartition(6), "events")
+    source = events.inputFiles()[0].rsplit("/", 1)[0]
+    stream = file_stream(spark, source, events.schema, files_per_batch=2)
+    out, checkpoint = shared_dir(spark, "recovery"), shared_dir(spark, "progress")
+    fail = [True]
+
+    def save(batch, batch_id):
+        batch.write.mode("overwrite").text(f"{out}/text/batch={batch_id}")
+        if batch_id == 1 and fail[0]:
+            raise Interrupted
+        batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
+
+    try:
+        batches.run_per_batch(stream, save, checkpoint, available_now=True).awaitTermination()
+    except StreamingQueryException:
+        fail[0] = False
+    assert not fail[0]
+    batches.run_per_batch(stream, save, checkpoint, available_now=True).awaitTermination()
+    text = spark.read.text(f"{out}/text").select(F.lit("text").alias("sink"), F.col("value").alias("key"))
+    rows = text.union(spark.read.parquet(f"{out}/table").select(F.lit("table"), "key"))
+    return rows.groupBy("sink", "key").agg(F.count("*").alias("cnt"))
+
+
+GROWING_SQL = PAIRS_SQL.split("ranked AS")[0].rstrip().rstrip(",") + """,
+numbered AS (SELECT *, CAST(substr(query, 4) AS BIGINT) % 3 AS q, CAST(substr(match, 4) AS BIGINT) % 3 AS g FROM pairs)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, match) AS INTEGER) AS rank, match, distance
+FROM numbered WHERE g < q QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, match) <= 10"""
+
+
+@query("stream_growing_gallery", f"WITH {GROWING_SQL}")
+def stream_growing_gallery(spark, sf_dir):
+    """Images in three batches, each matched with those that the batches before it stored; the second batch fails once."""
+    images = materialise(derived.images(spark, sf_dir), "received")
+    third = F.substring("image_name", 4, 9).cast("long") % 3
+    source = shared_dir(spark, "topic")
+    for n in range(3):
+        # One file each, in this order.
+        images.filter(third == n).coalesce(1).write.parquet(f"{source}/{n}")
+    out, checkpoint = shared_dir(spark, "matched"), shared_dir(spark, "progress")
+    store = CellTable(spark, shared_dir(spark, "store"), {"histogram": "histogram array<int>"})
+    centers = derived.centers(spark, sf_dir)
+    fail = [True]
+
+    def prepare(batch):
+        if fail[0] and len(store.manifest().parts) == 1:
+            # The batch is lost when its matches are written and its images are stored.
+            put = store.put
+
+            def lose(*args, **kwargs):
+                put(*args, **kwargs)
+                raise Interrupted
+
+            store.put = lose
+        return batch
+
+    def run():
+        stream = file_stream(spark, f"{source}/*", images.schema, files_per_batch=1)
+        matching.match_image_stream(
+            stream, None, centers, out, checkpoint, prepare, store=store, grow=True, available_now=True
+        ).awaitTermination()
+
+    try:
+        run()
+    except StreamingQueryException:
+        fail[0] = False
+        del store.put
+    assert not fail[0]
+    run()
+    return spark.read.parquet(f"{out}/matches").select("query", "rank", "match", "distance")

@@ -255,19 +255,24 @@ class CellTable:
         """Catalog entries of this table's states in this session, oldest first."""
         prefixes = [self._entry_prefix(g) for g in ([group] if group else self.schemas)]
         found = [t.name for t in self.spark.catalog.listTables(pattern="cells_*") if t.name.startswith(tuple(prefixes))]
-        return sorted(found, key=lambda name: int(name.rsplit("_", 1)[1]))
+        return sorted(found, key=lambda name: int(name.split("_")[2]))
 
     def _entry_prefix(self, group: str) -> str:
         return f"cells_{hashlib.sha256(f'{self.root}/{group}'.encode()).hexdigest()[:24]}_"
 
-    def _stored(self, group: str, state: Manifest) -> DataFrame | None:
-        """Rows of all parts of a group, with the ``_order`` of their part, as one bucketed scan."""
-        parts = [p for p in state.parts if p.group == group]
+    def _stored(self, group: str, state: tuple[Part, ...]) -> DataFrame | None:
+        """Rows of some parts of a group, with the ``_order`` of their part, as one bucketed scan."""
+        parts = [p for p in state if p.group == group]
         if not parts:
             return None
-        name = f"{self._entry_prefix(group)}{state.version}"
-        if not self.spark.catalog.tableExists(name):
-            for old in self._entries(group)[: -self.KEPT]:
+        # Equal parts have one catalog entry; the number in front tells its age.
+        listed = hashlib.sha256(" ".join(sorted(p.folder for p in parts)).encode()).hexdigest()[:16]
+        entries = self._entries(group)
+        name = next((entry for entry in entries if entry.endswith(listed)), None)
+        if name is None:
+            age = int(entries[-1].split("_")[2]) + 1 if entries else 0
+            name = f"{self._entry_prefix(group)}{age}_{listed}"
+            for old in entries[: -self.KEPT]:
                 self.spark.sql(f"DROP TABLE IF EXISTS {old}")
             cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schemas[group])
             layout = f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS"
@@ -279,23 +284,23 @@ class CellTable:
             self.spark.sql(f"ALTER TABLE {name} ADD {places}")
         return self.spark.table(name)
 
-    def _group(self, group: str, cols: list[str], state: Manifest) -> DataFrame:
+    def _group(self, group: str, cols: list[str], state: tuple[Part, ...]) -> DataFrame:
         rows = self._stored(group, state)
         if rows is None:
             fields = [T.StructField(self.key, T.StringType()), *(self.schemas[group][c] for c in cols)]
             return self.spark.createDataFrame([], T.StructType(fields))
-        if sum(p.group == group for p in state.parts) == 1:
+        if sum(p.group == group for p in state) == 1:
             return rows.select(self.key, *cols)
         return latest_cells(rows, self.key, "_order", cols)
 
-    def scan(self, cols: list[str] | None = None, state: Manifest | None = None) -> DataFrame:
-        """Key and cells of one state (the latest); reads only the groups and columns asked for.
+    def scan(self, cols: list[str] | None = None, parts_of: tuple[Part, ...] | None = None) -> DataFrame:
+        """Key and cells of one state (the latest, or the parts given); reads only the groups and columns asked for.
 
         Groups meet bucket by bucket: none of their cells is moved. Of three or
         more groups the keys alone are gathered first.
         """
         cols = list(cols or self.columns)
-        state = state or self.manifest()
+        state = self.manifest().parts if parts_of is None else parts_of
         parts = []
         for group, schema in self.schemas.items():
             wanted = [c for c in schema.names if c in cols]
@@ -312,7 +317,7 @@ class CellTable:
     def get(self, value: str, cols: list[str] | None = None) -> DataFrame:
         """The row of one key. Of each part only the bucket of the key is opened, and only row groups that may hold it are read."""
         cols = list(cols or self.columns)
-        state = self.manifest()
+        state = self.manifest().parts
         parts = []
         for group, schema in self.schemas.items():
             wanted = [c for c in schema.names if c in cols]
@@ -346,7 +351,7 @@ class CellTable:
             parts = [p for p in state.parts if p.group == group]
             if len(parts) < 2:
                 continue
-            merged = self._group(group, schema.names, state)
+            merged = self._group(group, schema.names, state.parts)
             bases.append(self._write(merged, group, max(p.put for p in parts), base=True, moved=True))
             folded += parts
         if not bases:
@@ -401,6 +406,12 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def remembered(spark: SparkSession, path: str, text: str) -> str:
+    """The text stored under ``path``; ``text`` if there was none, which is stored then."""
+    _create_text(spark, path, text)
+    return _read_text(spark, path)
+
+
 def _create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Make a whole file appear under ``path`` at once; False if there is one already."""
     fs, place = _file_system(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,20 @@ def socket_text_stream(spark: SparkSession, host: str, port: int) -> DataFrame:
     return spark.readStream.format("socket").option("host", host).option("port", port).load()
 
 
+def merged_stream(streams: dict[str, DataFrame]) -> DataFrame:
+    """Several sources as one stream with a column ``source`` that names them.
+
+    Each source keeps its own progress in the one checkpoint, so one that has
+    ended or has nothing yet holds up no other. The names are taken in order,
+    which must be the same in every run with a checkpoint. Columns that a
+    source lacks are null.
+    """
+    if not streams:
+        raise ValueError("no sources")
+    named = [streams[name].withColumn("source", F.lit(name)) for name in sorted(streams)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from retinue.operators.counts import click_counts, log_counts, parse_clicks, word_counts
+from retinue.operators.counts import click_counts, log_counts, parse_clicks, reject_row, word_counts
 from retinue.sinks.cells import CellTable
 from retinue.sinks.messages import save_text
 
@@ -74,9 +74,23 @@ def log_count_stream(lines: DataFrame, out: str, checkpoint: str, col: str = "va
     return transform_batches(lines, lambda batch: log_counts(batch, col), out, checkpoint, **trigger)
 
 
-def click_count_stream(messages: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """``<uid, clicks>`` of every batch of JSON click messages."""
-    return transform_batches(messages, lambda batch: click_counts(parse_clicks(batch)), out, checkpoint, **trigger)
+def click_count_stream(
+    messages: DataFrame, out: str, checkpoint: str, rejects: str | None = None, **trigger
+) -> StreamingQuery:
+    """``<uid, clicks>`` of every batch of JSON click messages.
+
+    ``rejects`` names a folder for ``<received, rejected>`` of every batch, which
+    the pass that counts the clicks has counted too.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        counts = click_counts(parse_clicks(batch), rejects=seen if rejects else None)
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if rejects:
+            reject_row(batch.sparkSession, seen).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+
+    return run_per_batch(messages, save, checkpoint, **trigger)
 
 
 def save_text_per_batch(stream: DataFrame, prefix: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -232,7 +232,7 @@ def test_readers_keep_their_state(spark, folder):
     store.put(cells(spark, ("a", "/later", None)), put_id=3)
     store.compact()
     assert {r.image_name: r.path for r in before.collect()} == {"a": "/a", "b": "/b"}
-    assert {r.image_name: r.path for r in store.scan(["path"], state).collect()} == {"a": "/a", "b": "/b"}
+    assert {r.image_name: r.path for r in store.scan(["path"], state.parts).collect()} == {"a": "/a", "b": "/b"}
     assert {r.image_name: r.path for r in store.scan(["path"]).collect()} == {"a": "/later", "b": "/b"}
 
 

@@ -282,3 +282,50 @@ def test_float_vectors_far_from_zero_keep_their_order(spark):
 def test_ragged_vectors_are_refused():
     with pytest.raises(ValueError, match="different lengths"):
         to_matrix(pa.array([[1.0, 2.0], [1.0, 2.0, 3.0]]))
+
+
+@pytest.mark.parametrize("broadcast", [4096, 0])
+def test_added_images_are_found_like_those_of_one_gallery(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "MOST_ADDITIONS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(f"i{n:03}", rng.integers(0, 6, 5).tolist()) for n in range(240)]
+    schema = "image_name string, histogram array<int>"
+    frame = spark.createDataFrame(rows, schema)
+    queries = frame.limit(60)
+    gallery = S.Gallery(frame.filter("image_name < 'i100'"), 4)
+
+    def same(known):
+        found = S.top_k_similar(queries, gallery, 4, broadcast_queries=broadcast, tile_rows=16)
+        want = S.top_k_similar(queries, known, 4)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+    same(frame.filter("image_name < 'i100'"))
+    for low, high in (("i100", "i150"), ("i140", "i200"), ("i200", "i240"), ("i150", "i240")):
+        gallery = gallery.added(frame.filter(f"image_name >= '{low}' AND image_name < '{high}'"))
+        same(frame.filter(f"image_name < '{max(high, 'i200') if low == 'i150' else high}'"))
+    # A name that is there with another vector takes the new one.
+    changed = spark.createDataFrame([("i003", [9, 9, 9, 9, 9]), ("new", [0, 0, 0, 0, 0])], schema)
+    gallery = gallery.added(changed)
+    same(frame.filter("image_name <> 'i003'").union(changed))
+
+
+def test_routing_needs_no_matrix_of_all_pivots(monkeypatch):
+    """Twenty thousand pivots and a small block of queries: distances between the pivots of the block and all, no more."""
+    asked = []
+    real = S.squared_distances
+
+    def counting(a, b):
+        asked.append(len(a) * len(b))
+        return real(a, b)
+
+    monkeypatch.setattr(S, "squared_distances", counting)
+    rng = np.random.default_rng(3)
+    pivots = rng.random((20_000, 4))
+    cells = {"cell": list(range(20_000)), "n": [1] * 20_000, "low": [0.0] * 20_000, "high": [0.01] * 20_000}
+
+    class Plan:
+        value = pivots, cells
+
+    batch = pa.RecordBatch.from_pydict({"query": ["a", "b"], "vector": rng.random((2, 4)).tolist(), "bound": [1e-4, 1e-4]})
+    list(S._other_cells(Plan, True)([batch]))
+    assert max(asked) <= 2 * 20_000

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from retinue.operators import codebook as C
@@ -133,3 +134,40 @@ def test_console_writer_is_ready_to_start(spark, folder):
     stream = streams.file_stream(spark, folder + "/t", spark.read.parquet(folder + "/t").schema)
     batches.show_batch(stream, 10).trigger(availableNow=True).option("checkpointLocation", folder + "/c").start().awaitTermination()
 
+
+
+def test_different_images_under_one_key_all_stay(spark, folder):
+    """A batch drops repeated messages by key and content, and repeated names after the preparation only."""
+    rows = [("cam", b"1"), ("cam", b"2"), ("cam", b"2"), (None, b"3"), (None, b"4"), (None, b"4")]
+    publish(spark, folder + "/t", [(k, bytearray(v)) for k, v in rows], streams.MESSAGE)
+    stream = streams.file_stream(spark, folder + "/t", streams.MESSAGE)
+    centers = spark.createDataFrame([(0, [1.0]), (1, [9.0])], "center_id int, center array<double>")
+    gallery = spark.createDataFrame([("g", [1, 0])], "image_name string, histogram array<int>")
+
+    def prepare(batch):
+        value = F.decode("value", "UTF-8")
+        name = F.when(value == "1", "one").when(value == "4", None).otherwise(F.concat(F.lit("n"), value)).alias("image_name")
+        twice = F.explode(F.when(value == "1", F.array(F.lit(1.0), F.lit(9.0))).otherwise(F.array(F.lit(1.0)))).alias("x")
+        return batch.select(name, twice).select("image_name", F.array(F.array(F.col("x").cast("float"))).alias("features"))
+
+    matching.match_image_stream(stream, gallery, centers, folder + "/o", folder + "/c", prepare, available_now=True).awaitTermination()
+    found = sorted((r.query or "", r.match, r.distance) for r in spark.read.parquet(folder + "/o/matches").collect())
+    assert found == [("", "g", 0), ("n2", "g", 0), ("n3", "g", 0), ("one", "g", 2)]
+
+
+def test_a_growing_gallery_needs_a_store(spark, folder):
+    centers = spark.createDataFrame([(0, [1.0])], "center_id int, center array<double>")
+    stream = spark.readStream.format("rate").load()
+    with pytest.raises(ValueError):
+        matching.match_image_stream(stream, None, centers, folder, folder + "/c", lambda b: b, grow=True)
+    with pytest.raises(ValueError):
+        streams.merged_stream({})
+
+
+def test_rejects_of_a_batch_are_counted_with_its_clicks(spark, folder):
+    rows = [('{"uid":"a","click_count":2}',), ('{"uid":"a","click_count":3}',), ('{"uid":',), ("{}",), (None,)]
+    publish(spark, folder + "/t", rows, "value string")
+    stream = streams.file_stream(spark, folder + "/t", spark.read.parquet(folder + "/t").schema)
+    batches.click_count_stream(stream, folder + "/o", folder + "/c", rejects=folder + "/r", available_now=True).awaitTermination()
+    assert [(r.uid, r.clicks) for r in spark.read.parquet(folder + "/o").collect()] == [("a", 5)]
+    assert [(r.received, r.rejected) for r in spark.read.parquet(folder + "/r").collect()] == [(5, 3)]
