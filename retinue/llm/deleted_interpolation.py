@@ -50,6 +50,9 @@ def _tokens(known: WordHashes, text: bytes | None) -> np.ndarray:
     return hashes
 
 
+#: Counts from here on are kept apart in 64 bits.
+WIDE = 0xFFFFFFFF
+
 BLOCK = pa.schema(
     [
         ("block", pa.int64()),
@@ -144,7 +147,6 @@ def _values(planes: bytes) -> np.ndarray:
 
 def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
     """``<range, kind, block, held, hashes, counts>``: what a block asks of a range, with its own training counts."""
-    cuts = (np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**64).astype(np.uint64)
 
     def ask(batches):
         for batch in batches:
@@ -152,31 +154,51 @@ def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
                 block, rows = _Block(row), []
                 for kind, hashes, places in ((1, block.words, block.places), (2, block.pairs, block.pair_places)):
                     counts = np.bincount(places, minlength=len(hashes)).astype(np.uint32)
-                    edges = [0, *np.searchsorted(hashes, cuts).tolist(), len(hashes)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        if a < b:
-                            told = b"" if block.held else counts[a:b].tobytes()
-                            rows.append((k, kind, row["block"], block.held, _planes(hashes[a:b]), told))
+                    # Only the ranges that the block's hashes fall into.
+                    own, starts = np.unique(_range_of(hashes, ranges), return_index=True)
+                    for k, a, b in zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)]):
+                        told = b"" if block.held else counts[a:b].tobytes()
+                        rows.append((k, kind, row["block"], block.held, _planes(hashes[a:b]), told))
                 yield _arrow(rows, REQUEST)
 
     return blocks.mapInArrow(ask, "range int, kind int, block long, held boolean, hashes binary, counts binary")
 
 
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each hash, rising with it."""
+    return np.minimum((hashes.astype(np.float64) * (ranges / 2.0**64)).astype(np.int64), ranges - 1)
+
+
+def _folded(totals: np.ndarray) -> tuple[bytes, bytes]:
+    """Totals in 32 bits, and in 64 bits those that are too wide, which WIDE stands for in the former."""
+    wide = totals >= WIDE
+    return np.where(wide, WIDE, totals).astype(np.uint32).tobytes(), totals[wide].astype(np.int64).tobytes()
+
+
+def _unfolded(totals: bytes, wide: bytes) -> np.ndarray:
+    found = np.frombuffer(totals, np.uint32).astype(np.float64)
+    if wide:
+        found[found == WIDE] = np.frombuffer(wide, np.int64)
+    return found
+
+
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Sums the counts of one range and kind; every block gets them in the order of its hashes."""
     asked = [_values(planes) for planes in rows["hashes"]]
     told = [np.zeros(len(own), np.uint32) if held else np.frombuffer(c, np.uint32) for c, own, held in zip(rows["counts"], asked, rows["held"])]
     hashes, places = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(places, np.concatenate(told), len(hashes)).astype(np.uint32)
+    # Sums in doubles are exact up to 2**53.
+    totals = np.bincount(places, np.concatenate(told), len(hashes)).astype(np.int64)
     answers, start = [], 0
     for own in asked:
-        answers.append(totals[places[start : start + len(own)]].tobytes())
+        answers.append(_folded(totals[places[start : start + len(own)]]))
         start += len(own)
     # What the training texts hold in this range, told in one row.
     tokens, distinct = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     tokens[0], distinct[0] = totals.sum(dtype=np.int64), (totals > 0).sum()
     named = {"block": rows["block"], "held": rows["held"], "kind": rows["kind"], "range": rows["range"]}
-    return pd.DataFrame({**named, "totals": answers, "tokens": tokens, "distinct": distinct})
+    narrow, wide = zip(*answers)
+    return pd.DataFrame({**named, "totals": narrow, "wide": wide, "tokens": tokens, "distinct": distinct})
 
 
 def _estimates(block_rows: pd.DataFrame, answers: pd.DataFrame) -> tuple[_Block, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +206,7 @@ def _estimates(block_rows: pd.DataFrame, answers: pd.DataFrame) -> tuple[_Block,
     block = _Block(block_rows.iloc[0].to_dict())
     totals = {}
     for kind, rows in answers.sort_values("range").groupby("kind"):
-        totals[kind] = np.concatenate([np.frombuffer(t, np.uint32) for t in rows["totals"]]).astype(np.float64)
+        totals[kind] = np.concatenate([_unfolded(t, w) for t, w in zip(rows["totals"], rows["wide"])])
     return block, totals[1][block.places], totals[2][block.pair_places], totals[1][block.before]
 
 
@@ -243,7 +265,7 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_
     with bucketed(_blocks(rows, block_words), "lm-blocks", "block") as blocks:
         tokens = blocks.agg(F.sum(F.octet_length("places"))).first()[0] or 0
         ranges = max(1, math.ceil(tokens / 4 / RANGE_WORDS))
-        schema = "block long, held boolean, kind int, range int, totals binary, tokens long, distinct long"
+        schema = "block long, held boolean, kind int, range int, totals binary, wide binary, tokens long, distinct long"
         asked = _requests(blocks, ranges).groupBy("range", "kind")
         # Sums go back to the buckets of their blocks once, for the weights and for the scores.
         sums = asked.applyInPandas(_answer, schema).repartition(bucket_count(spark), "block")
@@ -252,7 +274,7 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, block_
             n_tokens, n_words = int(counted[0] or 0), int(counted[1] or 0)
 
             def cogrouped(function, schema: str, which: str) -> DataFrame:
-                given = answers.filter(which).select("block", "kind", "range", "totals").groupBy("block")
+                given = answers.filter(which).select("block", "kind", "range", "totals", "wide").groupBy("block")
                 return blocks.filter(which).groupBy("block").cogroup(given).applyInPandas(function, schema)
 
             def left_out_cells(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:

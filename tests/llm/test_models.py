@@ -207,3 +207,23 @@ def test_quality_odd_rows(spark):
         rows = quality.quality_rules(docs, model).collect()
         assert sorted((r.doc_id or -1, r.n_words, r.kept) for r in rows) == [(-1, 12, False), (1, 0, False), (2, 0, False), (2, 0, False), (3, 12, True)]
     assert quality.quality_rules(docs.limit(0), model).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    """Two blocks with three thousand million of one word each, and smaller counts beside it."""
+    import pandas as pd
+
+    hashes = np.array([5, 2**40, 2**63 + 11], np.uint64)
+    counts = [np.array([3_000_000_000, 7, 0xFFFFFFFF], np.uint32), np.array([3_000_000_000, 1, 0], np.uint32)]
+    rows = [(0, 1, n, False, lm._planes(hashes), c.tobytes()) for n, c in enumerate(counts)]
+    rows.append((0, 1, 2, True, lm._planes(hashes[1:]), b""))
+    found = lm._answer(pd.DataFrame(rows, columns=["range", "kind", "block", "held", "hashes", "counts"]))
+    totals = [lm._unfolded(t, w).tolist() for t, w in zip(found["totals"], found["wide"])]
+    assert totals == [[6_000_000_000, 8, 0xFFFFFFFF]] * 2 + [[8, 0xFFFFFFFF]]
+    assert found["tokens"].sum() == 6_000_000_000 + 8 + 0xFFFFFFFF and found["distinct"].sum() == 3
+
+
+def test_ranges_rise_with_the_hashes():
+    hashes = np.sort(np.random.default_rng(4).integers(0, 2**64, 5000, dtype=np.uint64))
+    found = lm._range_of(np.r_[hashes, np.uint64(2**64 - 1)], 37)
+    assert (np.diff(found) >= 0).all() and found.min() == 0 and found.max() == 36
