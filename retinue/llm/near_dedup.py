@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retinue.llm.components import components
@@ -145,15 +145,11 @@ def _linked(common, sizes):
 
 
 def _described(members: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``<g, node, label, n, cost, differing>`` of the members ``<g, node, label, centre>`` of groups.
+    """``<g, node, label, n, lacking, more>`` of the members ``<g, node, label, centre>`` of groups.
 
-    ``differing`` is the symmetric difference of the node's set with its group's
-    model, a set of ``n`` shingles: what most members hold, or the set of a
-    centre in small groups. Of two members, let d be what their differing sets
-    share. They have ``n`` less all that both lack, plus what both have beyond
-    the model, in common; put into the condition of a link this is
-
-        7 * d >= cost + cost' - n,   cost = 4 * lacking + 3 * additional.
+    The group's model is a set of ``n`` shingles: what most members hold, or the
+    set of a centre in small groups. ``lacking`` is what a node lacks of it,
+    ``more`` what it holds besides.
     """
     held = materialise(spread_join(members, sets, "node", ["g"]), "near-held")
     large = sizes.filter(F.col("_n") >= LARGE)
@@ -166,74 +162,107 @@ def _described(members: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFra
     known = spread_join(held, models, "g", ["node"], "left", sizes=sizes)
     model = F.coalesce("model", F.array().cast("array<long>"))
     lacking, more = F.array_except(model, "shingles"), F.array_except("shingles", model)
-    known = known.select("g", "node", "label", F.size(model).alias("n"), lacking.alias("lacking"), more.alias("more"))
-    cost = 4 * F.size("lacking") + 3 * F.size("more")
-    return known.select("g", "node", "label", "n", cost.alias("cost"), F.concat("lacking", "more").alias("differing"))
+    return known.select("g", "node", "label", F.size(model).alias("n"), lacking.alias("lacking"), more.alias("more"))
 
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``<a, b>`` that join all members of a group that are linked, directly or over others.
 
     ``members`` is ``<g, node, label, centre>``: nodes of each group, the labels
-    they have already, and whether a node is a centre. Only groups with several
-    labels and three nodes or more are looked at. See :func:`_described` for the
-    condition of a link. It has two parts:
-
-    * Where no shared difference is needed, ``cost + cost' <= n``: both then are
-      linked with the member of least cost, so each is compared with that alone.
-    * Otherwise both share some differing shingles, as many as their costs tell
-      at least. The rarest of each member's shared differing shingles, all but
-      as many as it needs less one, have one in common with those of any partner.
-
-    Members with equal shared differences and costs have the same links and are
-    one fold: it is compared once, however many copies with the same edit it holds.
+    they have already (that of the centres is ``g``), and whether a node is a
+    centre. Only groups with several labels and three nodes or more are looked
+    at. Members are described by what they lack of, and hold beyond, a model of
+    ``n`` shingles. Let two members share ``l`` lacking and ``m`` additional
+    shingles; with ``cost = 4 * lacking + 3 * more`` they are linked when
+
+        7 * (l + m) >= cost + cost' - n.
+
+    * Where nothing need be shared, both are linked with the member of least
+      cost too, so each is compared with that alone.
+    * A pair that shares additional shingles shares as many as make up for what
+      either lacks, so the rarest ones of each, all but as many as it needs
+      less one, have one in common.
+    * A pair that shares none has ``l`` alone. Few members can be linked so; of
+      those the rarest lacking shingles have one in common.
+
+    Only pairs with a member outside the centres' component are compared.
+    Members with the same shared differences and costs have the same links and
+    are one fold: it is compared once, however many copies with one edit it holds.
     """
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = materialise(sizes.filter("low <> high AND _n > 2").select("g", "_n"), "near-sizes")
     mixed = materialise(spread_join(members, sizes.select("g"), "g", ["node"], sizes=sizes), "near-mixed")
-    known = materialise(_described(mixed, sizes, sets), "near-described")
-
-    hubs = known.groupBy("g").agg(F.min(F.struct("cost", "node", "label")).alias("hub"))
-    hubs = materialise(hubs.select("g", F.col("hub.cost").alias("least"), F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "near-hubs")
-    known = spread_join(known, hubs, "g", ["node"], sizes=sizes)
+    described = _described(mixed, sizes, sets)
+    described = described.withColumns({"few": F.size("lacking"), "many": F.size("more")})
+    described = described.withColumn("cost", 4 * F.col("few") + 3 * F.col("many")).withColumn("size", F.col("n") - F.col("few") + F.col("many"))
+    described = materialise(described, "near-described")
+
+    outside = F.col("label") != F.col("g")
+    stats = described.groupBy("g").agg(
+        F.min(F.struct("cost", "node", "label")).alias("hub"),
+        F.min("cost").alias("least"),
+        F.min(F.when(outside, F.col("cost"))).alias("least_outside"),
+        F.min("size").alias("smallest"),
+        F.min(F.when(outside, F.col("size"))).alias("smallest_outside"),
+    )
+    stats = materialise(stats.select("*", "hub.node", F.col("hub.label").alias("hub_label")).drop("hub").withColumnRenamed("node", "hub"), "near-stats")
+    known = spread_join(described, stats, "g", ["node"], sizes=sizes)
     free = known.filter("cost + least <= n AND label <> hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     free = materialise(free, "near-free")
 
-    needed = F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("least") - F.col("n")) / 7)).alias("needed")
-    rows = known.select("g", "node", "label", "n", "cost", needed, F.explode("differing").alias("shingle"))
+    parts = [F.struct(F.lit(kind == "more").alias("is_more"), F.col(kind).alias("found")) for kind in ("lacking", "more")]
+    carried = ["g", "label", "n", "few", "cost", "size"]
+    rows = described.select("node", *carried, F.explode(F.array(*parts)).alias("part")).select("node", *carried, "part.is_more", F.explode("part.found").alias("shingle"))
     rows = rows.withColumn("k", F.xxhash64("g", "shingle")).drop("shingle")
     shared = materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "near-shared")
     rows = spread_join(rows, shared.select("k", F.col("_n").alias("held")), "k", ["node"], sizes=shared)
-    keys = F.transform(F.sort_array(F.collect_list(F.struct("held", "k"))), lambda s: s["k"]).alias("keys")
-    firsts = [F.first(c).alias(c) for c in ("label", "n", "cost", "needed")]
-    folded = rows.groupBy("g", "node").agg(*firsts, keys)
-    folded = folded.filter(F.size("keys") >= F.col("needed"))
-    folded = materialise(folded.withColumn("fold", F.struct("g", "cost", F.xxhash64("keys"), F.xxhash64(F.lit(1), "keys"))), "near-folded")
+
+    def rarest(which: str) -> Column:
+        listed = F.collect_list(F.when(F.expr(which), F.struct("held", "k")))
+        return F.transform(F.sort_array(listed), lambda s: s["k"])
+
+    firsts = [F.first(c).alias(c) for c in carried if c != "g"]
+    folded = rows.groupBy("g", "node").agg(*firsts, rarest("NOT is_more").alias("lacks"), rarest("is_more").alias("adds"))
+    marks = [F.xxhash64(F.lit(n), "lacks", "adds") for n in (0, 1)]
+    folded = materialise(folded.withColumn("fold", F.struct("g", "cost", "few", *marks)), "near-folded")
     folds = folded.groupBy("fold").agg(
-        *[F.first(c).alias(c) for c in ("g", "n", "cost", "needed", "keys")],
+        *[F.first(c).alias(c) for c in ("g", "n", "few", "cost", "size", "lacks", "adds")],
         F.min("node").alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("_n"),
     )
+    folds = spread_join(folds, stats.select("g", "least", "least_outside", "smallest", "smallest_outside"), "g", ["fold"])
+    folds = folds.withColumn("outside", F.expr("low <> g OR high <> g"))
+    # What a partner has at least; that of a member of the centres' component lies outside.
+    partner_cost, partner_size = F.expr("if(outside, least, least_outside)"), F.expr("if(outside, smallest, smallest_outside)")
+    owed = F.ceil(3 * (F.col("size") + partner_size) / 7) - (F.col("n") - F.col("few"))
+    folds = folds.withColumn("owed", owed.cast("int")).withColumn("needed", F.ceil((F.col("cost") + partner_cost - F.col("n")) / 7).cast("int"))
+    folds = folds.select("fold", "g", "n", "cost", "lacks", "adds", "first", "low", "high", "_n", "outside", "owed", "needed")
     folds = materialise(folds, "near-folds")
 
-    # Folds under the label of their group's centres are compared with folds of other labels only.
-    sides = folds.select("fold", "g", "low", "high", F.explode(F.slice("keys", 1, F.size("keys") - F.col("needed").cast("int") + 1)).alias("k"))
-    sides = materialise(sides, "near-prefixes")
-    lists = materialise(sides.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max(F.expr("low <> g OR high <> g")).alias("fringe")), "near-lists")
-    lists = lists.filter("fringe AND _n > 1").select("k", "_n")
+    def front(keys: str, needed: Column) -> Column:
+        return F.slice(keys, 1, F.greatest(F.lit(0), F.size(keys) - F.greatest(F.lit(1), needed) + 1))
+
+    none = F.array().cast("array<long>")
+    alone = F.when(F.col("owed") <= 0, front("lacks", F.col("needed"))).otherwise(none)
+    fronts = F.explode(F.concat(front("adds", F.col("owed")), alone)).alias("k")
+    sides = materialise(folds.select("fold", "outside", "low", "high", fronts), "near-fronts")
+    lists = materialise(sides.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("outside").alias("outside")), "near-lists")
+    lists = lists.filter("outside AND _n > 1").select("k", "_n")
     right = spread_join(sides, lists.select("k"), "k", ["fold"], sizes=lists)
-    left = right.filter("low <> g OR high <> g").select("k", *(F.col(c).alias(f"{c}_a") for c in ("fold", "low", "high")))
+    left = right.filter("outside").select("k", *(F.col(c).alias(f"{c}_a") for c in ("fold", "low", "high")))
     pairs = spread_join(right, left, "k", ["fold"], sizes=lists)
     same = (F.col("low") == F.col("high")) & (F.col("low_a") == F.col("high_a")) & (F.col("low") == F.col("low_a"))
     pairs = pairs.filter((F.col("fold") != F.col("fold_a")) & ~same)
     pairs = pairs.select(F.least("fold", "fold_a").alias("a"), F.greatest("fold", "fold_a").alias("b")).distinct()
     for side in ("a", "b"):
-        own = folds.select(F.col("fold").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "cost", "keys", "first")))
+        own = folds.select(F.col("fold").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "cost", "lacks", "adds", "first")))
         pairs = spread_join(materialise(pairs, "near-fold-pairs"), own, side, ["a", "b"])
-    alike = 7 * F.size(F.array_intersect("keys_a", "keys_b")) >= F.col("cost_a") + F.col("cost_b") - F.col("n_a")
-    pairs = materialise(pairs.filter(alike).select("a", "b", "first_a", "first_b"), "near-fold-links")
+    overlap = sum(F.size(F.array_intersect(f"{c}_a", f"{c}_b")) for c in ("lacks", "adds"))
+    pairs = pairs.filter(7 * overlap >= F.col("cost_a") + F.col("cost_b") - F.col("n_a"))
+    pairs = materialise(pairs.select("a", "b", "first_a", "first_b"), "near-fold-links")
 
     # A fold of several nodes is joined when its nodes are linked, or all are with those of another fold.
-    several = folds.filter("_n > 1 AND low <> high").select("fold", "first", "_n", (7 * F.size("keys") >= 2 * F.col("cost") - F.col("n")).alias("inner"))
+    inner = (7 * (F.size("lacks") + F.size("adds")) >= 2 * F.col("cost") - F.col("n")).alias("inner")
+    several = folds.filter("_n > 1 AND low <> high").select("fold", "first", "_n", inner)
     met = pairs.select(F.col("a").alias("fold")).union(pairs.select("b")).distinct()
     met = several.join(met, "fold", "left_semi").union(several.filter("inner")).distinct()
     within = spread_join(folded.select("fold", F.col("node").alias("a")), met.select("fold", F.col("first").alias("b")), "fold", ["a"], sizes=met.select("fold", "_n"))

@@ -119,6 +119,45 @@ def test_near_groups_of_edited_copies(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == plain_near(values)
 
 
+@pytest.mark.parametrize("words, edits, with_original", [(40, 1, False), (60, 4, True)])
+def test_compared_pairs_grow_with_the_copies(spark, monkeypatch, words, edits, with_original):
+    """Edited copies of one text: twice as many copies take about twice as many comparisons, not four times."""
+    seen = []
+    write = near_dedup.materialise
+
+    def counting(frame, label):
+        found = write(frame, label)
+        if label in ("near-pairs", "near-fold-pairs", "near-mixed"):
+            seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "materialise", counting)
+    compared = []
+    for copies in (1250, 2500) if edits == 1 else (500, 1000):
+        rng = random.Random(3)
+        base, texts = [f"w{k}" for k in range(words)], []
+        for _ in range(copies):
+            own = list(base)
+            for at in rng.sample(range(words), rng.randint(1, edits)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+        values = list(enumerate(texts)) + [(copies, " ".join(base))] * with_original
+        seen.clear()
+        rows = near_dedup.near_duplicates(docs_of(spark, values)).collect()
+        compared.append(sum(seen))
+        if edits == 1 and copies == 1250:
+            assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == plain_near(values)
+    assert compared[0] < 40 * copies and compared[1] < 2.8 * compared[0]
+
+
+def test_near_repeated_ids(spark):
+    """Texts under one id are one document: its links join what either text is linked with."""
+    x, y = "a b c d e f g", "p q r s t u v"
+    values = [(3, x), (5, x), (5, y), (7, y), (8, y + " other"), (9, "z")]
+    rows = near_dedup.near_duplicates(docs_of(spark, values)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 3, False), (9, 9, True)]
+
+
 def test_near_short_and_empty(spark):
     values = [(4, "A b"), (2, "a B"), (3, "b a"), (5, ""), (6, None), (7, " \n"), (8, "É"), (9, "é"), (10, "a b c d e"), (11, "a b c d e f " * 5000)]
     rows = near_dedup.near_duplicates(docs_of(spark, values)).collect()
