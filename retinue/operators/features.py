@@ -98,6 +98,23 @@ def ingest_images(spark: SparkSession, path: str | list[str], extractor: Extract
     return rows.withColumn("_path", plain).join(found, "_path", "left").select(*rows.columns, out)
 
 
+def ingest_into(
+    store: CellTable, path: str | list[str], extractor: Extractor, out: str = "features", decoder: Decoder | None = None
+) -> None:
+    """All files into the image table, as :func:`ingest_images` describes them, without a join.
+
+    Bytes and descriptors lie in groups of their own, so each is written from
+    its own reading of the files; bytes move once, to their buckets. With a
+    ``decoder`` the files are read once, and descriptors come from the bytes.
+    """
+    files = read_binary_files(store.spark, path).select(F.col("name").alias("image_name"), "path", "content")
+    if decoder is not None:
+        store.put(extract_features(files, extractor, out, "content", decoder))
+        return
+    store.put(files)
+    store.put(decoded_features(store.spark, path, extractor, out).select("image_name", out))
+
+
 def decoded_features(spark: SparkSession, path: str | list[str], extractor: Extractor, out: str = "features") -> DataFrame:
     """``<image_name, path, out>`` of the images that Spark's reader decodes and that have 1 or 3 channels."""
     images = read_images(spark, path).where(accepted_channels(F.col("image")))

@@ -33,21 +33,32 @@ def spread_join(
     """
     total = many.count() if total is None else total
     limit = max(SMALL, total // SHARES)
-    pieces = F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_pieces")
-    sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
-    hot = sizes.filter(F.col("_n") > limit).select(key, pieces)
+    held, pieces, salted = (unused([*many.columns, *one.columns], name) for name in ("_n", "_pieces", "_salt"))
+    if sizes is None:
+        sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias(held))
+    else:
+        sizes = sizes.select(key, F.col("_n").alias(held))
+    hot = sizes.filter(F.col(held) > limit).select(key, F.ceil(F.col(held) / F.lit(limit)).cast("int").alias(pieces))
     hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*by), F.coalesce("_pieces", F.lit(1))).cast("int")
-    left = many.join(hot, key, "left").withColumn("_salt", salt).drop("_pieces")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    right = one.join(hot, key, "left").withColumn("_salt", copies).drop("_pieces")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*by), F.coalesce(pieces, F.lit(1))).cast("int")
+    left = many.join(hot, key, "left").withColumn(salted, salt).drop(pieces)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1))
+    right = one.join(hot, key, "left").withColumn(salted, copies).drop(pieces)
+    return left.join(right, [key, salted], how).drop(salted)
 
 
 def slot_of(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slot_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Drop most ``rows`` whose ``key`` is not among ``wanted``, without moving any.
 
@@ -55,14 +66,17 @@ def slot_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     (bounded, see ``SLOT_BITS``) travel to the rows. Some other rows pass too,
     and all of them when every slot is taken: an exact join has to follow.
     """
-    slots = wanted.select(slot_of(F.col(key)).alias("_slot")).distinct()
-    return rows.withColumn("_slot", slot_of(F.col(key))).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    slot = unused(rows.columns, "_slot")
+    slots = wanted.select(slot_of(F.col(key)).alias(slot)).distinct()
+    found = rows.withColumn(slot, slot_of(F.col(key))).join(F.broadcast(slots), slot, "left_semi")
+    return found.select(rows.columns)
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is not in ``gone``; only rows in a slot of ``gone`` are moved. A null key stays."""
-    slots = F.broadcast(gone.select(slot_of(F.col(key)).alias("_slot")).distinct())
-    placed = rows.withColumn("_slot", slot_of(F.col(key)))
-    clear = placed.join(slots, "_slot", "left_anti")
-    checked = placed.join(slots, "_slot", "left_semi").join(gone.select(key), key, "left_anti")
-    return clear.select(*rows.columns).union(checked.select(*rows.columns))
+    slot = unused(rows.columns, "_slot")
+    slots = F.broadcast(gone.select(slot_of(F.col(key)).alias(slot)).distinct())
+    placed = rows.withColumn(slot, slot_of(F.col(key)))
+    clear = placed.join(slots, slot, "left_anti")
+    checked = placed.join(slots, slot, "left_semi").join(gone.select(key), key, "left_anti")
+    return clear.select(rows.columns).union(checked.select(rows.columns))

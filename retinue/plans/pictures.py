@@ -90,7 +90,7 @@ def totals(rows, feature):
 def ingest_images(spark, sf_dir):
     """Files to image table and back."""
     store = features.image_table(spark, shared_dir(spark, "images"))
-    store.put(features.ingest_images(spark, picture_folder(spark, sf_dir), derived.cell_means))
+    features.ingest_into(store, picture_folder(spark, sf_dir), derived.cell_means)
     return totals(store.scan(["path", "features"]), "features")
 
 

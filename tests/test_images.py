@@ -108,3 +108,19 @@ def test_files_as_messages(spark, pictures, folder):
 def test_file_bytes_are_not_shuffled(spark, pictures):
     plan = read_binary_files(spark, pictures)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("decoder", [None, "own"])
+def test_ingestion_into_the_table_equals_the_joined_rows(spark, pictures, folder, decoder, monkeypatch):
+    want = {r.image_name: (bytes(r.content), r.features) for r in X.ingest_images(spark, pictures, cell_means).collect()}
+    store = X.image_table(spark, folder + "/table")
+    plans = []
+    put = type(store).put
+    monkeypatch.setattr(type(store), "put", lambda self, rows, *rest, **named: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or put(self, rows, *rest, **named))
+    if decoder is None:
+        X.ingest_into(store, pictures, cell_means)
+        got = {r.image_name: (bytes(r.content), r.features) for r in store.scan(["content", "features"]).collect()}
+        assert got == want and all("Join" not in plan and "Exchange" not in plan for plan in plans)
+    else:
+        X.ingest_into(store, pictures, cell_means, decoder=decode_raw)
+        assert {r.image_name for r in store.scan(["content"]).collect()} == set(want) and len(plans) == 1
