@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retinue.llm.spread import slot_filter, spread_join
-from retinue.session import materialise
+from retinue.session import bucket_count, materialise
 
 #: Left out before texts are compared (fixed values of the contract).
 WHITE = " \t\n\x0b\x0c\r"
@@ -59,23 +59,27 @@ def directory(keys: DataFrame, n_keys: int, capacity: int = CAPACITY, hash_bits:
     return local.select("slot", first.alias("bucket"), "depth"), bits
 
 
-def byte_chains(docs: DataFrame, shared: DataFrame, slots: DataFrame, bits: int, hash_bits: int = HASH_BITS) -> DataFrame:
-    """``<code, digest, chain>`` of the texts whose ``code`` occurs in more than one row.
+def byte_groups(docs: DataFrame, shared: DataFrame, slots: DataFrame, bits: int, best: Column, hash_bits: int = HASH_BITS, row: str | None = None) -> DataFrame:
+    """``<code, chain, digest, best, group_size>`` of the texts whose ``code`` is in ``shared``: more than one row has it.
 
-    Texts of the codes in ``shared`` go to the owners of their buckets. Copies
-    are folded before the shuffle, and the owner's grouping compares whole
-    texts; different texts of one code are chained in the order of their bytes.
+    Their texts go to the owners of their buckets. Copies are folded before the
+    shuffle, and the owner's grouping compares whole texts; different texts of
+    one code are chained in the order of their digests.
     """
-    texts = docs.select(F.translate(F.coalesce(F.col("text"), F.lit("")), WHITE, "").alias("norm"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = ["doc_id"] if row is None else [row, "doc_id"]
+    texts = docs.select(*names, F.length(text).alias("n_points"), F.translate(text, WHITE, "").alias("norm"))
     texts = slot_filter(texts.withColumn("code", _code(hash_bits)), "code", shared)
-    texts = texts.withColumn("slot", F.shiftright("code", hash_bits - bits))
-    owned = texts.join(F.broadcast(slots.select("slot", "bucket")), "slot").groupBy("bucket", "code", "norm").agg(F.count(F.lit(1)).alias("n"))
-    entries = owned.select("bucket", "code", F.unhex(F.sha2("norm", 256)).alias("digest"))
-    listed = entries.groupBy("bucket", "code").agg(F.array_sort(F.collect_list("digest")).alias("chained"))
+    texts = texts.withColumn("slot", F.shiftright("code", hash_bits - bits)).join(F.broadcast(slots.select("slot", "bucket")), "slot")
+    owned = texts.groupBy("bucket", "code", "norm").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Other texts in the same slots come along; whole codes do, so no group is cut.
+    owned = owned.join(shared, "code", "left_semi")
+    entries = owned.select("bucket", "code", F.struct(F.unhex(F.sha2("norm", 256)).alias("digest"), "best", "group_size").alias("entry"))
+    listed = entries.groupBy("bucket", "code").agg(F.array_sort(F.collect_list("entry")).alias("chained"))
     # Rows find their entry by its digest, so different bytes must never share one.
-    clash = F.size("chained") != F.size(F.array_distinct("chained"))
+    clash = F.size("chained") != F.size(F.array_distinct("chained.digest"))
     checked = F.when(clash, F.raise_error(F.lit("different texts with one digest"))).otherwise(F.col("chained"))
-    return listed.select("code", F.posexplode(checked).alias("chain", "digest"))
+    return listed.select("code", F.posexplode(checked).alias("chain", "entry")).select("code", "chain", "entry.*")
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = HASH_BITS, row: str | None = None) -> DataFrame:
@@ -97,30 +101,28 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int =
     signed = materialise(signatures(docs, hash_bits, row), "exact-signatures")
     settled = [] if row is None else [F.bitwise_not(row).alias("row")]
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("other"), *settled))
-    groups = signed.groupBy("code", "digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = materialise(groups, "exact-groups")
-    keys = groups.groupBy("code").agg(F.sum("group_size").alias("rows"))
-    n_keys = groups.count()
-    slots, bits = directory(keys, n_keys, capacity, hash_bits)
+    narrow = [best.alias("best"), F.first("digest").alias("digest"), F.count(F.lit(1)).alias("rows")]
+    keys = materialise(signed.groupBy("code").agg(*narrow), "exact-keys")
+    slots, bits = directory(keys, keys.count(), capacity, hash_bits)
     slots = materialise(slots, "exact-directory")
-    shared = keys.filter("rows > 1").select("code")
-    chains = materialise(byte_chains(docs, shared, slots, bits, hash_bits), "exact-chains")
-    # The index on shared files: owners write their buckets as ranges of codes.
-    slot = F.shiftright("code", hash_bits - bits)
-    owners = max(1, slots.select("bucket").distinct().count())
-    index = groups.join(chains, ["code", "digest"], "left").withColumn("slot", slot).join(F.broadcast(slots), "slot")
-    index = index.select(
+    # Where a code repeats, owners compare the bytes; a row alone with its code is a group.
+    several = byte_groups(docs, keys.filter("rows > 1").select("code"), slots, bits, best, hash_bits, row)
+    single = keys.filter("rows = 1").select("code", F.lit(0).alias("chain"), "digest", "best", F.lit(1).cast("long").alias("group_size"))
+    groups = single.unionByName(several).withColumn("slot", F.shiftright("code", hash_bits - bits)).join(F.broadcast(slots), "slot")
+    index = groups.select(
         "bucket",
         "code",
-        F.coalesce("chain", F.lit(0)).alias("chain"),
+        "chain",
         "digest",
         F.bitwise_not("best.other").alias("keep_id"),
         *([] if row is None else [F.bitwise_not("best.row").alias("keep_row")]),
         "group_size",
     )
+    # The index on shared files: an owner writes a range of buckets.
+    owners = max(1, min(bucket_count(docs.sparkSession), slots.select("bucket").distinct().count()))
     index = materialise(index.repartitionByRange(owners, "bucket", "code").sortWithinPartitions("code", "chain"), "exact-index")
     rows = signed.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("n_points", "code")
-    sizes = groups.select("digest", F.col("group_size").alias("_n"))
+    sizes = index.select("digest", F.col("group_size").alias("_n"))
     found = spread_join(rows, index.drop("code"), "digest", [row or "doc_id"], total=signed.count(), sizes=sizes)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) if row is None else F.col(row) == F.col("keep_row")
     first = [] if row is None else [row]

@@ -9,6 +9,7 @@ of their kind are redacted too.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 import zlib
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retinue.llm.boosting import Trees, calibrated_cut, fit
@@ -31,7 +32,7 @@ BASE_KINDS = 4
 TRAINING_ROWS = 20_000
 #: Share of true spans among those a threshold selects, in calibration.
 PRECISION = 0.95
-#: Positive candidates of a kind that calibration needs, and of all kinds that the trees need.
+#: Positive candidates of a kind that calibration needs.
 LEAST_SHOWN = 20
 #: Threshold of a kind with fewer positive candidates than that.
 FALLBACK = 0.9
@@ -43,13 +44,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+# Runs are taken whole: what follows a possessive quantifier gives nothing back, and a run is tried from its begin only.
 _WIDE = (
-    ("email", re.compile(r"[^\s@<>]{1,64}(?:@|\s?[\[(]at[\])]\s?)[^\s@<>]{3,120}")),
-    ("ip", re.compile(r"(?<![0-9])[0-9]{1,4}(?:[.:][0-9]{1,4}){2,7}")),
+    ("email", re.compile(r"(?<![^\s@<>])[^\s@<>]+(?:@|\s?[\[(]at[\])]\s?)[^\s@<>]{3,}+")),
+    ("ip", re.compile(r"(?<![0-9])(?<![0-9A-Fa-f]:)[0-9]{1,4}(?:[.:][0-9]{1,4}){2,7}(?![0-9A-Fa-f:])")),
+    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|(?=::))(?::[0-9A-Fa-f]{0,4}){2,7}(?:(?:\.[0-9]{1,3}){3})?(?![\w:])")),
     ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,20}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[\x20()./-]{0,2}[0-9]){6,15}(?![0-9])")),
-    ("account", re.compile(r"\b[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{8,30}\b")),
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[^\s,;]{6,80}")),
+    ("account", re.compile(r"\b[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{8,}+\b")),
+    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[^\s,;]{6,}+")),
 )
 _AT = re.compile(r"\s?[\[(]at[\])]\s?")
 _DOT = re.compile(r"[\[(]dot[\])]")
@@ -73,7 +76,7 @@ _OWN_HINTS = tuple(
 _HINTS = re.compile(r"(?i)mail|phone|tel|call|\bip\b|host|card|visa|iban|account|password|secret|token|key")
 #: Code points looked at before a candidate.
 CONTEXT = 24
-_ANY = re.compile(rb"[0-9@]")
+_ANY = re.compile(rb"[0-9@]|::")
 _WORDS = re.compile(rb"(?i)[\[(]at[\])]|(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]")
 #: Left out at the end of a proposed email.
 _TRAILING = ".,;:!?)]}'\""
@@ -110,6 +113,14 @@ def _is_card(text: str) -> bool:
     return 14 <= len(digits) <= 19 and luhn(digits)
 
 
+def _is_long_address(text: str) -> bool:
+    """Eight hex groups, fewer around one ``::``, the last two perhaps as four decimal parts."""
+    try:
+        return ":" in text and ipaddress.IPv6Address(text) is not None
+    except ValueError:
+        return False
+
+
 def _is_phone(text: str) -> bool:
     return 10 <= sum(c.isdigit() for c in text) <= 15
 
@@ -179,8 +190,8 @@ def _shown(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]
     """Whether a candidate of the sample passes the check of its kind.
 
     Base spans do. Other candidates of these kinds need looser evidence: an
-    email once ``[at]`` and ``[dot]`` are undone; eight groups of a long address
-    or, after a hint, four parts of up to 255; the check digit of a card in
+    email once ``[at]`` and ``[dot]`` are undone; a well-formed long address (hex
+    groups, ``::`` once) or, after a hint, four parts of up to 255; the check digit of a card in
     groups by any separator, or after a hint; a national phone number with its
     area code in brackets, or after a hint.
     """
@@ -193,7 +204,7 @@ def _shown(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]
         return _EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", own))) is not None
     if kind == KINDS.index("ip"):
         parts = re.split("[.:]", own)
-        return (own.count(":") == 7 and "." not in own) or (hinted and len(parts) == 4 and all(int(part) <= 255 for part in parts))
+        return _is_long_address(own) or (hinted and len(parts) == 4 and all(part.isdigit() and int(part) <= 255 for part in parts))
     if kind == KINDS.index("card"):
         digits = re.sub("[^0-9]", "", own)
         return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) and (hinted or _CARD_GROUPS.fullmatch(own) is not None)
@@ -230,64 +241,72 @@ def _proposed(doc_id: int | None, text: str):
             yield span, base, zlib.crc32(f"{doc_id} {start} {kind} {text[max(0, start - CONTEXT) : end]}".encode())
 
 
+class _Least:
+    """Of what is offered under a key, the ``size`` entries of least key."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.entries, self.bound = size, [], math.inf
+
+    def wants(self, key: int) -> bool:
+        return key < self.bound or (key == self.bound and len(self.entries) < self.size)
+
+    def take(self, key: int, *entry) -> None:
+        self.entries.append((key, *entry))
+        if len(self.entries) >= 2 * self.size:
+            self.cut()
+
+    def cut(self) -> None:
+        self.entries.sort()
+        del self.entries[self.size :]
+        if len(self.entries) == self.size:
+            self.bound = self.entries[-1][0]
+
+
 def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Fit on at most ``rows`` candidates, drawn from all documents.
-
-    Candidates are counted by kind, base spans apart from others, and each of
-    these classes is then thinned by a hash to its share of ``rows``, so that a
-    rare kind is taken whole. A candidate is a positive case if it passes the
-    check of its kind (:func:`_shown`). Half of the sample fits the trees. The
-    other half calibrates the thresholds on what may be added, which base spans
-    are not: a kind with fewer than ``LEAST_SHOWN`` positive cases there has the
-    threshold ``FALLBACK``. With fewer in all kinds together, base spans
-    included, there is nothing to learn from and nothing is added.
+    """Fit on at most ``rows`` candidates, drawn from all documents in one pass.
+
+    Each kind has an equal share of ``rows`` for base spans and one for others:
+    those with the least hash, kept per task and then over all of them. A
+    candidate is a positive case if it passes the check of its kind
+    (:func:`_shown`). Half of the sample fits the trees. The other half
+    calibrates the thresholds on what may be added, which base spans are not: a
+    kind with fewer than ``LEAST_SHOWN`` positive cases there has the threshold
+    ``FALLBACK``. Without any candidate there is nothing to learn from and
+    nothing is added.
     """
     small_batches(docs.sparkSession)
     share = max(1, rows // (len(KINDS) + BASE_KINDS))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def rows_of(batch):
-        values = batch.column("text").cast(pa.binary()).to_pylist()
-        return zip(batch.column("doc_id").to_pylist(), map(_text, values))
-
-    def count(batches):
-        counts = Counter((span[1], span in base) for batch in batches for row in rows_of(batch) for span, base, _ in _proposed(*row))
-        columns = [pa.array([kind for kind, _ in counts], pa.int32()), pa.array([b for _, b in counts], pa.bool_()), pa.array(counts.values(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["kind", "base", "n"])
-
-    counted = texts.mapInArrow(count, "kind int, base boolean, n long").groupBy("kind", "base").agg(F.sum("n").alias("n"))
-    limits = {(r.kind, r.base): math.ceil(min(1.0, share / r.n) * 2**32) for r in counted.collect()}
-
-    def show(batches):
+    def draw(batches):
+        drawn = {(kind, base): _Least(share) for kind in range(len(KINDS)) for base in (False, True)}
         for batch in batches:
-            found, shown, based, keys = [], [], [], []
-            for doc_id, text in rows_of(batch):
+            values = batch.column("text").cast(pa.binary()).to_pylist()
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), map(_text, values)):
                 for span, base, key in _proposed(doc_id, text):
-                    if key < limits[span[1], span in base]:
-                        found.append(describe(text, span))
-                        shown.append(int(_shown(text, span, base)))
-                        based.append(span in base)
-                        keys.append(key)
-            width = len(found[0]) if found else 1
-            values = pa.array(np.array(found, np.float64).ravel())
-            lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * width, values)
-            columns = [pa.array(shown, pa.int32()), pa.array(based, pa.bool_()), pa.array(keys, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["shown", "base", "key", "features"])
-
-    table = texts.mapInArrow(show, "shown int, base boolean, key long, features array<double>").toPandas()
+                    own = drawn[span[1], span in base]
+                    if own.wants(key):
+                        own.take(key, int(_shown(text, span, base)), describe(text, span))
+        for (kind, base), own in drawn.items():
+            own.cut()
+            if own.entries:
+                keys, shown, features = zip(*own.entries)
+                columns = [pa.array([kind] * len(keys), pa.int32()), pa.array([base] * len(keys), pa.bool_())]
+                columns += [pa.array(keys, pa.int64()), pa.array(shown, pa.int32()), pa.array([list(map(float, f)) for f in features], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "base", "key", "shown", "features"])
+
+    drawn = texts.mapInArrow(draw, "kind int, base boolean, key long, shown int, features array<double>")
+    # Each task keeps the first of its rows per class ahead of the window, so no task gathers more than their sum.
+    order = Window.partitionBy("kind", "base").orderBy("key", "shown", "features")
+    table = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share).toPandas()
     if table.empty:
         return Model(None, (2.0,) * len(KINDS))
+    # In an order of its own, so that the result does not depend on the order of the rows.
+    table = table.sort_values(["kind", "base", "place"])
     x = np.array(table["features"].tolist(), np.float64)
-    y, key, base = table["shown"].to_numpy(np.float64), table["key"].to_numpy(np.int64), table["base"].to_numpy(bool)
-    # In an order of its own, so that the result does not depend on the order of the rows; no class above its share.
-    order = np.lexsort([*x.T, y, key, base, x[:, 0]])
-    x, y, base = x[order], y[order], base[order]
-    place = np.arange(len(y)) - np.searchsorted(2 * x[:, 0] + base, 2 * x[:, 0] + base)
-    x, y, base, place = (part[place < share] for part in (x, y, base, place))
-    held_out = place % 2 == 1
+    y, base = table["shown"].to_numpy(np.float64), table["base"].to_numpy(bool)
+    held_out = table["place"].to_numpy() % 2 == 0
     trees = fit(x[~held_out], y[~held_out], [0] * x.shape[1])
-    if y[held_out].sum() < LEAST_SHOWN:
-        return Model(trees, (2.0,) * len(KINDS))
     score = trees.probability(x[held_out])
     cuts = []
     for kind in range(len(KINDS)):

@@ -1,68 +1,5 @@
-"""Joins and filters that stay even when one key holds a large share of the rows."""
+"""Joins that stay even under hot keys, as the operators on training text use them."""
 
-from __future__ import annotations
+from retinue.operators.spread import slot_filter, spread_join, unused, without
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-#: A key is split when it holds over one part in SHARES of the rows, so at most
-#: SHARES keys are split: the broadcast list of split keys has this many rows
-#: at any size of the input.
-SHARES = 4096
-#: Rows of a key that are never worth splitting.
-SMALL = 64
-#: Broadcast slot lists have at most two to the power SLOT_BITS rows.
-SLOT_BITS = 18
-
-
-def spread_join(
-    many: DataFrame,
-    one: DataFrame,
-    key: str,
-    by: list[str],
-    how: str = "inner",
-    total: int | None = None,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``many`` rows per ``key`` to the single row per ``key`` of ``one``.
-
-    Keys that hold more than one part in ``SHARES`` of ``many`` are cut into
-    pieces by a hash of the columns ``by``, and their row of ``one`` is repeated
-    once for each piece. ``how`` is ``inner``, ``left`` or ``left_semi``.
-    ``sizes`` (``key``, ``_n``) may hand over the counted rows of the keys.
-    """
-    total = many.count() if total is None else total
-    limit = max(SMALL, total // SHARES)
-    pieces = F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_pieces")
-    sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
-    hot = sizes.filter(F.col("_n") > limit).select(key, pieces)
-    hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*by), F.coalesce("_pieces", F.lit(1))).cast("int")
-    left = many.join(hot, key, "left").withColumn("_salt", salt).drop("_pieces")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    right = one.join(hot, key, "left").withColumn("_salt", copies).drop("_pieces")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
-def slot_of(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS)
-
-
-def slot_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Drop most ``rows`` whose ``key`` is not among ``wanted``, without moving any.
-
-    Keys are mapped to a fixed number of slots and the slots of ``wanted``
-    (bounded, see ``SLOT_BITS``) travel to the rows. Some other rows pass too,
-    and all of them when every slot is taken: an exact join has to follow.
-    """
-    slots = wanted.select(slot_of(F.col(key)).alias("_slot")).distinct()
-    return rows.withColumn("_slot", slot_of(F.col(key))).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
-
-
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` is not in ``gone``; only rows in a slot of ``gone`` are moved. A null key stays."""
-    slots = F.broadcast(gone.select(slot_of(F.col(key)).alias("_slot")).distinct())
-    placed = rows.withColumn("_slot", slot_of(F.col(key)))
-    clear = placed.join(slots, "_slot", "left_anti")
-    checked = placed.join(slots, "_slot", "left_semi").join(gone.select(key), key, "left_anti")
-    return clear.select(*rows.columns).union(checked.select(*rows.columns))
+__all__ = ["slot_filter", "spread_join", "unused", "without"]

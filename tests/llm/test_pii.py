@@ -94,9 +94,57 @@ def test_odd_rows(spark):
     assert pii.personal_data(docs.limit(0), pii.train(docs.limit(0))).count() == 0
 
 
-def test_kinds_without_enough_cases_add_nothing(spark):
+def test_kinds_without_enough_cases_take_the_fallback(spark):
     docs = rows(spark, [(1, "call 555-1234 or a@b.c", "en", "s", 0)])
-    assert min(pii.train(docs).cuts) == 2.0
+    assert set(pii.train(docs).cuts) == {pii.FALLBACK}
+    assert pii.train(docs.limit(0)).trees is None
+
+
+def test_a_task_keeps_the_least_keys_only(spark):
+    """Rows that repeat an id and a text have one key; the sample stays within its bound."""
+    least = pii._Least(3)
+    for key in (5, 5, 5, 5, 1, 9, 5, 0, 7, 5):
+        if least.wants(key):
+            least.take(key, "x")
+    least.cut()
+    assert [key for key, _ in least.entries] == [0, 1, 5]
+    docs = rows(spark, [(None, "mail a@b.cc or bo [at] host.org, password=a1b2c3d4", None, None, None)] * 3000)
+    drawn = []
+    fit, pii.fit = pii.fit, lambda x, *rest: drawn.append(len(x)) or fit(x, *rest)
+    try:
+        pii.train(docs, rows=200)
+    finally:
+        pii.fit = fit
+    assert drawn == [3 * 20 // 2]
+
+
+def proposed(text, kind):
+    return {text[s:e] for s, k, e in pii.candidates(text) if pii.KINDS[k] == kind}
+
+
+def test_long_secrets_and_emails_are_proposed_whole():
+    secret = "password=" + "aB3x" * 45
+    assert proposed(f"the {secret} end", "secret") == {secret}
+    local = "n" * 90 + "@" + "h." * 80 + "org"
+    assert proposed(f"to {local} now", "email") == {local}
+    account = "DE12" + "A1" * 30
+    assert proposed(f"iban {account} ok", "account") == {account}
+    for text in ("a" * 300_000, "a@" * 100_000, "password=" * 30_000, "ab12" * 80_000, "1:" * 100_000, "[at]" * 50_000, "f::" * 60_000):
+        pii.candidates(text)
+
+
+def test_long_secrets_leave_no_tail(spark):
+    texts = [f"login {i}: password={'xY7z' * 45}{i:03d} end" for i in range(120)] + [f"plain words {i} and no more" for i in range(120)]
+    docs = rows(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    clean = {r.doc_id: r.text for r in pii.redact_texts(docs, pii.train(docs)).collect()}
+    assert clean[5] == "login 5: [SECRET] end" and clean[130] == texts[130]
+
+
+def test_hex_addresses_are_proposed_whole():
+    for own in ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8::1", "fe80::1ff:fe23:4567:890a", "::ffff:10.1.2.3", "1:2:3:4:5:6:7:8", "::1:2"):
+        text = f"from {own} at 12:30:45, see ab:cd"
+        assert own in proposed(text, "ip")
+        assert [text[s[0]:s[2]] for s in pii.candidates(text) if s[1] == 1 and pii._shown(text, s, set())] == [own]
 
 
 def test_features_are_numbers():
