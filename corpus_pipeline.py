@@ -12,13 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retinue.llm import exact_dedup, near_dedup, packing, pii, quality
-from retinue.llm.spread import spread_join, without
+from retinue.llm.spread import spread_join, unused, without
 from retinue.session import materialise, ship_package
 
-#: Number of a row ahead of a stage that decides about rows.
-ROW = "_row_number"
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the trees learn from the ``labels`` table."""
     ship_package(spark)
@@ -29,34 +25,38 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts, whatever its ``doc_id``."""
     ship_package(spark)
-    numbered = _numbered(docs)
-    return _kept(numbered, exact_dedup.exact_duplicates(numbered, row=ROW).filter("NOT kept"))
+    numbered, row = _numbered(docs)
+    return _kept(numbered, exact_dedup.exact_duplicates(numbered, row=row).filter("NOT kept"), row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near-duplicates: that of the smallest ``doc_id``, null after all others."""
     ship_package(spark)
-    numbered = _numbered(docs)
+    numbered, row = _numbered(docs)
     # Every row is a document of its own, so null and repeated ids are compared like others.
-    found = near_dedup.near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text"))
-    found = materialise(found.select(F.col("doc_id").alias(ROW), "component_id"), "near-decided")
+    found = near_dedup.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    found = materialise(found.select(F.col("doc_id").alias(row), "component_id"), "near-decided")
     sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     sizes = materialise(sizes, "near-groups")
-    members = spread_join(found, sizes, "component_id", [ROW], sizes=sizes).select(ROW, "component_id")
-    members = materialise(members.join(numbered.select(ROW, "doc_id"), ROW), "near-grouped")
-    best = members.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", ROW))[ROW].alias("keep_row"))
-    decided = spread_join(members, best, "component_id", [ROW], sizes=sizes)
-    return _kept(numbered, decided.filter(F.col(ROW) != F.col("keep_row")))
+    members = spread_join(found, sizes, "component_id", [row], sizes=sizes).select(row, "component_id")
+    members = materialise(members.join(numbered.select(row, "doc_id"), row), "near-grouped")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", row))[row].alias("keep_row"))
+    decided = spread_join(members, best, "component_id", [row], sizes=sizes)
+    return _kept(numbered, decided.filter(F.col(row) != F.col("keep_row")), row)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row; written, so that every later reading sees the same numbers."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and the name of that column, which no other has.
 
+    Written, so that every later reading sees the same numbers.
+    """
+    row = unused([*docs.columns, *TAKEN], "_row_number")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
-def _kept(numbered: DataFrame, gone: DataFrame) -> DataFrame:
+
+def _kept(numbered: DataFrame, gone: DataFrame, row: str) -> DataFrame:
     """Rows whose number is not in ``gone``, without the numbers."""
-    return without(numbered, materialise(gone.select(ROW), "decided"), ROW).drop(ROW)
+    return without(numbered, materialise(gone.select(row), "decided"), row).drop(row)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +72,9 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), added)
 
 
+#: Names that the stages give to columns beside the number of a row.
+TAKEN = ("keep_row", "component_id")
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", keep_good),
     ("exact_dedup", drop_copies),
