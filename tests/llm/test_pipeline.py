@@ -9,6 +9,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from retinue.llm import pii, quality  # noqa: E402
+from retinue.session import materialise  # noqa: E402
 from tests.llm.test_dedup import plain_exact, plain_near  # noqa: E402
 from tests.llm.test_models import plain_base  # noqa: E402
 
@@ -73,6 +74,42 @@ def test_copies_are_decided_by_row(spark):
     assert len(left) == 2 and (1, "") in left and {i for i, _ in left} == {1, 6}
 
 
+CLASHING = ["_row_number", "_slot", "_n", "_salt", "_pieces", "keep_row", "component_id", "node", "mark", "code", "digest"]
+
+
+def stages_of(spark, docs):
+    """What each stage but the last keeps, and the pieces of the last."""
+    kept = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test-stage")
+        kept.append(docs)
+    return kept
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = docs.withColumns({name: F.concat(F.lit(f"{name} "), "doc_id") for name in CLASHING})
+    kept = stages_of(spark, docs)
+    for rows in kept[:-1]:
+        assert rows.columns == docs.columns and rows.count() > 0
+        assert rows.filter(" OR ".join(f"`{name}` <> concat('{name} ', doc_id)" for name in CLASHING)).isEmpty()
+    assert kept[-1].count() > 0
+
+
+def test_nulls_and_empty_tables_go_through_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [rows.count() for rows in stages_of(spark, docs.limit(0))] == [0] * 5
+    nulls = docs.limit(6).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    good = docs.filter("length(text) > 400").limit(30)
+    mixed = good.unionByName(nulls).unionByName(good.withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string")))
+    kept = stages_of(spark, mixed)
+    texts = [r.text for r in kept[1].collect()]
+    assert len(texts) == len(set(texts)) and None not in texts
+    assert 0 < kept[2].count() <= kept[1].count() and kept[4].filter("length IS NULL").isEmpty()
+    # Of a null and a given id the given one stays.
+    assert kept[1].filter("doc_id IS NULL").isEmpty()
+
+
 def test_run_is_the_stages_one_after_the_other(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns[:3] == ["doc_id", "start", "length"] and rows.count() > 100
