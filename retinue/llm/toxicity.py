@@ -46,7 +46,7 @@ WINDOW = 32
 #: Subsequences of words looked up at once.
 CELLS = 1 << 17
 #: Words a worker remembers before it begins anew; results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Fits of the machine, each without the sentences of toxic documents that the one before found clean.
 REFITS = 4
 #: Regularisation of the machine.
@@ -238,6 +238,10 @@ class Machine:
     def values(self, words: list[str]) -> np.ndarray:
         return self.basis.similarities(words) @ self.coefficients
 
+    def same(self, other: Machine) -> bool:
+        alike = self.basis.landmarks == other.basis.landmarks and self.offset == other.offset
+        return alike and np.array_equal(self.coefficients, other.coefficients)
+
 
 #: What the calibration sees of a document: the share of its sentences with a word that makes them toxic by
 #: itself, how many such words there are, how many different ones, and their share of all words.
@@ -295,6 +299,17 @@ class _Values(dict):
         return [float(sentences.mean()), *counts.tolist(), float(toxic.sum() / (len(numbers) + 20))]
 
 
+#: Values that this worker has learned, of the machine it used last.
+_LEARNED: list[_Values] = []
+
+
+def _values_of(machine: Machine) -> _Values:
+    """What the worker knows of this machine from its earlier tasks."""
+    if not (_LEARNED and _LEARNED[0].machine.same(machine)):
+        _LEARNED[:] = [_Values(machine)]
+    return _LEARNED[0]
+
+
 def _evidence(batch: pa.RecordBatch, known: _Values) -> np.ndarray:
     texts = [tokens(text) for text in batch.column("text").to_pylist()]
     known.learn(texts)
@@ -386,7 +401,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_DOCS, sentenc
     machine = fit(*groups)
 
     def measure(batches):
-        known = _Values(machine)
+        known = _values_of(machine)
         for batch in batches:
             found = _evidence(batch, known)
             columns = [batch.column("toxic"), *(pa.array(np.ascontiguousarray(c)) for c in found.T)]
@@ -414,7 +429,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     small_batches(docs.sparkSession)
 
     def score(batches):
-        known = _Values(model.machine)
+        known = _values_of(model.machine)
         for batch in batches:
             found = model.scores(_evidence(batch, known))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
