@@ -59,9 +59,15 @@ def test_exact_odd_rows(spark):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
 
 
-def test_native_operators_have_no_python(spark):
-    plan = exact_dedup.signatures(docs_of(spark, EXACT))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_native_operators_have_no_python(spark, monkeypatch):
+    """All tables that exact duplicates are made of, and the last step."""
+    plans = []
+    write = exact_dedup.materialise
+    monkeypatch.setattr(exact_dedup, "materialise", lambda frame, label: plans.append(frame) or write(frame, label))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    plans.append(exact_dedup.exact_duplicates(docs))
+    assert len(plans) >= 4
+    assert not any(re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString()) for frame in plans)
 
 
 def plain_sets(values):
