@@ -18,8 +18,10 @@ from retinue.streaming import batches, counters, matching
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, be it one file or a folder of files."""
     schema = table(spark, sf_dir, name).schema
-    return file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+    # A stream takes a folder or a pattern, not a file; this pattern means the table alone, in either form.
+    return file_stream(spark, f"{sf_dir}/{name}.[p]arquet", schema)
 
 
 def _finish(spark, start, label, read=None):
