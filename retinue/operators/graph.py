@@ -141,30 +141,40 @@ def _rank_round(ranks: DataFrame, weighted: DataFrame, tol: float, reset: float)
     share = F.col("gain") * (1.0 - reset) / F.col("degree")
     copies = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     senders = sending.select(F.col("id").alias("src"), share.alias("share"), copies.alias("salt"))
-    sent = weighted.join(senders, ["src", "salt"]).select(F.inline("neighbours"), "share")
+    # The small side of both joins is hashed, so that neither the edges nor the ranks are sorted in every round.
+    sent = weighted.join(senders.hint("shuffle_hash"), ["src", "salt"]).select(F.inline("neighbours"), "share")
     received = sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("share")).alias("gain"))
     gain = F.coalesce("gain", F.lit(0.0))
-    joined = ranks.drop("gain").join(received, "id", "left")
+    joined = ranks.drop("gain").join(received.hint("shuffle_hash"), "id", "left")
     return joined.select("id", "degree", "salts", (F.col("rank") + gain).alias("rank"), gain.alias("gain"))
 
 
 def _out_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``<src, salt, neighbours array<struct<dst, weight>>>`` and ``<src, degree, salts>``.
 
-    Parallel edges are counted first. A row holds about ``ADJACENCY_ROW``
-    neighbours; a hub has as many rows as it needs, told apart by a salt, so
-    that neither building nor joining them puts all its edges into one task.
+    A row holds about ``ADJACENCY_ROW`` neighbours; a hub has as many rows as
+    it needs, told apart by a salt, so that neither building nor joining them
+    puts all its edges into one task. Only the parallel edges of hubs are
+    counted first; those of others stay single in a row that is small anyway.
+    So all edges move once, to where they stay.
     """
-    counted = materialise(edges.groupBy("src", "dst").agg(F.count("*").alias("weight")), "edges")
-    degrees = counted.groupBy("src").agg(
-        F.sum("weight").alias("degree"), F.ceil(F.count("*") / F.lit(ADJACENCY_ROW)).cast("int").alias("salts")
-    )
-    degrees = materialise(degrees, "degrees")
-    salted = counted.join(degrees, "src").withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
-    # Without the explicit step the rows would stay where the join by src put
-    # them, and a hub would be gathered in one task after all.
-    salted = salted.repartition(bucket_count(edges.sparkSession), "src", "salt")
-    rows = salted.groupBy("src", "salt").agg(F.collect_list(F.struct("dst", "weight")).alias("neighbours"))
+    ends = edges.select("src", "dst")
+    degrees = ends.groupBy("src").agg(F.count("*").alias("degree"))
+    salts = F.ceil(F.col("degree") / F.lit(ADJACENCY_ROW)).cast("int")
+    degrees = materialise(degrees.withColumn("salts", salts), "degrees")
+    # Written, so that their size decides how they are joined.
+    hubs = materialise(degrees.where(F.col("salts") > 1).select("src", "salts"), "hubs")
+    # Always 0, yet not a constant, which would be left out of the layout of the rows.
+    alone = F.pmod(F.xxhash64("dst"), F.lit(1)).cast("int")
+    single = ends.select("src", alone.alias("salt"), "dst", F.lit(1).cast("long").alias("weight"))
+    if not hubs.isEmpty():
+        single = single.join(hubs, "src", "left_anti")
+        salt = F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int")
+        salted = ends.join(hubs, "src").withColumn("salt", salt)
+        single = single.unionByName(salted.groupBy("src", "salt", "dst").agg(F.count("*").alias("weight")))
+    # The explicit step tells the rows of a hub apart before anything is gathered.
+    placed = single.repartition(bucket_count(edges.sparkSession), "src", "salt")
+    rows = placed.groupBy("src", "salt").agg(F.collect_list(F.struct("dst", "weight")).alias("neighbours"))
     return rows, degrees
 
 
