@@ -196,5 +196,7 @@ def top_pagerank(
         empty[field.name] = nothing.cast(field.dataType)
     described = join_vertices(graph.vertices.select("id"), attrs, empty)
     kept = subgraph(Graph(described, graph.edges), predicate)
+    # Read by several steps of the ranking, and joins made both.
+    kept = Graph(materialise(kept.vertices, "kept"), materialise(kept.edges, "kept-edges"))
     ranks = pagerank(kept, tol=tol, **options)
     return top_ranked(join_vertices(kept.vertices, ranks, {"rank": F.lit(0.0)}), n)
