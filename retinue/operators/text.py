@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retinue.functions.text import clean_xml, first_sentence, ssplit, tokenize
+from retinue.operators.spread import slot_filter, unused
 from retinue.session import materialise
 
 #: A lexicon of at most this many words and bytes is sent to the tasks.
@@ -81,15 +82,36 @@ def _lookup_in_row(df, head, tokens, out, default):
 
 
 def _lookup_by_join(df, words, tokens, out, default, row_key):
-    each = df.select(row_key, F.posexplode(tokens).alias("pos", "word"))
-    each = each.withColumn("salt", F.pmod(F.xxhash64(row_key), F.lit(WORD_SALTS)).cast("int"))
+    """Of a row only its different words that the lexicon may have travel, and only the entries found come back."""
+    each = df.select(row_key, F.explode(F.array_distinct(tokens)).alias("word"))
+    each = slot_filter(each, "word", words).withColumn("salt", F.pmod(F.xxhash64(row_key), F.lit(WORD_SALTS)).cast("int"))
     copies = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))))
-    found = each.join(copies, ["word", "salt"], "left")
-    value = F.coalesce("value", F.col("word") if default is None else F.lit(default))
-    # A group is one row's own tokens, which that row already held.
-    lists = found.groupBy(row_key).agg(F.array_sort(F.collect_list(F.struct("pos", value.alias("v"))))["v"].alias(out))
-    empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<string>"))
-    return df.join(lists, row_key, "left").withColumn(out, F.coalesce(out, empty))
+    found = each.join(copies, ["word", "salt"])
+    entries = unused(df.columns, "_entries")
+    # A group is one row's own words, which that row already held.
+    lists = found.groupBy(row_key).agg(F.collect_list(F.struct("word", "value")).alias(entries))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def lookup(lists: pa.Array, own: pa.Array) -> pa.Array:
+        flat, known = lists.flatten(), own.flatten()
+        coded = flat.dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        lengths, counts = (pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False) for a in (lists, own))
+        # A word of a row is one number: every row has entries of its own.
+        codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+        asked = np.repeat(np.arange(len(lists)), lengths) * n + codes
+        code_of = pc.index_in(pc.struct_field(known, "word"), value_set=coded.dictionary).to_numpy(zero_copy_only=False)
+        held = np.repeat(np.arange(len(own)), counts) * n + code_of.astype(np.int64)
+        order = np.argsort(held)
+        at = np.minimum(np.searchsorted(held[order], asked), max(0, len(held) - 1))
+        hit = (held[order][at] == asked) & (codes >= 0) if len(held) else np.zeros(len(asked), bool)
+        places = order[at] if len(held) else np.zeros(len(asked), np.int64)
+        values = pc.struct_field(known, "value").take(pa.array(places, mask=~hit))
+        values = pc.coalesce(values, flat if default is None else pa.scalar(default, pa.string()))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, values, mask=lists.is_null())
+
+    return df.join(lists, row_key, "left").withColumn(out, lookup(F.col(tokens), F.col(entries))).drop(entries)
 
 
 def lemma(df: DataFrame, lexicon: DataFrame, tokens: str = "tokens", out: str = "lemmas", **options) -> DataFrame:
