@@ -11,36 +11,43 @@ from retinue.plans import derived
 from retinue.plans.derived import PAIRS_SQL
 from retinue.plans.logs import CLICKS_SQL, LOG_COUNTS_SQL, LOG_SQL, WORDS_SQL, broken_click_message, click_message, log_line, text_lines
 from retinue.plans.registry import query, table
-from retinue.session import materialise, shared_dir
+from retinue.session import file_system, materialise, shared_dir
 from retinue.sinks.cells import CellTable
 from retinue.sources.streams import file_stream, merged_stream
 from retinue.streaming import batches, counters, matching
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, be it one file or a folder of files."""
-    schema = table(spark, sf_dir, name).schema
-    # A stream takes a folder or a pattern, not a file; this pattern means the table alone, in either form.
-    return file_stream(spark, f"{sf_dir}/{name}.[p]arquet", schema)
+    """A table, be it one file or a folder of files, also one with a folder per value of a column."""
+    rows, path = table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet"
+    files = [file.rsplit("/", 1)[1] for file in rows.inputFiles()]
+    # A stream takes a folder or a pattern, not a file; this pattern means the one file. Below a pattern no columns of folders are found.
+    return file_stream(spark, f"{sf_dir}/{name}.[p]arquet" if files == [f"{name}.parquet"] else path, rows.schema)
 
 
-def _finish(spark, start, label, read=None):
+def _sink(spark, out, empty, read=None):
+    """What the batches have written to ``out``: nothing, with the schema ``empty``, if none of them had rows."""
+    fs, place = file_system(spark, out)
+    return (read or spark.read.parquet)(out) if fs.exists(place) else spark.createDataFrame([], empty)
+
+
+def _finish(spark, start, label, empty, read=None):
     out, checkpoint = shared_dir(spark, label), shared_dir(spark, "progress")
     start(out, checkpoint).awaitTermination()
-    return (read or spark.read.parquet)(out)
+    return _sink(spark, out, empty, read)
 
 
 @query("stream_word_count", f"WITH {WORDS_SQL} SELECT word, count(*) AS cnt FROM words GROUP BY word")
 def stream_word_count(spark, sf_dir):
     lines = text_lines(table_stream(spark, sf_dir, "documents"))
-    rows = _finish(spark, lambda o, c: batches.word_count_stream(lines, o, c, available_now=True), "words")
+    rows = _finish(spark, lambda o, c: batches.word_count_stream(lines, o, c, available_now=True), "words", "word string, cnt long")
     return rows.select("word", "cnt")
 
 
 @query("stream_log_counts", LOG_COUNTS_SQL)
 def stream_log_counts(spark, sf_dir):
     lines = table_stream(spark, sf_dir, "events").select(log_line().alias("value"))
-    rows = _finish(spark, lambda o, c: batches.log_count_stream(lines, o, c, available_now=True), "logs")
+    rows = _finish(spark, lambda o, c: batches.log_count_stream(lines, o, c, available_now=True), "logs", "dimension string, key string, cnt long")
     return rows.select("dimension", "key", "cnt")
 
 
@@ -51,6 +58,7 @@ def stream_log_text(spark, sf_dir):
         spark,
         lambda o, c: batches.log_text_stream(lines, o, c, available_now=True),
         "logtext",
+        "value string",
         lambda out: spark.read.text(f"{out}/ipCounts-*"),
     )
 
@@ -58,7 +66,7 @@ def stream_log_text(spark, sf_dir):
 @query("stream_click_counts", CLICKS_SQL)
 def stream_click_counts(spark, sf_dir):
     messages = table_stream(spark, sf_dir, "events").select(click_message().alias("value"))
-    rows = _finish(spark, lambda o, c: batches.click_count_stream(messages, o, c, available_now=True), "clicks")
+    rows = _finish(spark, lambda o, c: batches.click_count_stream(messages, o, c, available_now=True), "clicks", "uid string, clicks long")
     return rows.select("uid", "clicks")
 
 
@@ -69,6 +77,7 @@ def save_text(spark, sf_dir):
         spark,
         lambda o, c: batches.save_text_per_batch(rows, f"{o}/part", c, available_now=True),
         "text",
+        "value string",
         lambda out: spark.read.text(f"{out}/part-*"),
     )
 
@@ -88,6 +97,7 @@ def write_counts(spark, sf_dir):
         spark,
         lambda o, c: batches.write_counts(count, rows, store(o), c, available_now=True),
         "counts",
+        "key string, cnt long",
         lambda out: store(out).scan(),
     )
 
@@ -106,6 +116,7 @@ def running_counters(spark, sf_dir):
         spark,
         lambda o, c: counters.running_counter_stream(stream, store(o), c, key="user_id", available_now=True),
         "counters",
+        "key string, value long",
         lambda out: store(out).scan(),
     )
 
@@ -125,7 +136,11 @@ def _matched(spark, sf_dir):
 def stream_match(spark, sf_dir):
     """Images that arrive as messages, matched against the stored gallery."""
     rows = _finish(
-        spark, _matched(spark, sf_dir), "matched", lambda out: spark.read.parquet(f"{out}/matches")
+        spark,
+        _matched(spark, sf_dir),
+        "matched",
+        "query string, rank int, match string, distance long",
+        lambda out: spark.read.parquet(f"{out}/matches"),
     )
     return rows.select("query", "rank", "match", "distance")
 
@@ -133,7 +148,7 @@ def stream_match(spark, sf_dir):
 @query("match_log", "SELECT DISTINCT 'img' || CAST(vec_id // 10 AS VARCHAR) AS query FROM embeddings")
 def match_log(spark, sf_dir):
     """Names in the text log of the matched images."""
-    lines = _finish(spark, _matched(spark, sf_dir), "matched", lambda out: spark.read.text(f"{out}/log"))
+    lines = _finish(spark, _matched(spark, sf_dir), "matched", "value string", lambda out: spark.read.text(f"{out}/log"))
     return lines.select(F.split("value", " ")[0].alias("query"))
 
 
@@ -148,7 +163,7 @@ def transform_batches(spark, sf_dir):
         return batch.groupBy("role").agg(F.count("*").alias("n"))
 
     rows = _finish(
-        spark, lambda o, c: batches.transform_batches(stream, count, o, c, available_now=True), "roles"
+        spark, lambda o, c: batches.transform_batches(stream, count, o, c, available_now=True), "roles", "role string, n long"
     )
     return rows.select("role", "n")
 
@@ -165,9 +180,10 @@ def stream_click_rejects(spark, sf_dir):
         spark,
         lambda o, c: batches.click_count_stream(messages, o, c, rejects=rejects, available_now=True),
         "clicks",
+        "received long, rejected long",
         lambda out: spark.read.parquet(rejects),
     )
-    return rows.agg(F.sum("received").alias("received"), F.sum("rejected").alias("rejected"))
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("received", "rejected")])
 
 
 @query(
@@ -199,7 +215,8 @@ def stream_topics(spark, sf_dir):
         batches.transform_batches(merged_stream(topics), count, out, checkpoint, available_now=True).awaitTermination()
         if run == 0:
             texts.write.parquet(f"{chat}/1")
-    return spark.read.parquet(out).groupBy("source", "word").agg(F.sum("cnt").alias("cnt"))
+    rows = _sink(spark, out, "source string, word string, cnt long")
+    return rows.groupBy("source", "word").agg(F.sum("cnt").alias("cnt"))
 
 
 class Interrupted(RuntimeError):

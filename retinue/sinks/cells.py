@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retinue.session import bucket_count, materialise
+from retinue.session import bucket_count, file_system, materialise
 from retinue.sources.tables import get_row
 
 #: Updates up to this size (as JSON text) are sent to the base table.
@@ -167,11 +167,11 @@ class CellTable:
     # Files of the table, through the file system of its folder.
 
     def _names(self, folder: str) -> list[str]:
-        fs, path = _file_system(self.spark, f"{self.root}/{folder}")
+        fs, path = file_system(self.spark, f"{self.root}/{folder}")
         return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []
 
     def _delete(self, folder: str) -> None:
-        fs, path = _file_system(self.spark, f"{self.root}/{folder}")
+        fs, path = file_system(self.spark, f"{self.root}/{folder}")
         fs.delete(path, True)
 
     def _text(self, name: str) -> str | None:
@@ -382,7 +382,7 @@ class CellTable:
         for group in self.schemas:
             for name in self._names(f"{self.DATA}/{group}"):
                 folder = f"{self.DATA}/{group}/{name}"
-                fs, path = _file_system(self.spark, f"{self.root}/{folder}")
+                fs, path = file_system(self.spark, f"{self.root}/{folder}")
                 age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
                 if folder not in named and age >= older_than_seconds:
                     self._delete(folder)
@@ -390,13 +390,8 @@ class CellTable:
         return removed
 
 
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, place = _file_system(spark, path)
+    fs, place = file_system(spark, path)
     if not fs.exists(place):
         return None
     stream = fs.open(place)
@@ -414,7 +409,7 @@ def remembered(spark: SparkSession, path: str, text: str) -> str:
 
 def _create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Make a whole file appear under ``path`` at once; False if there is one already."""
-    fs, place = _file_system(spark, path)
+    fs, place = file_system(spark, path)
     hadoop = spark._jvm.org.apache.hadoop.fs
     draft = hadoop.Path(place.getParent(), f".draft-{uuid.uuid4().hex}")
     stream = fs.create(draft, True)
