@@ -12,8 +12,10 @@ computed once and remembered.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,10 @@ SENTENCE = 64
 WINDOW = 32
 #: Subsequences of words looked up at once.
 CELLS = 1 << 17
+#: Words whose kernels are held at once.
+WORDS = 1 << 15
+#: Letters of texts after which a batch is gone on with in a new group.
+LETTERS = 1 << 23
 #: Words a worker remembers before it begins anew; results do not depend on it.
 REMEMBERED = 700_000
 #: Fits of the machine, each without the sentences of toxic documents that the one before found clean.
@@ -54,20 +60,24 @@ RIDGE = 1.0
 
 #: Letters written one by one, with or without signs between them, are one word.
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s+){2,}\w(?!\w)")
+#: Found in the joined tokens of every text with such letters, and in few others; it is searched for from space to space.
+_MAY_BE_SPELLED = re.compile(r" \w[^\w\s]?(?: \.)* \w[^\w\s]?(?: \.)* \w(?!\w)")
 _SIGNS = re.compile(r"[\W_]+")
 
 
 def tokens(text: str | None) -> list[str]:
     """Tokens of a text in lower case. A line end is a token of its own, ``.``."""
     text = (text or "").lower()
-    if _SPELLED.search(text):
-        text = _SPELLED.sub(lambda found: _SIGNS.sub("", found[0]), text)
-    return text.replace("\n", " . ").split()
+    found = text.replace("\n", " . ").split()
+    if _MAY_BE_SPELLED.search(" " + " ".join(found)):
+        text = _SPELLED.sub(lambda letters: _SIGNS.sub("", letters[0]), text)
+        found = text.replace("\n", " . ").split()
+    return found
 
 
 def windows(token: str) -> list[str]:
     """The letters and digits of a token after a mark for its begin, cut into overlapping windows if it is long."""
-    word = _SIGNS.sub("", token)
+    word = token if token.isalnum() else _SIGNS.sub("", token)
     if not word:
         return []
     word = "^" + word
@@ -84,10 +94,10 @@ def sentence_starts(ends: np.ndarray) -> np.ndarray:
     """Where sentences begin, given for each token whether a sentence ends with it."""
     n = len(ends)
     starts = np.r_[0, np.flatnonzero(ends[:-1]) + 1] if n else np.empty(0, np.int64)
-    lengths = np.diff(np.r_[starts, n])
-    if n and lengths.max() > SENTENCE:
-        starts = np.concatenate([np.arange(s, s + size, SENTENCE) for s, size in zip(starts, lengths)])
-    return starts
+    pieces = -(-np.diff(np.r_[starts, n]) // SENTENCE)
+    # A sentence of several pieces begins anew after every SENTENCE tokens.
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(starts, pieces) + SENTENCE * piece
 
 
 @cache
@@ -110,13 +120,17 @@ class Basis:
     """Landmarks, and the weight of each of their subsequences in each of them.
 
     A subsequence is numbered by the places of its letters in ``letters``;
-    ``rows`` gives its row in ``weights``, the first of which is empty.
+    ``rows`` gives its row in the weights, the first of which is empty. A row
+    has few landmarks: those ``columns`` and ``values`` from its place in
+    ``begins`` up to that of the next row.
     """
 
     landmarks: list[str]
     letters: np.ndarray
     rows: np.ndarray
-    weights: np.ndarray
+    begins: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
 
     @staticmethod
     def of(landmarks: list[str]) -> Basis:
@@ -134,7 +148,9 @@ class Basis:
         np.add.at(weights, (row + 1, np.concatenate(columns)), np.concatenate(values))
         rows = np.zeros(base**3, np.int32)
         rows[used] = np.arange(1, len(used) + 1)
-        return Basis(landmarks, letters, rows, weights)
+        filled, column = np.nonzero(weights)
+        begins = np.searchsorted(filled, np.arange(len(weights) + 1))
+        return Basis(landmarks, letters, rows, begins, column, weights[filled, column])
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Normalised gap-weighted kernel of ``words`` and all landmarks.
@@ -144,8 +160,9 @@ class Basis:
         divided by the norms of words of these lengths.
         """
         found = np.zeros((len(words), len(self.landmarks)), np.float32)
-        lengths = np.array([len(word) for word in words], np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         base = len(self.letters) + 1
+        number = np.int32 if base**3 < 1 << 31 else np.int64
         for length in np.unique(lengths):
             i, j, k, weight = _triples(int(length))
             if not len(i) or not len(self.letters):
@@ -157,14 +174,19 @@ class Basis:
                 text = "".join([words[n] for n in part])
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(part), length)
                 place = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
-                place = np.where(self.letters[place] == codes, place + 1, 0)
-                row = self.rows[(place[:, i] * base + place[:, j]) * base + place[:, k]]
-                word, triple = np.nonzero(row)
-                if not len(word):
-                    continue
-                shared = self.weights[row[word, triple]] * (weight / _norm(int(length)))[triple, None]
-                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                found[part[word[first]]] = np.add.reduceat(shared, first)
+                place = np.where(self.letters[place] == codes, place + 1, 0).T.astype(number, order="C")
+                # One row for every triple of places, so that letters are copied and numbered side by side.
+                row = self.rows[(place[i] * base + place[j]) * base + place[k]].ravel()
+                at_row = np.flatnonzero(row)
+                row = row[at_row]
+                triple, word = np.divmod(at_row, len(part))
+                begin = self.begins[row]
+                size = self.begins[row + 1] - begin
+                entry = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+                cell = np.repeat(word * len(self.landmarks), size) + self.columns[entry]
+                shared = np.repeat(weight[triple] / _norm(int(length)), size) * self.values[entry]
+                sums = np.bincount(cell, shared, len(part) * len(self.landmarks))
+                found[part] = sums.reshape(len(part), len(self.landmarks))
         return found
 
     def similarities(self, words: list[str]) -> np.ndarray:
@@ -236,7 +258,8 @@ class Machine:
     offset: float
 
     def values(self, words: list[str]) -> np.ndarray:
-        return self.basis.similarities(words) @ self.coefficients
+        parts = [words[at : at + WORDS] for at in range(0, len(words), WORDS)]
+        return np.concatenate([np.empty(0), *(self.basis.similarities(part) @ self.coefficients for part in parts)])
 
     def same(self, other: Machine) -> bool:
         alike = self.basis.landmarks == other.basis.landmarks and self.offset == other.offset
@@ -259,44 +282,76 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.direction + self.offset, -40, 40)))
 
 
-class _Values(dict):
-    """token -> its number; per number the machine's value, and whether a sentence ends there."""
+class _Numbers(dict):
+    """token -> its number, in the order in which tokens are first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        return number
+
+    def of(self, tokens: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, n)
+
+
+class _Values:
+    """Per token whether the machine finds it toxic by itself, and whether a sentence ends with it, once learned."""
 
     def __init__(self, machine: Machine):
-        super().__init__()
         self.machine = machine
-        self.value = np.empty(0)
-        self.ends = np.empty(0, bool)
-        self.letters = 0
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Get the values of all tokens that are new. What is remembered stays bounded in number and letters."""
-        if len(self) >= REMEMBERED or self.letters >= 16 * REMEMBERED:
-            self.letters = 0
-            self.clear()
-            self.value, self.ends = np.empty(0), np.empty(0, bool)
-        new = list({token for text in texts for token in text if token not in self})
-        if not new:
-            return
-        parts = [windows(token) for token in new]
-        words = sorted({word for part in parts for word in part})
-        found = dict(zip(words, self.machine.values(words).tolist()))
-        values = [max((found[word] for word in part), default=0.0) for part in parts]
-        self.letters += sum(map(len, new))
-        self.update(zip(new, range(len(self), len(self) + len(new))))
-        self.value = np.r_[self.value, values]
-        self.ends = np.r_[self.ends, [ends_sentence(token) for token in new]]
-
-    def evidence(self, text: list[str]) -> list[float]:
-        numbers = np.fromiter(map(self.__getitem__, text), np.int64, len(text))
-        starts = sentence_starts(self.ends[numbers])
-        if not len(starts):
-            return [0.0] * len(EVIDENCE)
-        values = self.value[numbers] + self.machine.offset
-        toxic = values > 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.letters = _Numbers(), 0
+        self.toxic, self.ends = np.empty(0, bool), np.empty(0, bool)
+
+    def learn(self, tokens: list[str]) -> np.ndarray:
+        """Numbers of different tokens; what is to be known of new ones is found. What is remembered stays bounded in number and letters."""
+        known = len(self.ends)
+        # More numbers than known tokens are left by a task that was stopped between the two.
+        if known >= REMEMBERED or self.letters >= 16 * REMEMBERED or known != len(self.numbers):
+            self.forget()
+            known = 0
+        numbers = self.numbers.of(tokens, len(tokens))
+        new = [tokens[n] for n in np.flatnonzero(numbers >= known)]
+        if new:
+            parts = [windows(token) for token in new]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            found = self.machine.values(list(chain.from_iterable(parts)))
+            values = np.zeros(len(new))
+            if len(found):
+                values[sizes > 0] = np.maximum.reduceat(found, (np.cumsum(sizes) - sizes)[sizes > 0])
+            self.letters += sum(map(len, new))
+            self.toxic = np.r_[self.toxic, values + self.machine.offset > 0]
+            self.ends = np.r_[self.ends, [ends_sentence(token) for token in new]]
+        return numbers
+
+    def evidence(self, texts: list[list[str]]) -> np.ndarray:
+        """One row for each text, with a column for each of EVIDENCE; of a text without tokens, zeros."""
+        found = np.zeros((len(texts), len(EVIDENCE)))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        # A text's tokens are first numbered among those of these texts, which are few enough to be at hand.
+        here = _Numbers()
+        tokens = here.of(chain.from_iterable(texts), int(sizes.sum()))
+        numbers = self.learn(list(here))
+        filled, sizes = np.flatnonzero(sizes), sizes[sizes > 0]
+        if not len(filled):
+            return found
+        text = np.repeat(np.arange(len(filled)), sizes)
+        ends = self.ends[numbers][tokens]
+        ends[np.cumsum(sizes) - 1] = True
+        toxic = self.toxic[numbers][tokens]
+        starts = sentence_starts(ends)
         sentences = np.add.reduceat(toxic, starts, dtype=np.int64) > 0
-        counts = np.log1p([toxic.sum(), len(np.unique(numbers[toxic]))])
-        return [float(sentences.mean()), *counts.tolist(), float(toxic.sum() / (len(numbers) + 20))]
+
+        def count(of: np.ndarray) -> np.ndarray:
+            return np.bincount(of, minlength=len(filled))
+
+        words = count(text[toxic])
+        different = np.unique(text[toxic] * len(here) + tokens[toxic]) // len(here)
+        found[filled, 0] = count(text[starts[sentences]]) / count(text[starts])
+        found[filled, 1], found[filled, 2] = np.log1p(words), np.log1p(count(different))
+        found[filled, 3] = words / (sizes + 20)
+        return found
 
 
 #: Values that this worker has learned, of the machine it used last.
@@ -311,9 +366,14 @@ def _values_of(machine: Machine) -> _Values:
 
 
 def _evidence(batch: pa.RecordBatch, known: _Values) -> np.ndarray:
-    texts = [tokens(text) for text in batch.column("text").to_pylist()]
-    known.learn(texts)
-    return np.array([known.evidence(text) for text in texts], np.float64).reshape(len(texts), len(EVIDENCE))
+    found, texts, letters = [], [], 0
+    for text in batch.column("text").to_pylist():
+        texts.append(tokens(text))
+        letters += len(text or "")
+        if letters >= LETTERS:
+            found.append(known.evidence(texts))
+            texts, letters = [], 0
+    return np.concatenate([*found, known.evidence(texts)])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_DOCS) -> DataFrame:

@@ -1,8 +1,10 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from retinue.llm import toxicity
@@ -32,6 +34,61 @@ def test_kernel_equals_all_pairs_of_subsequences():
     assert toxicity.Basis.of([]).kernel(words).shape == (len(words), 0)
 
 
+def test_a_subsequence_costs_as_much_as_landmarks_that_have_it():
+    rng = random.Random(7)
+    landmarks = ["^" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(64)]
+    basis = toxicity.Basis.of(landmarks)
+    words = landmarks * 30
+    basis.kernel(words[:64])
+    tracemalloc.start()
+    found = basis.kernel(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(found, np.tile(basis.kernel(landmarks), (30, 1)), atol=1e-6)
+    # Weights of all 64 landmarks for each of the 2^17 subsequences of a step would be 33 MB.
+    assert peak < 24e6
+
+
+def test_spelled_words_between_any_white_space():
+    for space in (" ", "\n", "\t", " \n ", "\n\n", "\u2003", "\x1c"):
+        assert toxicity.tokens(space.join("you dim idiot")) == ["youdimidiot"]
+        assert toxicity.tokens(f"a,{space}b{space}c-d, e f") == ["abc-d,", "e", "f"]
+        assert "bcd" in toxicity.tokens(f"aa{space}b.{space}c{space}d")
+    assert toxicity.tokens("it is so . a . b no") == ["it", "is", "so", ".", "a", ".", "b", "no"]
+
+
+def test_evidence_of_a_batch_is_that_of_its_texts(monkeypatch):
+    basis = toxicity.Basis.of(["^" + word for word in INSULTS])
+    machine = toxicity.Machine(basis, np.array([1.0, 2.0, 1.5, 1.2]), -0.8)
+    texts = [text for _, text, _ in corpus(60)]
+    texts += [None, "", "…!?", "dimwit", "a\nb", "so. " * 70 + "so " * 200 + "numpty " * 150, "x" * 500 + "pillock", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    def plain(text):
+        words = toxicity.tokens(text)
+        bad = [any(machine.values([w])[0] + machine.offset > 0 for w in toxicity.windows(word)) for word in words]
+        sentences, size = [False], 0
+        for word, toxic in zip(words, bad):
+            if size == toxicity.SENTENCE:
+                sentences, size = [*sentences, False], 0
+            sentences[-1], size = sentences[-1] or toxic, size + 1
+            if toxicity.ends_sentence(word):
+                sentences, size = [*sentences, False], 0
+        sentences = sentences if size else sentences[:-1]
+        different = len({word for word, toxic in zip(words, bad) if toxic})
+        share = sum(sentences) / len(sentences) if words else 0
+        return [share, np.log1p(sum(bad)), np.log1p(different), sum(bad) / (len(words) + 20)]
+
+    want = np.array([plain(text) for text in texts])
+    assert (want[:, 1] > 0).sum() >= 12
+    assert np.allclose(toxicity._evidence(batch, toxicity._Values(machine)), want, rtol=1e-12)
+    # Small memories, groups and steps change nothing.
+    for name, value in (("REMEMBERED", 40), ("LETTERS", 500), ("WORDS", 7), ("CELLS", 100)):
+        monkeypatch.setattr(toxicity, name, value)
+        known = toxicity._Values(machine)
+        assert all(np.allclose(toxicity._evidence(batch, known), want, rtol=1e-12) for _ in range(2))
+
+
 def test_tokens_and_sentences():
     assert toxicity.tokens("You I.D.I.O.T!\nOK") == ["you", "i.d.i.o.t!", ".", "ok"]
     assert toxicity.tokens("an i d i o t here") == ["an", "idiot", "here"]
